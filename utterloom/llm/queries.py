@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, piece_bpe, raking, recipes, urlrules, weaksup
+from . import cover, license_scan, oddsketch, piece_bpe, raking, recipes, suffix, urlrules, weaksup
 from .util import LOWER, UPPER, table
 
 URL_RULES = [
@@ -26,6 +26,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = raking.mix(table(spark, sf_dir, "documents"))
     return out.withColumn("rate", F.round("rate", 6))
@@ -47,11 +51,19 @@ def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weaksup.assess(table(spark, sf_dir, "documents"))
 
 
+def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_license_scan, op4_piece_encoding, op5_chunk_recipes, op6_weak_quality, op8_url_rules)}
+def op9_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover.dedup_windows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_arrays, op2_source_mixing, op3_license_scan, op4_piece_encoding, op5_chunk_recipes, op6_weak_quality, op7_odd_sketches, op8_url_rules, op9_cover_anchors)}
 
 
 def quoted(s: str) -> str:
