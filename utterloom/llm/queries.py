@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover, license_scan, oddsketch, piece_bpe, raking, recipes, suffix, urlrules, weaksup
+from . import cover, license_scan, maxent, oddsketch, piece_bpe, raking, recipes, suffix, urlrules, weaksup
 from .util import LOWER, UPPER, table
 
 URL_RULES = [
@@ -63,7 +63,11 @@ def op9_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.dedup_windows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_arrays, op2_source_mixing, op3_license_scan, op4_piece_encoding, op5_chunk_recipes, op6_weak_quality, op7_odd_sketches, op8_url_rules, op9_cover_anchors)}
+def op10_maximum_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_arrays, op2_source_mixing, op3_license_scan, op4_piece_encoding, op5_chunk_recipes, op6_weak_quality, op7_odd_sketches, op8_url_rules, op9_cover_anchors, op10_maximum_entropy)}
 
 
 def quoted(s: str) -> str:
