@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import SPACE, lower_ascii
+from .util import SPACE, lower_ascii, materialise
 
 #: Rounds of raking, share of all tokens to keep, powers that flatten each marginal, and the bound on cells.
 ROUNDS, BUDGET, POWERS, MAX_CELLS = 30, 0.6, (0.7, 0.8, 0.9), 1_000_000
@@ -23,16 +23,16 @@ SEED = "mix-1"
 TOPICS = ("a-f", "g-m", "n-s", "t-z")
 
 
-def n_tokens(text):
-    """Words of a text column."""
-    x = F.coalesce(text, F.lit(""))
-    return F.size(F.array_remove(F.split(x, rf"{SPACE}+"), "")).cast("long")
+def first_letters(text):
+    """The first character of each word of a text column, joined: one pass over the text; its length is the number of words."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"{SPACE}*([^ \t-\r])[^ \t-\r]*|{SPACE}+", "$1")
 
 
-def topic(text):
-    """A vocabulary class of a text column; `none` without a word that begins with a-z. A caller's own topic column may stand for it."""
-    low = F.concat(F.lit(" "), lower_ascii(F.coalesce(text, F.lit(""))))
-    count = lambda t: F.length(low) - F.length(F.regexp_replace(low, rf"({SPACE})[{t}]", "$1"))
+def topic(first):
+    """A vocabulary class, from first_letters; `none` without a word that begins with a-z. A caller's own topic column may stand for it."""
+    low = lower_ascii(first)
+    span = lambda t: "".join(map(chr, range(ord(t[0]), ord(t[2]) + 1)))
+    count = lambda t: F.length(low) - F.length(F.translate(low, span(t), ""))
     most = F.greatest(*[F.struct(count(t).alias("n"), F.lit(-k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(TOPICS)])
     return F.when(most["n"] > 0, most["t"]).otherwise(F.lit("none"))
 
@@ -97,8 +97,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", axes=("
     are ignored. Ties cannot arise: the draw is compared with the rate alone. The broadcast side is the
     cells' rates, at most max_cells rows.
     """
-    t = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(a).alias(a) for a in axes], topic(t).alias("topic"), n_tokens(t).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(a).alias(a) for a in axes], first_letters(F.col(text_col)).alias("__f"))
+    rows = rows.select("doc_id", *axes, topic(F.col("__f")).alias("topic"), F.length("__f").cast("long").alias("n_tokens"))
+    #: The cells and the result both come from these narrow rows; the texts are read once.
+    rows = materialise(rows, "cells")
     r = rates(rows, [*axes, "topic"], **kw)
     return with_rates(rows, r, [*axes, "topic"]).withColumn("kept", chance(F.col("doc_id"), seed) < F.col("rate"))
 
@@ -111,3 +113,18 @@ def with_rates(rows: DataFrame, r: DataFrame, axes: list[str]) -> DataFrame:
     for x in on[1:]:
         cond = cond & x
     return rows.join(F.broadcast(renamed), cond, "left").drop(*[f"__r_{a}" for a in axes])
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", axes=("source", "lang"), seed: str = SEED, **kw) -> DataFrame:
+    """The rows of docs that mix keeps, with their own columns; texts are not shuffled."""
+    cols = docs.columns
+    marked = docs.withColumn("__f", first_letters(F.col(text_col)))
+    marked = marked.select(*[F.col(c) for c in cols], *[F.col(a).alias(f"__{a}") for a in axes], topic(F.col("__f")).alias("__topic"), F.length("__f").cast("long").alias("__n"))
+    named = [f"__{a}" for a in axes] + ["__topic"]
+    rows = materialise(marked.select(*named, F.col("__n").alias("n_tokens")), "cells")
+    r = rates(rows, named, **kw).withColumnRenamed("rate", "__rate")
+    renamed = r.select(*[F.col(a).alias(f"__r{a}") for a in named], "__rate")
+    cond = marked[named[0]].eqNullSafe(renamed[f"__r{named[0]}"])
+    for a in named[1:]:
+        cond = cond & marked[a].eqNullSafe(renamed[f"__r{a}"])
+    return marked.join(F.broadcast(renamed), cond).filter(chance(F.col(id_col), seed) < F.col("__rate")).select(*cols)
