@@ -7,8 +7,9 @@ before it, else try the next shorter one, else mark the place as failed in a bit
 and step back. Two pieces can stand side by side when undoing their merges in reverse
 order shows no earlier merge across the border.
 
-No piece of such a model crosses from a word into the next `▁`, so a text is encoded in
-units (a run of `▁` and what follows up to the next `▁`) and frequent units are looked up.
+No piece of such a model crosses from a word into the next `▁`, nor from letters to other
+characters, so a text is encoded in units (a run of `▁` and the letters, or else the other
+characters, behind it) and frequent units are looked up.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+LETTER = re.compile(r"[^\W\d_]")
 #: Units kept for lookup in a worker, and the longest of them.
 KEEP_UNITS, KEEP_LENGTH = 400_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -87,6 +88,7 @@ class PieceModel:
         self.id_of = {pieces[i][0]: i for i in order}
         if any(MARK in s.lstrip(MARK) for s in self.rank):
             raise ValueError("a piece crosses words")
+        self.unit_pattern = self._units()
         #: split: a piece that merging can reach -> the two pieces of its last merge; a single character -> None.
         self.split: dict[str, tuple[str, str] | None] = {}
         for s in self.rank:
@@ -103,6 +105,19 @@ class PieceModel:
         self.units: dict[str, tuple[str, int, str]] = {}
         self.older: dict[str, tuple[str, int, str]] = {}
 
+    def _units(self) -> re.Pattern:
+        """Units: no piece reaches over their ends. Letters that a piece joins to other characters count as such."""
+        bodies = [b for s in self.rank if len(b := s.lstrip(MARK)) > 1]
+        odd: set[str] = set()
+        while True:
+            letter = [[bool(LETTER.match(c)) and c not in odd for c in b] for b in bodies]
+            more = {b[k + d] for b, m in zip(bodies, letter, strict=True) for k in range(len(b) - 1) if m[k] != m[k + 1] for d in (0, 1) if m[k + d]}
+            if not more:
+                break
+            odd |= more
+        kind = rf"[^\W\d_{''.join(map(re.escape, sorted(odd)))}]"
+        return re.compile(f"{MARK}*{kind}+|{MARK}*(?:(?!{kind})[^{MARK}])+|{MARK}+")
+
     def _last_merge(self, s: str) -> tuple[str, str] | None:
         """Merge the characters of s by rank; the last merge, or None if s does not come out as one piece."""
         parts, last = list(s), None
@@ -207,11 +222,11 @@ class PieceModel:
         return (MARK + text.replace(" ", MARK)) if text and self.prefix else text.replace(" ", MARK)
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for u in UNIT.findall(self.normalise(text)) for x in self.unit(u)[0].split(",")]
+        return [int(x) for u in self.unit_pattern.findall(self.normalise(text)) for x in self.unit(u)[0].split(",")]
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
-        found = [self.units.get(u) or self.unit(u) for u in UNIT.findall(self.normalise(text))]
+        found = [self.units.get(u) or self.unit(u) for u in self.unit_pattern.findall(self.normalise(text))]
         back = "".join([x[2] for x in found])
         back = back[1:] if self.prefix and back.startswith(" ") else back
         return sum([x[1] for x in found]), hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
