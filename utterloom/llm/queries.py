@@ -143,15 +143,15 @@ def op6_parts(rows: str = "documents") -> str:
         [f"sum({c}) AS {c}" for c in ("g", "b")] + [f"sum(CASE WHEN v_{k} = {v} THEN {c} ELSE 0 END) AS {c}_{k}_{v + 1}" for c in "gb" for k in names for v in (-1, 0, 1)]
     )
     s = weaksup.SMOOTH
-    rates = ", ".join([f"(g + {s}) / (g + b + {2 * s}) AS good"] + [f"least(({c}_{k}_{v + 1} + {s}) / ({c} + {3 * s}), {weaksup.CEILING if (c, v) == ('g', -1) else 1.0}) AS p{c}_{k}_{v + 1}" for c in "gb" for k in names for v in (-1, 0, 1)])
+    rates = ", ".join([f"coalesce(before, (g + {s}) / (g + b + {2 * s})) AS good"] + [f"least(({c}_{k}_{v + 1} + {s}) / ({c} + {3 * s}), {weaksup.CEILING if (c, v) == ('g', -1) else 1.0}) AS p{c}_{k}_{v + 1}" for c in "gb" for k in names for v in (-1, 0, 1)])
     joint = lambda c, prior: " * ".join([prior] + [f"CASE v_{k} WHEN -1 THEN p{c}_{k}_0 WHEN 1 THEN p{c}_{k}_2 ELSE p{c}_{k}_1 END" for k in names])
     posterior = f"({joint('g', 'good')}) / (({joint('g', 'good')}) + ({joint('b', '(1 - good)')}))"
     bad = " OR ".join(f"v_{k} = -1" for k in names)
     first = f"CASE WHEN {bad} THEN {weaksup.GUESS[0]} ELSE {weaksup.GUESS[1]} END"
     steps = []
     for r in range(weaksup.ROUNDS):
-        source, p = ("patterns", first) if r == 0 else (f"patterns, m{r - 1}", posterior)
-        steps.append(f"m{r} AS MATERIALIZED (SELECT {rates} FROM (SELECT {sums} FROM (SELECT *, ({p}) * n AS g, (1 - ({p})) * n AS b FROM {source})))")
+        source, p, before = ("patterns", first, "CAST(NULL AS DOUBLE)") if r == 0 else (f"patterns, m{r - 1}", posterior, "any_value(good)")
+        steps.append(f"m{r} AS MATERIALIZED (SELECT {rates} FROM (SELECT {before} AS before, {sums} FROM (SELECT *, ({p}) * n AS g, (1 - ({p})) * n AS b FROM {source})))")
     return f"""
 texts AS (SELECT *, coalesce(text, '') AS t_, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w_ FROM {rows}),
 lined AS (SELECT *, list_filter(string_split(t_, chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS l_ FROM texts),

@@ -92,7 +92,9 @@ def votes(q: str, rules: dict[str, tuple[str, str]] = RULES) -> list:
 def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple:
     """Share of good texts and, for each class, rule and vote, how often it is given, by EM over patterns (votes and n).
 
-    Each round is one aggregation; only its few sums come to the driver.
+    The share stays that of the first guess: kinds of junk that exclude each other would else
+    draw texts without a bad vote into the bad class. Each round is one aggregation; only its
+    few sums come to the driver.
     """
     any_bad = reduce(lambda a, b: a | b, [F.col(k) == -1 for k in names])
     posterior = F.when(any_bad, F.lit(GUESS[0])).otherwise(F.lit(GUESS[1]))
@@ -102,7 +104,7 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple:
         sums = [F.sum(c).alias(c) for c in "gb"] + [F.sum(F.when(F.col(k) == v, F.col(c)).otherwise(F.lit(0.0))).alias(f"{c}_{k}_{v + 1}") for c in "gb" for k in names for v in (-1, 0, 1)]
         s = {k: v or 0.0 for k, v in p.agg(*sums).first().asDict().items()}
         model = (
-            (s["g"] + SMOOTH) / (s["g"] + s["b"] + 2 * SMOOTH),
+            model[0] if model else (s["g"] + SMOOTH) / (s["g"] + s["b"] + 2 * SMOOTH),
             {(c, k, v): min((s[f"{c}_{k}_{v + 1}"] + SMOOTH) / (s[c] + 3 * SMOOTH), CEILING if (c, v) == ("g", -1) else 1.0) for c in "gb" for k in names for v in (-1, 0, 1)},
         )
         posterior = posterior_of(model, names)
