@@ -22,7 +22,7 @@ from . import packed
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 PLACE = np.dtype([("at", "<u4")])
-SLICE = 24_000_000
+SLICE = 6_000_000
 
 
 def _words(blobs) -> list[list[bytes]]:
@@ -89,7 +89,7 @@ def _window_rows(parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = packed.WordHashes()
         for b in batches:
-            b = b[[f is not None and len(f) > 0 for f in b["found"]]]
+            b = b[[f is not None for f in b["found"]]]
             ids, texts, found = b["doc_id"].to_numpy(np.int64), _words(b["raw"]), list(b["found"])
             for x, y in packed.slices(texts, SLICE):
                 docs = [t.split() for t in texts[x:y]]
@@ -98,7 +98,7 @@ def _window_rows(parts: int):
                 first, place = _starts(sizes)
                 hit = np.zeros(len(place) + 1, np.int64)
                 for f, n, places in zip(first, sizes, found[x:y], strict=True):
-                    at = np.concatenate([np.frombuffer(q, PLACE)["at"] for q in places]).astype(np.int64)
+                    at = np.frombuffer(places, PLACE)["at"].astype(np.int64)
                     np.add.at(hit, f + np.maximum(at - (PERIOD - 1), 0), 1)
                     np.add.at(hit, np.minimum(f + at, f + n - 1) + 1, -1)
                 n = max(len(w1) - WINDOW + 1, 0)
@@ -120,13 +120,12 @@ def _above_smallest(order: np.ndarray, run: np.ndarray, docs: np.ndarray) -> np.
     return docs[order] > low[run] if len(order) else np.zeros(0, bool)
 
 
-def removed_words(n: int, places) -> np.ndarray:
+def removed_words(n: int, places: bytes) -> np.ndarray:
     """Mask of the words that windows starting at the recorded places cover."""
     d = np.zeros(n + 1, np.int64)
-    for p in places:
-        at = np.frombuffer(p, PLACE)["at"].astype(np.int64)
-        np.add.at(d, at, 1)
-        np.add.at(d, np.minimum(at + WINDOW, n), -1)
+    at = np.frombuffer(places, PLACE)["at"].astype(np.int64)
+    np.add.at(d, at, 1)
+    np.add.at(d, np.minimum(at + WINDOW, n), -1)
     return np.cumsum(d[:-1]) > 0
 
 
@@ -136,7 +135,7 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for raw, places in zip(b["raw"], b["found"], strict=True):
             w = (raw or b"").split()
             gone = 0
-            if places is not None and len(places):
+            if places:
                 mask = removed_words(len(w), places)
                 gone = int(mask.sum())
                 w = [x for x, m in zip(w, mask, strict=True) if not m]

@@ -140,19 +140,19 @@ def exchange(found: DataFrame, parts: int) -> DataFrame:
 
 
 def resolve(found: DataFrame, parts: int, dtypes: list, choose: Callable, record: np.dtype) -> DataFrame:
-    """Compare the digests of each partition; rows (doc_id, places): per document, records of the entries that choose keeps.
+    """Compare the digests of each partition; one row (doc_id, found) per document, with records of the entries that choose keeps.
 
-    choose(order, run, docs) gives a mask over order. TOLD entries are passed on.
-    A partition's digests are in memory at once; their number falls with the number of partitions.
+    choose(order, run, docs) gives a mask over order. TOLD entries are passed on. Entries go
+    on packed, now dealt by document. A partition's digests, and then its documents' records,
+    are in memory at once; their number falls with the number of partitions.
     """
 
-    def run_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked: dict[int, list[bytes]] = {}
         for b in batches:
-            told = b[b["kind"] == TOLD]
-            for blob in told["blob"]:
-                _, d, c = unpack(blob, dtypes)
-                yield by_document(d, c, record)
+            told = [unpack(x, dtypes) for x in b.loc[b["kind"] == TOLD, "blob"]]
+            if told:
+                yield frame(by_document(np.concatenate([t[1] for t in told]), [np.concatenate([t[2][k] for t in told]) for k in range(len(dtypes))], parts))
             for p, blob in zip(b.loc[b["kind"] == ASK, "part"], b.loc[b["kind"] == ASK, "blob"], strict=True):
                 asked.setdefault(p, []).append(blob)
         for p in list(asked):
@@ -161,33 +161,49 @@ def resolve(found: DataFrame, parts: int, dtypes: list, choose: Callable, record
             docs = np.concatenate([g[1] for g in got])
             order = ordered(keys)
             keep = order[choose(order, same(order, keys), docs)]
-            columns = [np.concatenate([g[2][i] for g in got])[keep] for i in range(len(dtypes))]
-            yield by_document(docs[keep], columns, record)
+            yield frame(by_document(docs[keep], [np.concatenate([g[2][i] for g in got])[keep] for i in range(len(dtypes))], parts))
 
-    return exchange(found, parts).mapInPandas(run_, "doc_id long, places binary")
+    return gathered(exchange(found, parts).mapInPandas(decide, SCHEMA), parts, dtypes, record)
 
 
-def by_document(docs: np.ndarray, columns: list[np.ndarray], record: np.dtype) -> pd.DataFrame:
-    """One row per document with its records as bytes."""
+def by_document(docs: np.ndarray, columns: list[np.ndarray], parts: int) -> list[tuple[int, int, bytes]]:
+    """Entries as packed rows, dealt by document."""
     order = np.argsort(docs, kind="stable")
     d = docs[order]
-    r = np.zeros(len(d), record)
-    for name, c in zip(record.names, columns, strict=True):
-        r[name] = c[order]
-    cuts = spans(d)
-    return pd.DataFrame({"doc_id": d[[a for a, _ in cuts]].astype(np.int64), "places": [r[a:b].tobytes() for a, b in cuts]})
+    return rows(part_of(mixed(d.astype(np.int64).view(np.uint64)), parts), TOLD, None, d, [c[order] for c in columns])
 
 
-def joined(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """docs (doc_id, raw) with all places of each document as `found`, null for none."""
-    per = places.groupBy("doc_id").agg(F.collect_list("places").alias("found")).withColumnRenamed("doc_id", "d")
+def gathered(dealt: DataFrame, parts: int, dtypes: list, record: np.dtype) -> DataFrame:
+    """One row per document with its records as bytes: doc_id, found."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [unpack(x, dtypes) for b in batches for x in b["blob"]]
+        if not got:
+            return
+        docs = np.concatenate([g[1] for g in got])
+        order = np.argsort(docs, kind="stable")
+        docs = docs[order]
+        r = np.zeros(len(docs), record)
+        for k, name in enumerate(record.names):
+            r[name] = np.concatenate([g[2][k] for g in got])[order]
+        cuts = spans(docs)
+        for at in range(0, len(cuts), 10_000):
+            part = cuts[at : at + 10_000]
+            yield pd.DataFrame({"doc_id": docs[[a for a, _ in part]], "found": [r[a:b].tobytes() for a, b in part]})
+
+    return exchange(dealt, parts).mapInPandas(run, "doc_id long, found binary")
+
+
+def joined(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (doc_id, raw) with their records as `found`, null for none."""
+    per = found.withColumnRenamed("doc_id", "d")
     return docs.join(per, docs["doc_id"] == per["d"], "left").select("doc_id", "raw", "found")
 
 
 class WordHashes(dict):
     """Two 64-bit digests of each word; words get numbers as they come."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __init__(self) -> None:
         self.raw = bytearray()

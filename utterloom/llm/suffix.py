@@ -126,13 +126,13 @@ def _piece_rows(parts: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[[f is not None and len(f) > 0 for f in b["found"]]]
+            b = b[[f is not None for f in b["found"]]]
             held: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
             for i, raw, found in zip(b["doc_id"], b["raw"], b["found"], strict=True):
-                for f in found:
-                    for s, n, off in np.frombuffer(f, FOUND).tolist():
-                        key = hashlib.blake2b(raw[s + off : s + off + ANCHOR], digest_size=8).digest()
-                        held.setdefault((key, raw[s : s + n + WINDOW - 1]), []).append((i, s))
+                # a piece that was told and asked on as well comes twice
+                for s, n, off in np.unique(np.frombuffer(found, FOUND)).tolist():
+                    key = hashlib.blake2b(raw[s + off : s + off + ANCHOR], digest_size=8).digest()
+                    held.setdefault((key, raw[s : s + n + WINDOW - 1]), []).append((i, s))
             h = np.frombuffer(b"".join(k for k, _ in held), np.uint64)
             refs = []
             for places in held.values():
@@ -164,25 +164,28 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(d == -1) - start
 
 
-def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Places of repeated windows, from all pieces of a partition."""
-    by_anchor: dict[int, dict[bytes, list[bytes]]] = {}
-    for b in batches:
-        for h, piece, refs in zip(b["h"], b["piece"], b["refs"], strict=True):
-            by_anchor.setdefault(h, {}).setdefault(piece, []).append(refs)
-    chunk: dict[bytes, list[bytes]] = {}
-    size = 0
-    for h in sorted(by_anchor):
-        chunk |= by_anchor[h]
-        size += sum(map(len, by_anchor.pop(h)))
-        if size >= SHARD:
-            yield _places(chunk)
-            chunk, size = {}, 0
-    if chunk:
-        yield _places(chunk)
+def _shards(parts: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Places of repeated windows, from all pieces of a partition."""
+        by_anchor: dict[int, dict[bytes, list[bytes]]] = {}
+        for b in batches:
+            for h, piece, refs in zip(b["h"], b["piece"], b["refs"], strict=True):
+                by_anchor.setdefault(h, {}).setdefault(piece, []).append(refs)
+        chunk: dict[bytes, list[bytes]] = {}
+        size = 0
+        for h in sorted(by_anchor):
+            size += sum(map(len, by_anchor[h]))
+            chunk |= by_anchor.pop(h)
+            if size >= SHARD:
+                yield packed.frame(_places(chunk, parts))
+                chunk, size = {}, 0
+        if chunk:
+            yield packed.frame(_places(chunk, parts))
+
+    return run
 
 
-def _places(chunk: dict[bytes, list[bytes]]) -> pd.DataFrame:
+def _places(chunk: dict[bytes, list[bytes]], parts: int) -> list[tuple[int, int, bytes]]:
     docs, at, number = [], [], []
     for mask, refs in zip(repeats(list(chunk)), chunk.values(), strict=True):
         got = [packed.unpack(r, [np.uint32]) for r in refs]
@@ -191,7 +194,7 @@ def _places(chunk: dict[bytes, list[bytes]]) -> pd.DataFrame:
         docs.append(np.repeat(d, len(start)))
         at.append((s[:, None] + start[None, :]).ravel())
         number.append(np.tile(n, len(d)))
-    return packed.by_document(np.concatenate(docs), [np.concatenate(at), np.concatenate(number)], PLACE)
+    return packed.by_document(np.concatenate(docs), [np.concatenate(at).astype(np.uint32), np.concatenate(number).astype(np.uint16)], parts)
 
 
 def _window_rows(parts: int):
@@ -215,14 +218,13 @@ def _window_rows(parts: int):
     return run
 
 
-def covered(n: int, places) -> np.ndarray:
+def covered(n: int, places: bytes) -> np.ndarray:
     """Mask of the bytes that the recorded windows cover."""
     d = np.zeros(n + 1, np.int32)
-    for p in places:
-        r = np.frombuffer(p, PLACE)
-        at = r["at"].astype(np.int64)
-        np.add.at(d, at, 1)
-        np.add.at(d, at + r["n"] + (WINDOW - 1), -1)
+    r = np.frombuffer(places, PLACE)
+    at = r["at"].astype(np.int64)
+    np.add.at(d, at, 1)
+    np.add.at(d, at + r["n"] + (WINDOW - 1), -1)
     return np.cumsum(d[:-1]) > 0
 
 
@@ -233,7 +235,7 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw = raw or b""
             gone = spans = 0
             kept = raw
-            if places is not None and len(places):
+            if places:
                 mask = covered(len(raw), places)
                 gone, spans = int(mask.sum()), len(_runs(mask)[0])
                 kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
@@ -246,9 +248,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A byte goes when a 200-byte string that covers it also starts anywhere else, in the same
     or another document; strings never cross documents and are judged on the input. Null
-    counts as empty; texts below 200 bytes lose nothing. Rows should have ids of their own:
-    rows that repeat an id are different places while their texts agree or not, and share what
-    is removed. A row without an id is taken as id -1. Other columns are ignored.
+    counts as empty; texts below 200 bytes lose nothing. Rows that repeat an id with the same
+    text are two places, so both lose all of it (from 200 bytes on); different texts under one
+    id are not supported. A row without an id is taken as id -1. Other columns are ignored.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
@@ -259,7 +261,10 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     limit = max(HEAVY, pieces.count() // (8 * parts))
     heavy = materialise(pieces.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("h"), "heavy")
     light = packed.exchange(pieces.join(F.broadcast(heavy), "h", "left_anti").select("part", "h", "piece", "refs"), parts)
-    once = light.mapInPandas(_shards, "doc_id long, places binary")
+    kinds = [np.uint32, np.uint16]
+    once = packed.gathered(light.mapInPandas(_shards(parts), packed.SCHEMA), parts, kinds, PLACE)
     windows = pieces.join(F.broadcast(heavy), "h", "left_semi").mapInPandas(_window_rows(parts), packed.SCHEMA)
-    each = packed.resolve(windows, parts, [np.uint32, np.uint16], _twice, PLACE)
-    return packed.joined(d, once.unionByName(each)).mapInPandas(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    each = packed.resolve(windows, parts, kinds, _twice, PLACE)
+    both = once.withColumnRenamed("found", "one").join(each.withColumnRenamed("found", "two"), "doc_id", "full_outer")
+    both = both.select("doc_id", F.concat(F.coalesce("one", F.lit(b"")), F.coalesce("two", F.lit(b""))).alias("found"))
+    return packed.joined(d, both).mapInPandas(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
