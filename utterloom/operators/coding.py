@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import once
 from ..plans.language import Rule
 from .match import match
 
@@ -65,10 +66,11 @@ def code(graphs: DataFrame, rules: list[Rule], first: bool = True, injective: bo
     found = match(graphs, rules, injective, lexicons)
     existing = F.try_element_at("meta", F.lit("coding"))
     kept = first_rule(F.col("matches"), existing) if first else F.col("matches")
-    out = found.withColumn("codings", distinct_codings(kept)).drop("matches")
+    out = found.withColumn("codings", once(distinct_codings(kept))).drop("matches")
     new = appended(existing, F.col("codings"))
     rest = F.map_filter("meta", lambda k, v: k != "coding")
-    out = out.withColumn("meta", F.when(new.isNull(), F.col("meta")).otherwise(F.map_concat(rest, F.create_map(F.lit("coding"), new))))
+    out = out.withColumn("__new", once(new))
+    out = out.withColumn("meta", once(F.when(F.col("__new").isNull(), F.col("meta")).otherwise(F.map_concat(rest, F.create_map(F.lit("coding"), F.col("__new")))))).drop("__new")
     return out.withColumn("nodes", coded_nodes(F.col("nodes"), F.col("codings"))) if code_node else out
 
 

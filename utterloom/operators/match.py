@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import once
 from ..plans.language import Block, Edge, Feature, Label, Rule
 
 NODE = (
@@ -20,7 +21,6 @@ NODE = (
 )
 MATCH = "struct<rule int, att string, val string, node string, head string, lemma string, bound array<int>>"
 FIELDS = ("form", "lemma", "upos", "xpos")
-TRUE = F.lit
 
 
 def root_node() -> Column:
@@ -193,10 +193,12 @@ def rule_matches(nodes: Column, r: Rule, injective: bool = True, lexicons: dict
         )
 
     found = _Search(nodes, lexicons or {}, injective).matches(r.pattern, r.without, result)
-    return F.array_sort(found, lambda x, y: F.when(x["bound"] < y["bound"], -1).when(x["bound"] > y["bound"], 1).otherwise(0)).cast(f"array<{MATCH}>")
+    #: Structs sort by their fields in order: the bound places first.
+    placed = F.array_sort(F.transform(found, lambda m: F.struct(m["bound"].alias("b"), m.alias("m"))))
+    return F.transform(placed, lambda x: x["m"]).cast(f"array<{MATCH}>")
 
 
 def match(graphs: DataFrame, rules: list[Rule], injective: bool = True, lexicons: dict | None = None, nodes: str = "nodes") -> DataFrame:
     """graphs with `matches`: the matches of all rules, in order of rules, then of bound places."""
     per = [rule_matches(F.col(nodes), r, injective, lexicons) for r in rules]
-    return graphs.withColumn("matches", F.flatten(F.array(*per)) if per else F.array().cast(f"array<{MATCH}>"))
+    return graphs.withColumn("matches", once(F.flatten(F.array(*per))) if per else F.array().cast(f"array<{MATCH}>"))

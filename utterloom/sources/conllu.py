@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.plan import once
+
 SEPARATOR = r"\n[ \t\r]*\n\s*"
 
 
@@ -54,8 +56,8 @@ def parsed(block: Column) -> tuple[Column, Column]:
 def graphs(blocks: DataFrame, block: str = "block") -> DataFrame:
     """blocks with meta, item_id, nodes (tokens with whole ids, in order of id, so that nodes[k].pos = k + 1) and others (ranges, empty nodes)."""
     meta, nodes = parsed(F.col(block))
-    out = blocks.withColumn("meta", meta).withColumn("__n", nodes)
-    out = out.withColumn("nodes", F.array_sort(F.filter("__n", lambda n: n["pos"] > 0), lambda a, b: a["pos"] - b["pos"])).withColumn("others", F.filter("__n", lambda n: n["pos"] == 0))
+    out = blocks.withColumn("meta", meta).withColumn("__n", once(nodes))
+    out = out.withColumn("nodes", once(F.array_sort(F.filter("__n", lambda n: n["pos"] > 0), lambda a, b: a["pos"] - b["pos"]))).withColumn("others", F.filter("__n", lambda n: n["pos"] == 0))
     return out.withColumn("item_id", F.try_element_at("meta", F.lit("item_id"))).drop("__n", block)
 
 
