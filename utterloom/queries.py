@@ -17,7 +17,7 @@ from .functions.plan import once
 from .operators import coding, pages, rewrite, table
 from .operators.match import match
 from .plans import language
-from .sources import chat, conllu
+from .sources import chat, conllu, tables
 
 UPOS, DEPREL = ("NOUN", "VERB", "PRON", "ADV"), ("nsubj", "obj", "obl:arg", "case", "nsubj:pass", "aux:pass")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,6 +455,33 @@ def t8_chat_tokens(spark, sf_dir):
     return chat.tokens(chat.utterances(chat.sessions(files))).select("utt_id", "word", "conll_id", "language")
 
 
+@register("s2_sessions", "SELECT c_custkey, CAST(unnest([0, 1]) AS INTEGER) AS session, unnest([7, 2]) AS header_lines FROM customer")
+def s2_sessions(spark, sf_dir):
+    """Two sessions in a file: the second has a header of two lines."""
+    second = "concat(" + CHAT[len("concat(") : -1] + ", '@Begin\n@Comment:\tshort\n*CHI:\toui .\n@End\n')"
+    files = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file"), F.expr(second).alias("content"))
+    s = chat.sessions(files).filter("length(trim(body)) > 0")
+    return s.select(F.col("file").cast("long").alias("c_custkey"), "session", (F.length("header") - F.length(F.replace("header", F.lit("\n"), F.lit("")))).alias("header_lines"))
+
+
+@register("t12_header_fields", "SELECT c_custkey, CAST(c_custkey + 1 AS VARCHAR) AS pid, 'fra' AS language, c_mktsegment AS project, 'CHI=Zoé,MOT=Mary' AS names, 'CHI=Zoe_' || substr(c_mktsegment, 1, 3) || '=2;0' || (c_custkey % 9) || '.10' AS children FROM customer")
+def t12_header_fields(spark, sf_dir):
+    """PID, language, project, participants over a folded line, target children."""
+    files = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file"), F.expr(CHAT).alias("content"))
+    h = chat.with_header(chat.sessions(files).filter("header <> ''"))
+    names = F.array_join(F.transform("names", lambda n: F.concat(n["code"], F.lit("="), n["name"])), ",")
+    children = F.array_join(F.transform("children", lambda c: F.concat(c["code"], F.lit("="), c["full_id"], F.lit("="), c["age"])), ",")
+    return h.select(F.col("file").cast("long").alias("c_custkey"), "pid", "language", "project", names.alias("names"), children.alias("children"))
+
+
+@register("s13_table_lines", f"WITH {TOK} SELECT concat_ws(chr(9), sid || '_w' || pos, form, coalesce(prontype, ''), '=HYPERLINK(\"' || form || '\"; \"LOC\")') AS value FROM tok")
+def s13_table_lines(spark, sf_dir):
+    """Rows as lines of a table, without quoting; nothing is an empty field."""
+    n = corpus(spark, sf_dir).select("item_id", F.explode("nodes").alias("n"))
+    t = n.select(F.concat("item_id", F.lit("_w"), "n.id").alias("utt_id"), F.concat("n.form", F.lit("\x1e")).alias("word"), F.try_element_at("n.feats", F.lit("PronType")).alias("type"), text.hyperlink(F.col("n.form"), "LOC").alias("link"))
+    return t.select(tables.line(t))
+
+
 RUNS = "SELECT CAST(o_custkey % 50 AS VARCHAR(9)) AS file, o_orderkey AS session, 0 AS block, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS pid FROM orders"
 
 
