@@ -77,7 +77,7 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarra
     n, letters = len(s), len(counts)
     start = np.concatenate([[0], np.cumsum(counts)[:-1]])
     end = start + counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     c = s[lms]
     own = np.bincount(c, minlength=letters)
     by = np.argsort(c.astype(np.int16), kind="stable")
@@ -122,7 +122,7 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarra
         if head[b] > start[b]:
             put_small(sa[start[b] : head[b]][::-1])
     sa[0] = n - 1
-    return sa.astype(np.int32)
+    return sa
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def _doubled(s: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - k] = rank[k:] + 1 if k < n else 0
         key = (rank << 32) | second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = new

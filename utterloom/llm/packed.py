@@ -83,7 +83,7 @@ def unpack(blob: bytes, dtypes: list) -> tuple[np.ndarray, np.ndarray, list[np.n
 
 def rows(part: np.ndarray, kind: int, keys: np.ndarray | None, docs: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
     """One row per partition that gets something; entries keep their order."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if not len(part) or part.max() < 1 << 16 else part, kind="stable")
     sorted_ = part[order]
     out = []
     for a, b in spans(sorted_):
@@ -131,7 +131,7 @@ def key_numbers(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def ordered(keys: list[np.ndarray]) -> np.ndarray:
-    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
 
 
 def exchange(found: DataFrame, parts: int) -> DataFrame:
@@ -168,7 +168,7 @@ def resolve(found: DataFrame, parts: int, dtypes: list, choose: Callable, record
 
 def by_document(docs: np.ndarray, columns: list[np.ndarray], parts: int) -> list[tuple[int, int, bytes]]:
     """Entries as packed rows, dealt by document."""
-    order = np.argsort(docs, kind="stable")
+    order = np.argsort(docs)
     d = docs[order]
     return rows(part_of(mixed(d.astype(np.int64).view(np.uint64)), parts), TOLD, None, d, [c[order] for c in columns])
 
@@ -181,7 +181,7 @@ def gathered(dealt: DataFrame, parts: int, dtypes: list, record: np.dtype) -> Da
         if not got:
             return
         docs = np.concatenate([g[1] for g in got])
-        order = np.argsort(docs, kind="stable")
+        order = np.argsort(docs)
         docs = docs[order]
         r = np.zeros(len(docs), record)
         for k, name in enumerate(record.names):

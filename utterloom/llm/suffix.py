@@ -1,6 +1,6 @@
 """Substring deduplication over bytes with suffix arrays.
 
-Every 200-byte window has one anchor: of its 48-byte strings the one with the smallest
+Every 200-byte window has one anchor: of its 32-byte strings the one with the smallest
 digest. The windows of a document that have the same anchor form a piece. Equal windows
 have equal anchors, so only pieces whose anchor occurs elsewhere are looked at: they are
 dealt out by anchor, so that equal windows meet in one shard, and distinct pieces of a
@@ -24,10 +24,10 @@ from .induced import permuted_lcp, suffix_array
 from .util import materialise
 
 #: Window and anchor in bytes, and the starts of anchors in a window.
-WINDOW, ANCHOR = 200, 48
+WINDOW, ANCHOR = 200, 32
 STARTS = WINDOW - ANCHOR + 1
 #: Bytes handled at once when anchors are selected, and of a shard's text for one suffix array.
-BUFFER, SHARD = 400_000, 1_500_000
+BUFFER, SHARD = 400_000, 400_000
 #: An anchor is a heavy hitter with more pieces than HEAVY and than an eighth of a partition's share.
 HEAVY = 256
 FOUND = np.dtype([("s", "<u4"), ("n", "<u2"), ("off", "u1")])
