@@ -16,6 +16,7 @@ training and scoring read without another shuffle.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from . import packed
 from .util import materialise
 
 #: Contexts (very frequent words) that make classes, least count of a word with a class of its own kind.
-CONTEXTS, FREQUENT = 40, 5
+CONTEXTS, FREQUENT = 30, 5
 RARE, END = CONTEXTS, CONTEXTS + 1
 CLASSES = CONTEXTS + 2
 #: Rows of hashed weights; one model is FEATURES * CLASSES floats whatever the input.
@@ -37,6 +38,8 @@ FEATURES = 1 << 14
 ROUNDS, STEP, BATCH = 2, 0.35, 8192
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 12_000_000
+#: Bytes of text split into words at once.
+SLICE = 1_000_000
 SUMS = 16
 
 
@@ -48,22 +51,71 @@ def _held(c):
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(5)) == 1
 
 
-def _tokens(texts: list) -> list[list[bytes]]:
-    return [(t or b"").lower().split() for t in texts]
+_FACTOR = 0x9E3779B97F4A7C15
+_LETTERS = np.frombuffer(b"".join(hashlib.blake2b(bytes([k]), digest_size=8).digest() for k in range(256)), np.uint64)
+_LOWER = np.array([k + 32 if 65 <= k <= 90 else k for k in range(256)], np.uint8)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_powers: list[np.ndarray] = []
 
 
-def _unique(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(h, return_counts=True)
+def word_digests(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit digests of all words (A-Z lower-cased), one text after the other, and the number of words of each.
 
-
-def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct word digests of a batch with their counts."""
-    hashes = packed.WordHashes()
+    A word's digest is a polynomial of its bytes' random numbers, taken from one running sum over all
+    bytes: words are never cut out as objects.
+    """
+    raw = [t or b"" for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    n = len(data)
+    if not _powers or len(_powers[0]) < n + 1:
+        size = max(n + 1, 2 * SLICE)
+        up, down = np.full(size, _FACTOR, np.uint64), np.full(size, pow(_FACTOR, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    up, down = _powers
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[0::2], edge[1::2]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTERS[_LOWER[data]] * up[:n], out=total[1:])
+    h = packed.mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    bounds = np.cumsum([len(t) + 1 for t in raw])
+    return h, np.diff(np.searchsorted(start, bounds), prepend=0)
+
+
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
         texts = list(b["raw"])
-        for x, y in packed.slices([t or b"" for t in texts], 40_000_000):
-            h, n = _unique(hashes.of(_tokens(texts[x:y]))[0])
-            yield pd.DataFrame({"h": h.view(np.int64), "n": n})
+        for x, y in packed.slices([t or b"" for t in texts], SLICE):
+            yield word_digests(texts[x:y])
+
+
+#: Entries gathered in a partition before they are sent.
+GATHER = 1_500_000
+
+
+def _summed_up(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, where = np.unique(keys, return_inverse=True)
+    return values, np.bincount(where, times, len(values)).astype(np.int64)
+
+
+def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distinct word digests with their counts, summed up over about a partition."""
+    held, size = [], 0
+    for h, _ in _sliced(batches):
+        held.append(np.unique(h, return_counts=True))
+        size += len(held[-1][0])
+        if size > GATHER:
+            held = [_summed_up(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
+            size = len(held[0][0])
+            if size > GATHER // 2:
+                yield pd.DataFrame({"h": held[0][0].view(np.int64), "n": held[0][1]})
+                held, size = [], 0
+    if held:
+        k, n = _summed_up(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+        yield pd.DataFrame({"h": k.view(np.int64), "n": n})
 
 
 def _last_context(code: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -78,11 +130,6 @@ def _last_context(code: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(before >= start, code[np.maximum(before, 0)], CONTEXTS)
 
 
-def _firsts(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(d) for d in docs], np.int64)
-    return np.cumsum(sizes) - sizes, sizes
-
-
 def _codes(h: np.ndarray, top: np.ndarray) -> np.ndarray:
     """Context code of each digest: its place in top, else CONTEXTS."""
     order = np.argsort(top)
@@ -94,19 +141,30 @@ def _codes(h: np.ndarray, top: np.ndarray) -> np.ndarray:
 def _context_rows(top: np.ndarray):
     """How often each distinct word of a batch follows each context."""
 
+    def joined(held: list[tuple]) -> list[tuple]:
+        h, f, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+        values, code = np.unique(h, return_inverse=True)
+        pairs, n = _summed_up(code * (CONTEXTS + 1) + f, n)
+        w, f = np.divmod(pairs, CONTEXTS + 1)
+        return [(values[w], f, n)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = packed.WordHashes()
-        for b in batches:
-            texts = list(b["raw"])
-            for x, y in packed.slices([t or b"" for t in texts], 40_000_000):
-                docs = _tokens(texts[x:y])
-                h, _ = hashes.of(docs)
-                f = _last_context(_codes(h, top), _firsts(docs)[0])
-                values, code = np.unique(h, return_inverse=True)
-                pairs, n = np.unique(code.astype(np.int64) * (CONTEXTS + 1) + f, return_counts=True)
-                w, f = np.divmod(pairs, CONTEXTS + 1)
-                good = f < CONTEXTS
-                yield pd.DataFrame({"h": values[w[good]].view(np.int64), "f": f[good].astype(np.int32), "n": n[good]})
+        held: list[tuple] = []
+        size = 0
+        for h, sizes in _sliced(batches):
+            f = _last_context(_codes(h, top), np.cumsum(sizes) - sizes)
+            good = f < CONTEXTS
+            held.append((h[good], f[good], np.ones(int(good.sum()), np.int64)))
+            size += len(held[-1][0])
+            if size > GATHER:
+                held = joined(held)
+                size = len(held[0][0])
+                if size > GATHER // 2:
+                    yield pd.DataFrame({"h": held[0][0].view(np.int64), "f": held[0][1].astype(np.int32), "n": held[0][2]})
+                    held, size = [], 0
+        if held:
+            h, f, n = joined(held)[0]
+            yield pd.DataFrame({"h": h.view(np.int64), "f": f.astype(np.int32), "n": n})
 
     return run
 
@@ -115,7 +173,7 @@ def _requests(parts: int):
     """Distinct words of each block, by partition: part, block, blob of sorted digests."""
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        h = _block_words(list(g["raw"]), packed.WordHashes())[2]
+        h = _block_words(list(g["raw"]))[1]
         part = packed.part_of(h, parts)  # h is sorted, so parts are too
         out = [(int(part[a]), int(key[0]), h[a:b].tobytes()) for a, b in packed.spans(part)]
         return pd.DataFrame(out, columns=["part", "block", "blob"])
@@ -123,11 +181,11 @@ def _requests(parts: int):
     return run
 
 
-def _block_words(texts: list, hashes: packed.WordHashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    docs = _tokens(texts)
-    h, _ = hashes.of(docs)
-    values, code = np.unique(h, return_inverse=True)
-    return docs, h, values, code.astype(np.int64)
+def _block_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words of each text, the block's distinct digests in order, and for each word its digest's place among them."""
+    parts = [word_digests(texts[x:y]) for x, y in packed.slices([t or b"" for t in texts], SLICE)]
+    values, code = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    return np.concatenate([n for _, n in parts]), values, code
 
 
 def _answers(key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -154,7 +212,7 @@ def _encode(stats: dict, top: np.ndarray):
         if not len(docs_):
             return pd.DataFrame({c: [] for c in columns})
         docs_ = docs_.sort_values("doc_id", kind="stable")
-        docs, h, values, code = _block_words(list(docs_["raw"]), packed.WordHashes())
+        sizes, values, code = _block_words(list(docs_["raw"]))
         got = got.sort_values("part")
         counts = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in got["counts"]] or [np.zeros(0, np.int64)])
         classes = np.concatenate([np.frombuffer(x, np.uint8) for x in got["classes"]] or [np.zeros(0, np.uint8)])
@@ -162,9 +220,9 @@ def _encode(stats: dict, top: np.ndarray):
         below = total + 0.5 * (kinds + 1)
         base = np.log10((counts + 0.5) / below)
         inner = np.log10((counts + 0.5) / stats["mass"][classes]) if len(counts) else np.zeros(0)
-        first, sizes = _firsts(docs)
-        f = _last_context(_codes(h, top), first)
-        row16 = (packed.mixed(h) >> np.uint64(48)).astype(np.uint16)
+        first = np.cumsum(sizes) - sizes
+        f = _last_context(_codes(values, top)[code], first)
+        row16 = (packed.mixed(values) >> np.uint64(48)).astype(np.uint16)[code]
         add = lambda x: np.add.reduceat(np.append(x, 0.0), np.minimum(first, len(x)))[: len(first)] * (sizes > 0) if len(first) else np.zeros(0)
         known = (counts > 0).astype(np.float64)
         base_end = np.log10((ends + 0.5) / below)
@@ -192,7 +250,7 @@ def features(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         one, two = word[1:], word[:-1]  # history of each token and of the end
         f = np.append(last, last[-1] if n else CONTEXTS).astype(np.uint32)
         mix = lambda x, salt: ((x * np.uint32(2654435761) + np.uint32(salt * 40503 + 12345)) * np.uint32(2246822519)) >> np.uint32(18)
-        rows.append(np.stack([mix(one, 1), mix(one * np.uint32(65599) + two, 2), mix(two, 3), mix(f * np.uint32(31) + (one & np.uint32(7)) * np.uint32(0), 4)], 1))
+        rows.append(np.stack([mix(one, 1), mix(one * np.uint32(65599) + two, 2), mix(two, 3), mix(f * np.uint32(31), 4)], 1))
         classes.append(np.append(cls, END))
         sizes.append(n + 1)
     return np.concatenate(rows).astype(np.int64), np.concatenate(classes).astype(np.int64), np.array(sizes, np.int64)
@@ -241,15 +299,15 @@ def _gradient_rows(model, half: int):
     return run
 
 
-def _sum_rows(key, pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _summed(key, g: pd.DataFrame) -> pd.DataFrame:
+    """The mean change of a piece of the weights, row by row, by use."""
     size = FEATURES // SUMS
     change, used = np.zeros((size, CLASSES)), np.zeros(size, np.int64)
-    for g in pieces:
-        for c, u in zip(g["change"], g["used"], strict=True):
-            change += np.frombuffer(zstandard.decompress(c), np.float32).reshape(size, CLASSES)
-            used += np.frombuffer(u, np.int64)
+    for c, u in zip(g["change"], g["used"], strict=True):
+        change += np.frombuffer(zstandard.decompress(c), np.float32).reshape(size, CLASSES)
+        used += np.frombuffer(u, np.int64)
     mean = (change / np.maximum(used, 1)[:, None]).astype(np.float32)
-    yield pd.DataFrame({"piece": [int(key[0])], "mean": [mean.tobytes()]})
+    return pd.DataFrame({"piece": [int(key[0])], "mean": [mean.tobytes()]})
 
 
 def train(encoded: DataFrame, bias: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -267,10 +325,6 @@ def train(encoded: DataFrame, bias: np.ndarray, rounds: int = ROUNDS) -> np.ndar
     return w
 
 
-def _summed(key, g: pd.DataFrame) -> pd.DataFrame:
-    return next(_sum_rows(key, iter([g])))
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
