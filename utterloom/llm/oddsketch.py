@@ -213,7 +213,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
     signed = materialise(d.mapInPandas(_signature_rows(width), "doc_id long, n_shingles long, same_a long, same_b long, bands array<long>, sketch binary"), "signatures")
     same = ["n_shingles", "same_a", "same_b"]
-    classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    #: A table of its own: joins with it can then split the rows of a very large class.
+    classes = materialise(signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     #: Of rows with one id, texts of different sets would be different representatives under one id; the set tells them apart.
     reps = signed.filter("n_shingles > 0").join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     links = _links(d, reps, width, percent)
