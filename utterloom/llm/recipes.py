@@ -48,6 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialise(rows, "recipes")
     best = F.min(F.struct((-F.col("n_code")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
     groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("best"))
-    groups = groups.select(F.col("recipe").alias("r"), "group_size", F.col("best.id").alias("keep_id"))
+    #: A table of its own: the join can then split the rows of a very large group.
+    groups = materialise(groups.select(F.col("recipe").alias("r"), "group_size", F.col("best.id").alias("keep_id")), "groups")
     out = rows.join(groups, rows["recipe"] == groups["r"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
