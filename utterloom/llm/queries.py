@@ -189,6 +189,27 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
   CASE WHEN rule IS NULL AND bad IS NOT NULL THEN '~' || bad END AS pattern_rule FROM s"""
 
 
+WORDS_SQL = "list_filter(regexp_split_to_array({}, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP7_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS s FROM w),
+sized AS MATERIALIZED (SELECT doc_id, len(s) AS n, s FROM sets),
+flat AS MATERIALIZED (SELECT doc_id, n, unnest(s) AS g FROM sized),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * common >= 85 * (na + nb - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM sized JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = doc_id"""
+
+OP9_SQL = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM (SELECT s.doc_id, i FROM s JOIN (SELECT x, min(doc_id) AS least FROM s GROUP BY x) m USING (x) WHERE s.doc_id > least)),
+lists AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+k AS (SELECT doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed, CASE WHEN js IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(js, i)), lambda i: ws[i]) END AS kept FROM w LEFT JOIN lists USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
     op6 = f"WITH {op6_parts()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(posterior, 6) AS posterior, NOT base_failed AND posterior >= {weaksup.THRESHOLD} AS kept FROM judged"
-    return {"op2_source_mixing": op2_sql(), "op3_license_scan": op3_sql(), "op5_chunk_recipes": OP5_SQL, "op6_weak_quality": op6, "op8_url_rules": OP8_SQL}
+    return {"op2_source_mixing": op2_sql(), "op3_license_scan": op3_sql(), "op5_chunk_recipes": OP5_SQL, "op6_weak_quality": op6, "op7_odd_sketches": OP7_SQL, "op8_url_rules": OP8_SQL, "op9_cover_anchors": OP9_SQL}
