@@ -322,6 +322,33 @@ def test_posterior_finds_planted_classes(spark):
     assert all((r["p"] >= 0.5) == all(r[n] >= 0 for n in names) for r in out)
 
 
+def test_hot_junk_text_leaves_other_verdicts(spark):
+    """A third of rows are one junk text: the rows with another kind of junk stay rejected, the clean ones kept."""
+    rnd = random.Random(12)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(n))
+    clean = [(i, prose(40)) for i in range(300)]
+    symbols = [(i, prose(30) + " ##%% $$ &&") for i in range(300, 324)]
+    lone = "STOP! NOW! STOP! NOW! STOP! " * 12
+    few = [(i, prose(30) + "\n" + "same line here\n" * (3 + i % 3) + prose(5)) for i in range(324, 330)]
+    hot = [(i, lone) for i in range(330, 495)]
+
+    def kept(rows):
+        return {r["doc_id"] for r in weaksup.good_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    assert kept(clean + symbols + few) == kept(clean + symbols + few + hot) == {i for i, _ in clean}
+    # the same with junk texts that are no copies of each other
+    assert kept(clean + symbols + few + [(i, f"{t} GO{i}!") for i, t in hot]) == {i for i, _ in clean}
+
+
+def test_hot_kind_of_votes_leaves_other_verdicts():
+    names = list(weaksup.RULES)
+    pattern = lambda *bad: tuple([-1 if k in bad else 0 for k in names[:5]] + [-1 if "variety" in bad else 1, 1])
+    some = {pattern(): 8600.0, pattern("symbols"): 710.0, pattern("lines"): 4.0, pattern("capitals", "shouts", "repeats"): 175.0, pattern("repeats", "variety"): 225.0}
+    for bad, n in ((("capitals", "shouts", "repeats"), 500), (("repeats", "variety"), 2000), (("repeats", "variety"), 20_000)):
+        post = weaksup.kind_posteriors(some | {pattern(*bad): some[pattern(*bad)] + n})
+        assert {p: x >= weaksup.THRESHOLD for p, x in post.items()} == {p: p == pattern() for p in some}
+
+
 # --- 7
 
 

@@ -9,7 +9,9 @@ pattern table, which has at most 3**len(RULES) rows whatever the input.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,20 +121,79 @@ def posterior_of(model: tuple, names: list[str]):
     return g / (g + joint("b", 1 - good))
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict = RULES, rounds: int = ROUNDS) -> DataFrame:
+def text_digest(text_col: str = "text"):
+    """128 bits of a text (null as empty): texts of one digest have one verdict."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def kind_posteriors(patterns: dict[tuple[int, ...], float], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
+    """P(good) of each vote pattern (pattern -> texts), by EM with one bad class for each kind of junk.
+
+    A kind is the set of rules that vote bad. All shares are estimated, but only the ratio of good
+    texts to a kind's own enters the posterior, so no kind hides another however many texts it has.
+    Pseudo-votes follow the first guess: where the votes tell nothing, the guess stays. A rule's capped
+    rate of bad votes on good texts leaves the rest to its other votes. Without a bad vote a text is good.
+    """
+    kind = {p: tuple(k for k, v in enumerate(p) if v == -1) for p in patterns}
+    n_rules = range(len(next(iter(patterns), ())))
+    post = {p: GUESS[0] if kind[p] else 1.0 for p in patterns}
+    for _ in range(rounds):
+        good, bad = Counter(), Counter()
+        for p, n in patterns.items():
+            good["all"] += n * post[p]
+            bad[kind[p]] += n * (1 - post[p])
+            for k in n_rules:
+                good[k, p[k]] += n * post[p]
+                bad[kind[p], k, p[k]] += n * (1 - post[p])
+        rate = {}
+        for k in n_rules:
+            rate[k, -1] = min((good[k, -1] + SMOOTH * GUESS[0]) / (good["all"] + SMOOTH), CEILING)
+            for v in (0, 1):
+                rate[k, v] = (1 - rate[k, -1]) * (good[k, v] + SMOOTH) / (good[k, 0] + good[k, 1] + 2 * SMOOTH)
+        for p in patterns:
+            if c := kind[p]:
+                g = (good["all"] + SMOOTH) * prod(rate[k, p[k]] for k in n_rules)
+                b = (bad[c] + SMOOTH * GUESS[1]) * prod((bad[c, k, p[k]] + SMOOTH * rate[k, p[k]]) / (bad[c] + SMOOTH) for k in n_rules if k not in c)
+                post[p] = g / (g + b)
+    return post
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, rules: dict, rounds: int, by_kind: bool) -> DataFrame:
+    """One row per input row: doc_id, `__text` (text_digest, only by_kind), the struct q of counts, base_failed and posterior.
+
+    By kind, estimates are made on distinct texts, so copies are no evidence; the patterns that come
+    to the driver are at most 3**len(rules) whatever the input.
+    """
+    own = ["doc_id", *(["__text"] if by_kind else [])]
+    d = docs.select(F.col(id_col).alias("doc_id"), *([text_digest(text_col).alias("__text")] if by_kind else []), F.col(text_col).alias("text"))
+    rows = materialise(signals(d).select(*own, "__q.*"), "signals")
+    names = [f"v_{k}" for k in rules]
+    held = rows.select(*own, F.struct(*[c for c in rows.columns if c not in own]).alias("q")).select("*", *votes("q", rules))
+    if by_kind:
+        found = held.select("__text", *names).distinct().groupBy(*names).agg(F.count("*").cast("double").alias("n")).collect()
+        post = kind_posteriors({tuple(r[:-1]): r["n"] for r in found}, rounds)
+        out = held.join(F.broadcast(held.sparkSession.createDataFrame([(*p, x) for p, x in post.items()], ", ".join(f"{k} int" for k in names) + ", posterior double")), names)
+    else:
+        #: At most 3**rules rows; kept in the shared folder since each round reads it.
+        patterns = materialise(held.groupBy(*names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "patterns")
+        out = held.withColumn("posterior", posterior_of(fit(patterns, names, rounds), names))
+    base = failed({c: F.col(f"q.{c}") for c in ("n_words", "n_repeat_words")})
+    return out.select(*own, "q", base.alias("base_failed"), F.round("posterior", 6).alias("posterior"), (~base & (F.col("posterior") >= THRESHOLD)).alias("kept"))
+
+
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict = RULES, rounds: int = ROUNDS, by_kind: bool = True) -> DataFrame:
     """One row per input row: doc_id, the counts, base_failed, posterior (of being good) and kept.
 
     Null and empty texts have no words and fail the base rule. Rows that repeat an id each get
     their own verdict. Other input columns are ignored. Texts that fail the base rule take part
-    in the estimates like all others. An empty table gives no rows.
+    in the estimates like all others. An empty table gives no rows. by_kind: posteriors by
+    kind_posteriors; else by fit, whose single bad class a large group of junk can take over.
     """
-    rows = signals(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "__q")
-    rows = materialise(rows.select("doc_id", "__q.*"), "signals")
-    names = [f"v_{k}" for k in rules]
-    held = rows.select("doc_id", F.struct(*[c for c in rows.columns if c != "doc_id"]).alias("q")).select("*", *votes("q", rules))
-    #: At most 3**rules rows; kept in the shared folder since each round reads it.
-    patterns = materialise(held.groupBy(*names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "patterns")
-    out = held.withColumn("posterior", posterior_of(fit(patterns, names, rounds), names))
-    base = failed({c: F.col(f"q.{c}") for c in ("n_words", "n_repeat_words")})
+    out = judged(docs, id_col, text_col, rules, rounds, by_kind)
     counts = [F.col(f"q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return out.select("doc_id", *counts, base.alias("base_failed"), F.round("posterior", 6).alias("posterior"), (~base & (F.col("posterior") >= THRESHOLD)).alias("kept"))
+    return out.select("doc_id", *counts, "base_failed", "posterior", "kept")
+
+
+def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and `__text` (text_digest) of the rows that assess keeps."""
+    return judged(docs, id_col, text_col, RULES, ROUNDS, True).filter("kept").select("doc_id", "__text")
