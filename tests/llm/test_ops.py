@@ -483,6 +483,11 @@ def test_op10_class_probabilities_add_up():
     assert np.allclose(p.sum(1), 1, atol=1e-4)
 
 
+def test_op10_has_all_its_classes():
+    """40 contexts, rare words and ends: fewer are a coarser model, not a faster one."""
+    assert (maxent.CONTEXTS, maxent.CLASSES) == (40, 42)
+
+
 def test_op10_beats_counts_on_held_out_text(spark):
     """Two made-up languages: the history tells which one goes on."""
     rnd = random.Random(9)
