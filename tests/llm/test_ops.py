@@ -531,3 +531,27 @@ def test_pipeline_equals_plain_stages(spark, tmp_path, rows, pieces):
     for i, x in left.items():
         ids = lib.encode(x[0] or "")
         assert tuple(got[i]) == (i, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)))
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    """Each row is judged by itself, whatever its id; of rows that are alike one stays."""
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(n))
+    a, b, c, d, e, f = (prose(120) for _ in range(6))
+    near = lambda t, k: " ".join([*t.split(" ")[:-1], f"end{k}"])
+    junk = "STOP! NOW! STOP! NOW! STOP! " * 12
+    rows = [(None, a), (None, b), (None, "short"), (None, junk), (7, near(b, 7)), (3, near(b, 3)), (4, c), (4, c), (4, junk), (5, d), (5, e), (None, near(f, 1)), (None, near(f, 2)), (None, near(f, 2)), (9, near(a, 9))]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    good = corpus_pipeline.quality(spark, df, "")
+    order = lambda x: sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    pairs = lambda x: order((r["doc_id"], r["text"]) for r in x.collect())
+    assert good.columns == df.columns and pairs(good) == order((i, t) for i, t in rows if t not in ("short", junk))
+    once = corpus_pipeline.exact(spark, good, "")
+    assert once.columns == df.columns and pairs(once) == order({(i, t) for i, t in rows if t not in ("short", junk)})
+    left = corpus_pipeline.near(spark, once, "")
+    got = pairs(left)
+    assert left.columns == df.columns and len(got) == 6
+    assert {x for x in got if x[0] is not None} == {(9, near(a, 9)), (3, near(b, 3)), (4, c), (5, d), (5, e)}
+    assert [t in (near(f, 1), near(f, 2)) for i, t in got if i is None] == [True]
