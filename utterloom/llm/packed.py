@@ -140,7 +140,7 @@ def exchange(found: DataFrame, parts: int) -> DataFrame:
 
 
 def resolve(found: DataFrame, parts: int, dtypes: list, choose: Callable, record: np.dtype) -> DataFrame:
-    """Compare the digests of each partition; one row (doc_id, found) per document, with records of the entries that choose keeps.
+    """Compare the digests of each partition; one row (key, found) per document, with records of the entries that choose keeps.
 
     choose(order, run, docs) gives a mask over order. TOLD entries are passed on. Entries go
     on packed, now dealt by document. A partition's digests, and then its documents' records,
@@ -174,7 +174,7 @@ def by_document(docs: np.ndarray, columns: list[np.ndarray], parts: int) -> list
 
 
 def gathered(dealt: DataFrame, parts: int, dtypes: list, record: np.dtype) -> DataFrame:
-    """One row per document with its records as bytes: doc_id, found."""
+    """One row per document with its records as bytes: key, found."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [unpack(x, dtypes) for b in batches for x in b["blob"]]
@@ -189,15 +189,15 @@ def gathered(dealt: DataFrame, parts: int, dtypes: list, record: np.dtype) -> Da
         cuts = spans(docs)
         for at in range(0, len(cuts), 10_000):
             part = cuts[at : at + 10_000]
-            yield pd.DataFrame({"doc_id": docs[[a for a, _ in part]], "found": [r[a:b].tobytes() for a, b in part]})
+            yield pd.DataFrame({"key": docs[[a for a, _ in part]], "found": [r[a:b].tobytes() for a, b in part]})
 
-    return exchange(dealt, parts).mapInPandas(run, "doc_id long, found binary")
+    return exchange(dealt, parts).mapInPandas(run, "key long, found binary")
 
 
 def joined(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs (doc_id, raw) with their records as `found`, null for none."""
-    per = found.withColumnRenamed("doc_id", "d")
-    return docs.join(per, docs["doc_id"] == per["d"], "left").select("doc_id", "raw", "found")
+    """docs, which have a key, with their records as `found`, null for none."""
+    per = found.withColumnRenamed("key", "__k")
+    return docs.join(per, docs["key"] == per["__k"], "left").drop("__k")
 
 
 class WordHashes(dict):

@@ -5,8 +5,12 @@ digest. The windows of a document that have the same anchor form a piece. Equal
 have equal anchors, so only pieces whose anchor occurs elsewhere are looked at: they are
 dealt out by anchor, so that equal windows meet in one shard, and distinct pieces of a
 shard form its text. Its suffix array (induced sorting) and permuted common prefixes say
-which windows occur twice. An anchor with very many pieces (a heavy hitter, of which there
-can be only few) is split: its windows are compared one by one by 128-bit digests.
+which windows occur twice.
+
+A shard holds about SHARD bytes, whatever an anchor holds: pieces of an anchor with more
+text than that are cut into the windows of 13 neighbouring places of the anchor and dealt
+by what these have in common (188 bytes), and where that is too much again into single
+windows. Equal windows have the anchor at the same place, so they still meet.
 """
 
 from __future__ import annotations
@@ -21,17 +25,19 @@ from pyspark.sql import functions as F
 
 from . import packed
 from .induced import permuted_lcp, suffix_array
-from .util import materialise
+from .util import census, keyed, materialise, parts_for
 
 #: Window and anchor in bytes, and the starts of anchors in a window.
 WINDOW, ANCHOR = 200, 32
 STARTS = WINDOW - ANCHOR + 1
 #: Bytes handled at once when anchors are selected, and of a shard's text for one suffix array.
 BUFFER, SHARD = 400_000, 400_000
-#: An anchor is a heavy hitter with more pieces than HEAVY and than an eighth of a partition's share.
-HEAVY = 256
+#: Places of the anchor in a window that pieces are cut by when their anchor, then what they share, has too much text.
+CUTS = (13, 1)
 FOUND = np.dtype([("s", "<u4"), ("n", "<u2"), ("off", "u1")])
 PLACE = np.dtype([("at", "<u4"), ("n", "<u2")])
+REF = np.dtype([("key", "<i8"), ("s", "<u4")])
+PIECES = "h long, off int, piece binary, n long, refs binary"
 _LETTERS = np.frombuffer(b"".join(hashlib.blake2b(bytes([k]), digest_size=8).digest() for k in range(256)), np.uint64)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -99,7 +105,7 @@ def _anchor_rows(parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = _texts(b["raw"])
-            ids = b["doc_id"].to_numpy(np.int64)
+            ids = b["key"].to_numpy(np.int64)
             for x, y in packed.slices(texts, 64 * BUFFER):
                 got: list[list[np.ndarray]] = [[] for _ in range(5)]
                 for group in segments(ids[x:y], texts[x:y]):
@@ -121,37 +127,76 @@ def _anchor_rows(parts: int):
     return run
 
 
-def _piece_rows(parts: int):
-    """Distinct pieces of each batch that may repeat, with their places: part, h, piece, refs."""
+def _held_rows(held: dict[tuple[int, bytes], list[int]], off: dict, keys: np.ndarray, at: np.ndarray, times: np.ndarray) -> pd.DataFrame:
+    """A row of PIECES for each distinct piece, from the numbers of its places."""
+    ref = np.empty(len(keys), REF)
+    ref["key"], ref["s"] = keys, at
+    raw, size = ref.tobytes(), REF.itemsize
+    refs = [raw[size * i[0] : size * i[0] + size] if len(i) == 1 else ref[i].tobytes() for i in held.values()]
+    n = [int(times[i[0]]) if len(i) == 1 else int(times[i].sum()) for i in held.values()]
+    return pd.DataFrame({"h": np.array([h for h, _ in held], np.int64), "off": np.array([off[k] for k in held], np.int32), "piece": [p for _, p in held], "n": np.array(n, np.int64), "refs": refs})
+
+
+def _digest(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def _piece_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distinct pieces of each batch that may repeat, with their places."""
+    for b in batches:
+        b = b[[f is not None for f in b["found"]]]
+        held: dict[tuple[int, bytes], list[int]] = {}
+        off: dict[tuple[int, bytes], int] = {}
+        keys, at, times = [], [], []
+        for i, raw, found, copies in zip(b["key"], b["raw"], b["found"], b["copies"], strict=True):
+            # a piece that was told and asked on as well comes twice
+            for s, n, o in set(np.frombuffer(found, FOUND).tolist()):
+                k = (_digest(raw[s + o : s + o + ANCHOR]), raw[s : s + n + WINDOW - 1])
+                held.setdefault(k, []).append(len(keys))
+                off[k] = o
+                keys.append(i)
+                at.append(s)
+                times.append(copies)
+        yield _held_rows(held, off, np.array(keys, np.int64), np.array(at, np.uint32), np.array(times, np.int64))
+
+
+def _cut_rows(width: int):
+    """Pieces cut into the windows with their anchor at width neighbouring places, dealt by the bytes that these have in common."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[[f is not None for f in b["found"]]]
-            held: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-            for i, raw, found in zip(b["doc_id"], b["raw"], b["found"], strict=True):
-                # a piece that was told and asked on as well comes twice
-                for s, n, off in np.unique(np.frombuffer(found, FOUND)).tolist():
-                    key = hashlib.blake2b(raw[s + off : s + off + ANCHOR], digest_size=8).digest()
-                    held.setdefault((key, raw[s : s + n + WINDOW - 1]), []).append((i, s))
-            h = np.frombuffer(b"".join(k for k, _ in held), np.uint64)
-            refs = []
-            for places in held.values():
-                r = np.array(sorted(places), np.int64).reshape(-1, 2)
-                refs.append(packed.pack(None, r[:, 0], [r[:, 1].astype(np.uint32)]))
-            yield pd.DataFrame({"part": packed.part_of(h, parts).astype(np.int32), "h": h.view(np.int64), "piece": [p for _, p in held], "refs": refs})
+            held: dict[tuple[int, bytes], list[int]] = {}
+            off: dict[tuple[int, bytes], int] = {}
+            refs, times, total = [], [], 0
+            for h, o, piece, n, raw in zip(b["h"], b["off"], b["piece"], b["n"], b["refs"], strict=True):
+                own = np.frombuffer(raw, REF)
+                for j in range(max(0, o - (len(piece) - WINDOW)) // width, o // width + 1):
+                    low, high = max(0, o - (j + 1) * width + 1), min(len(piece) - WINDOW, o - j * width)
+                    core = piece[o - j * width : o - (j + 1) * width + 1 + WINDOW]
+                    k = (_digest(h.to_bytes(8, "little", signed=True), j.to_bytes(2, "little"), core), piece[low : high + WINDOW])
+                    moved = own.copy()
+                    moved["s"] += low
+                    held.setdefault(k, []).extend(range(total, total + len(own)))
+                    off[k] = o - low
+                    refs.append(moved)
+                    times.append(np.append(np.ones(len(own) - 1, np.int64), n - len(own) + 1))
+                    total += len(own)
+            r = np.concatenate(refs) if refs else np.zeros(0, REF)
+            yield _held_rows(held, off, r["key"], r["s"], np.concatenate(times) if times else np.zeros(0, np.int64))
 
     return run
 
 
 def repeats(pieces: list[bytes]) -> list[np.ndarray]:
-    """For each of distinct pieces, whether the window at each of its starts also starts elsewhere in them."""
+    """For each of the pieces, whether the window at each of its starts also starts elsewhere in them."""
     sizes = np.array([len(p) + 1 for p in pieces])
     first = np.cumsum(sizes) - sizes
-    s = np.frombuffer(b"\0".join(pieces) + b"\0\0", np.uint8).astype(np.int32) + 2
+    s = np.frombuffer(b"\0".join(pieces) + b"\0\0", np.uint8).astype(np.int64) + 2
     s[first + sizes - 1] = 1
     s[-1] = 0
     sa = suffix_array(s)
-    long = permuted_lcp(s, sa, first, int(sizes.max()) + WINDOW) >= WINDOW
+    room = np.append(np.repeat(first + sizes - 1, sizes), len(s) - 1) - np.arange(len(s))
+    long = permuted_lcp(s, sa, first, room) >= WINDOW
     both = long.copy()
     both[sa[:-1]] |= long[sa[1:]]
     return [both[f : f + n - WINDOW] for f, n in zip(first, sizes, strict=True)]
@@ -166,56 +211,56 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _shards(parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Places of repeated windows, from all pieces of a partition."""
-        by_anchor: dict[int, dict[bytes, list[bytes]]] = {}
+        """Places of repeated windows. Rows come in order of h; in memory are a batch and the distinct pieces of one shard."""
+        chunk: dict[bytes, bytes | None] = {}  # piece -> its places, None if all its windows are known to repeat
+        whole: list[tuple[int, bytes]] = []  # windows and places of such pieces
+        size, last = 0, None
         for b in batches:
-            for h, piece, refs in zip(b["h"], b["piece"], b["refs"], strict=True):
-                by_anchor.setdefault(h, {}).setdefault(piece, []).append(refs)
-        chunk: dict[bytes, list[bytes]] = {}
-        size = 0
-        for h in sorted(by_anchor):
-            size += sum(map(len, by_anchor[h]))
-            chunk |= by_anchor.pop(h)
-            if size >= SHARD:
-                yield packed.frame(_places(chunk, parts))
-                chunk, size = {}, 0
+            for h, piece, n, refs in zip(b["h"], b["piece"], b["n"], b["refs"], strict=True):
+                if h != last and size >= SHARD:
+                    yield packed.frame(_places(chunk, parts))
+                    chunk, size = {}, 0
+                last = h
+                if piece in chunk:
+                    if chunk[piece] is not None:
+                        whole.append((len(piece) - WINDOW + 1, chunk[piece]))
+                        chunk[piece] = None
+                    whole.append((len(piece) - WINDOW + 1, refs))
+                else:
+                    chunk[piece] = None if n > 1 else refs
+                    size += len(piece)
+                    if n > 1:
+                        whole.append((len(piece) - WINDOW + 1, refs))
+            if whole:
+                yield packed.frame(_whole_places(whole, parts))
+                whole = []
         if chunk:
             yield packed.frame(_places(chunk, parts))
 
     return run
 
 
-def _places(chunk: dict[bytes, list[bytes]], parts: int) -> list[tuple[int, int, bytes]]:
-    docs, at, number = [], [], []
-    for mask, refs in zip(repeats(list(chunk)), chunk.values(), strict=True):
-        got = [packed.unpack(r, [np.uint32]) for r in refs]
-        d, s = np.concatenate([g[1] for g in got]), np.concatenate([g[2][0] for g in got])
-        start, n = _runs(mask | (len(d) > 1))
-        docs.append(np.repeat(d, len(start)))
-        at.append((s[:, None] + start[None, :]).ravel())
-        number.append(np.tile(n, len(d)))
-    return packed.by_document(np.concatenate(docs), [np.concatenate(at).astype(np.uint32), np.concatenate(number).astype(np.uint16)], parts)
+def _dealt(refs: np.ndarray, at: np.ndarray, n: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    return packed.by_document(refs["key"], [(refs["s"].astype(np.int64) + at).astype(np.uint32), n.astype(np.uint16)], parts)
 
 
-def _window_rows(parts: int):
-    """Single windows of pieces with a very frequent anchor."""
+def _whole_places(whole: list[tuple[int, bytes]], parts: int) -> list[tuple[int, int, bytes]]:
+    ref = np.frombuffer(b"".join(r for _, r in whole), REF)
+    n = np.repeat(np.array([n for n, _ in whole]), [len(r) // REF.itemsize for _, r in whole])
+    return _dealt(ref, np.zeros(len(ref), np.int64), n, parts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            digests, docs, at = [], [], []
-            for piece, refs in zip(b["piece"], b["refs"], strict=True):
-                n = len(piece) - WINDOW + 1
-                own = np.frombuffer(b"".join(hashlib.blake2b(piece[k : k + WINDOW], digest_size=16).digest() for k in range(n)), np.uint64).reshape(-1, 2)
-                _, d, (s,) = packed.unpack(refs, [np.uint32])
-                digests.append(np.tile(own, (len(d), 1)))
-                docs.append(np.repeat(d, n))
-                at.append((s[:, None] + np.arange(n)[None, :]).ravel())
-            if digests:
-                x, d, a = np.concatenate(digests), np.concatenate(docs), np.concatenate(at).astype(np.uint32)
-                o = np.argsort(d, kind="stable")
-                yield packed.frame(_ask(np.ascontiguousarray(x[o, 0]), np.ascontiguousarray(x[o, 1]), d[o], [a[o], np.ones(len(o), np.uint16)], parts))
 
-    return run
+def _places(chunk: dict[bytes, bytes | None], parts: int) -> list[tuple[int, int, bytes]]:
+    at, number, refs = [], [], []
+    for mask, raw in zip(repeats(list(chunk)), chunk.values(), strict=True):
+        if raw is not None and mask.any():
+            start, n = _runs(mask)
+            at.append(start)
+            number.append(n)
+            refs.append(raw * len(start))  # one place each
+    if not refs:
+        return []
+    return _dealt(np.frombuffer(b"".join(refs), REF), np.concatenate(at), np.concatenate(number), parts)
 
 
 def covered(n: int, places: bytes) -> np.ndarray:
@@ -231,16 +276,18 @@ def covered(n: int, places: bytes) -> np.ndarray:
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
-        for raw, places in zip(b["raw"], b["found"], strict=True):
+        for raw, places, copies in zip(b["raw"], b["found"], b["copies"], strict=True):
             raw = raw or b""
             gone = spans = 0
             kept = raw
-            if places:
+            if copies > 1 and len(raw) >= WINDOW:
+                gone, spans, kept = len(raw), 1, b""
+            elif places:
                 mask = covered(len(raw), places)
                 gone, spans = int(mask.sum()), len(_runs(mask)[0])
                 kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
             out.append((len(raw), gone, spans, hashlib.sha256(kept).hexdigest()))
-        yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [o[k] for o in out] for k, c in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256"))}})
+        yield pd.DataFrame({"doc_id": b["id"], **{c: [o[k] for o in out] for k, c in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256"))}})
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -248,23 +295,30 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A byte goes when a 200-byte string that covers it also starts anywhere else, in the same
     or another document; strings never cross documents and are judged on the input. Null
-    counts as empty; texts below 200 bytes lose nothing. Rows that repeat an id with the same
-    text are two places, so both lose all of it (from 200 bytes on); different texts under one
-    id are not supported. A row without an id is taken as id -1. Other columns are ignored.
+    counts as empty; texts below 200 bytes lose nothing. Rows are documents of their own,
+    whether or not they repeat an id or have none, so rows of equal texts lose all of them (from
+    200 bytes on); a missing id stays missing. Other columns are ignored; an empty table gives no
+    rows. Memory is bounded by a batch of rows, a shard, or a partition's share of the anchors.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
+    c = census(d)
+    parts = parts or parts_for(docs.sparkSession, c.size)
+    #: The id goes through as text, since a missing one would make floats of a batch's ids.
+    d = keyed(d, c).select("key", F.col("doc_id").cast("string").alias("id"), "raw", "copies")
     anchors = d.mapInPandas(_anchor_rows(parts), packed.SCHEMA)
     near = packed.resolve(anchors, parts, [np.uint32, np.uint16, np.uint8], _twice, FOUND)
-    pieces = materialise(packed.joined(d, near).mapInPandas(_piece_rows(parts), "part int, h long, piece binary, refs binary"), "pieces")
-    #: At most 8 * parts anchors can have more than an eighth of a partition's share, so this side is bounded.
-    limit = max(HEAVY, pieces.count() // (8 * parts))
-    heavy = materialise(pieces.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("h"), "heavy")
-    light = packed.exchange(pieces.join(F.broadcast(heavy), "h", "left_anti").select("part", "h", "piece", "refs"), parts)
-    kinds = [np.uint32, np.uint16]
-    once = packed.gathered(light.mapInPandas(_shards(parts), packed.SCHEMA), parts, kinds, PLACE)
-    windows = pieces.join(F.broadcast(heavy), "h", "left_semi").mapInPandas(_window_rows(parts), packed.SCHEMA)
-    each = packed.resolve(windows, parts, kinds, _twice, PLACE)
-    both = once.withColumnRenamed("found", "one").join(each.withColumnRenamed("found", "two"), "doc_id", "full_outer")
-    both = both.select("doc_id", F.concat(F.coalesce("one", F.lit(b"")), F.coalesce("two", F.lit(b""))).alias("found"))
-    return packed.joined(d, both).mapInPandas(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    pieces = materialise(packed.joined(d, near).mapInPandas(_piece_rows, PIECES), "pieces")
+    ready = None
+    for width in CUTS:
+        large = materialise(pieces.groupBy("h").agg(F.sum(F.octet_length("piece")).alias("b")).filter(F.col("b") > SHARD).select("h"), "large")
+        light = pieces.join(large, "h", "left_anti")
+        ready = light if ready is None else ready.unionByName(light)
+        if not large.count():
+            pieces = None
+            break
+        pieces = materialise(pieces.join(large, "h", "left_semi").mapInPandas(_cut_rows(width), PIECES), "cut")
+    ready = ready if pieces is None else ready.unionByName(pieces)
+    dealt = ready.select("h", "piece", "n", "refs").repartition(parts, "h").sortWithinPartitions("h")
+    places = packed.gathered(dealt.mapInPandas(_shards(parts), packed.SCHEMA), parts, [np.uint32, np.uint16], PLACE)
+    out = packed.joined(d, places).mapInPandas(_finish, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
