@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from utterloom.llm import oddsketch, piece_bpe, raking, recipes, weaksup
 from utterloom.llm.queries import tokenizer_path
-from utterloom.llm.util import materialise, table
+from utterloom.llm.util import materialise, optional_table, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A verdict is the text's own, so rows that repeat an id or have none each get theirs."""
-    good = weaksup.good_rows(docs).withColumnRenamed("doc_id", "__id").withColumnRenamed("__text", "__digest")
+    good = weaksup.good_rows(docs, optional_table(spark, sf_dir, "labels")).withColumnRenamed("doc_id", "__id").withColumnRenamed("__text", "__digest")
     return docs.join(good, docs["doc_id"].eqNullSafe(good["__id"]) & (weaksup.text_digest() == good["__digest"]), "left_semi")
 
 

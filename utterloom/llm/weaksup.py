@@ -1,17 +1,20 @@
 """Quality rules by weak supervision.
 
 Rules vote good, bad or abstain. Expectation-maximisation over the table of vote
-patterns estimates, for good and for bad texts, how often each rule gives each
-vote; the posterior probability of being good replaces all-must-pass filtering.
-Everything is built-in expressions; a round of EM is one aggregation of the
-pattern table, which has at most 3**len(RULES) rows whatever the input.
+patterns estimates how often each rule gives each vote to good texts and to each kind
+of bad ones, and the shares of these classes; the posterior probability of being good
+replaces all-must-pass filtering. Labelled texts, where there are some, say which class is
+which: they give the first estimates and stay in their class. So a rule that dislikes good
+texts as often as bad ones is seen through, and its votes count for nothing.
+
+The main path is built-in expressions. The pattern table has at most 3**len(RULES) rows for
+each label, whatever the input, and comes to the driver, where the estimates are made.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import reduce
-from math import prod
+from collections import defaultdict
+from math import exp, log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +22,9 @@ from pyspark.sql import functions as F
 from .util import materialise, without_space, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: Rounds of EM, pseudo-votes of each kind, and the first guess: P(good) with and without a bad vote.
-ROUNDS, SMOOTH, GUESS = 12, 1.0, (0.05, 0.95)
+#: Rounds of EM and pseudo-votes of each kind.
+ROUNDS, SMOOTH = 12, 1.0
 THRESHOLD = 0.5
-#: A rule that votes bad on more good texts than this is none; it keeps the classes from changing places.
-CEILING = 0.002
 
 
 def signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -71,15 +72,16 @@ def failed(q):
 
 
 #: Name -> (votes bad when, votes good when), integer comparisons of the counts; else the rule abstains.
-#: Kinds of junk exclude each other, so a rule for one kind abstains, rather than votes good, on the others.
 RULES = {
-    "symbols": ("10 * n_symbols > n_words", "false"),
-    "capitals": ("10 * n_upper > 4 * word_chars", "false"),
-    "shouts": ("5 * n_shouts > 2 * n_words", "false"),
-    "repeats": ("100 * n_repeat_words > 20 * n_words", "false"),
-    "lines": ("n_dup_lines >= 2 and 10 * n_dup_lines > 3 * n_lines", "false"),
+    "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    "symbol_share": ("100 * n_symbols > 3 * word_chars", "100 * n_symbols <= word_chars"),
+    "capitals": ("10 * n_upper > 4 * word_chars", "5 * n_upper <= word_chars"),
+    "shouts": ("5 * n_shouts > 2 * n_words", "10 * n_shouts <= n_words"),
+    "repeats": ("100 * n_repeat_words > 20 * n_words", "20 * n_repeat_words <= n_words"),
+    "lines": ("n_dup_lines >= 2 and 10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= 3 * n_lines"),
     "variety": ("n_words >= 30 and 10 * n_distinct < n_words", "5 * n_distinct > 2 * n_words"),
     "word_length": ("word_chars > 25 * n_words or word_chars < 2 * n_words", "word_chars <= 14 * n_words and word_chars >= 3 * n_words"),
+    "brief": ("n_words < 60", "n_words >= 150"),
 }
 
 
@@ -91,34 +93,61 @@ def votes(q: str, rules: dict[str, tuple[str, str]] = RULES) -> list:
     return [F.expr(f"CASE WHEN {field(bad)} THEN -1 WHEN {field(good)} THEN 1 ELSE 0 END").alias(f"v_{k}") for k, (bad, good) in rules.items()]
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple:
-    """Share of good texts and, for each class, rule and vote, how often it is given, by EM over patterns (votes and n).
+#: Classes of the model: good, a bad class for each rule, and one for bad texts that no rule dislikes.
+GOOD = 0
 
-    The share stays that of the first guess: kinds of junk that exclude each other would else
-    draw texts without a bad vote into the bad class. Each round is one aggregation; only its
-    few sums come to the driver.
-    """
-    any_bad = reduce(lambda a, b: a | b, [F.col(k) == -1 for k in names])
-    posterior = F.when(any_bad, F.lit(GUESS[0])).otherwise(F.lit(GUESS[1]))
-    model = None
-    for _ in range(rounds):
-        p = patterns.withColumn("g", posterior * F.col("n")).withColumn("b", (1 - posterior) * F.col("n"))
-        sums = [F.sum(c).alias(c) for c in "gb"] + [F.sum(F.when(F.col(k) == v, F.col(c)).otherwise(F.lit(0.0))).alias(f"{c}_{k}_{v + 1}") for c in "gb" for k in names for v in (-1, 0, 1)]
-        s = {k: v or 0.0 for k, v in p.agg(*sums).first().asDict().items()}
-        model = (
-            model[0] if model else (s["g"] + SMOOTH) / (s["g"] + s["b"] + 2 * SMOOTH),
-            {(c, k, v): min((s[f"{c}_{k}_{v + 1}"] + SMOOTH) / (s[c] + 3 * SMOOTH), CEILING if (c, v) == ("g", -1) else 1.0) for c in "gb" for k in names for v in (-1, 0, 1)},
-        )
-        posterior = posterior_of(model, names)
-    return model
 
+def first_weights(patterns: dict[tuple, float]) -> dict[tuple, dict[int, float]]:
+    """How each pattern (votes and a label: 1 good, 0 bad, None) is dealt to classes at first.
 
-def posterior_of(model: tuple, names: list[str]):
-    """P(good | votes) as a column."""
-    good, rate = model
-    joint = lambda c, prior: reduce(lambda a, b: a * b, [F.lit(prior)] + [F.when(F.col(k) == -1, rate[c, k, -1]).when(F.col(k) == 1, rate[c, k, 1]).otherwise(rate[c, k, 0]) for k in names])
-    g = joint("g", good)
-    return g / (g + joint("b", 1 - good))
+    A bad text belongs to the classes of the rules that dislike it, in equal parts. With labels of both
+    kinds only labelled texts count; without, two bad votes make a text bad, and one half of it.
+    """
+    told = {p[-1] for p in patterns} >= {0, 1}
+    out = {}
+    for p in patterns:
+        votes_, label = p[:-1], p[-1]
+        disliked = [k + 1 for k, v in enumerate(votes_) if v == -1] or [len(votes_) + 1]
+        if told and label is None:
+            continue
+        n = sum(v == -1 for v in votes_)
+        good = float(label) if told else (1.0, 0.5)[n] if n < 2 else 0.0
+        out[p] = {GOOD: good} | {k: (1 - good) / len(disliked) for k in disliked}
+    return out
+
+
+def posteriors(patterns: dict[tuple, float], rounds: int = ROUNDS) -> dict[tuple, float]:
+    """P(good) of each vote pattern, by EM over patterns (votes and label -> number of texts)."""
+    if not patterns:
+        return {}
+    n_rules = len(next(iter(patterns))) - 1
+    classes = range(n_rules + 2)
+    weights = first_weights(patterns)
+    model: tuple | None = None
+    for _ in range(rounds):
+        size: dict = defaultdict(float)
+        given: dict = defaultdict(float)
+        for p, w in weights.items():
+            for c, x in w.items():
+                size[c] += patterns[p] * x
+                for j in range(n_rules):
+                    given[c, j, p[j]] += patterns[p] * x
+        total = sum(size.values()) + SMOOTH * len(classes)
+        share = {c: log((size[c] + SMOOTH) / total) for c in classes}
+        rate = {(c, j, v): log((given[c, j, v] + SMOOTH) / (size[c] + 3 * SMOOTH)) for c in classes for j in range(n_rules) for v in (-1, 0, 1)}
+        model = (share, rate)
+        weights = {p: classified(model, p, [c for c in classes if p[-1] is None or (c == GOOD) == (p[-1] == 1)]) for p in patterns}
+    return {v: classified(model, v, list(classes))[GOOD] for v in {p[:-1] for p in patterns}}
+
+
+def classified(model: tuple, votes_: tuple, classes: list[int]) -> dict[int, float]:
+    """The classes' probabilities, given votes."""
+    share, rate = model
+    fit = {c: share[c] + sum(rate[c, j, v] for j, v in enumerate(votes_[: (len(rate) // 3) // len(share)])) for c in classes}
+    most = max(fit.values())
+    raw = {c: exp(x - most) for c, x in fit.items()}
+    total = sum(raw.values())
+    return {c: x / total for c, x in raw.items()}
 
 
 def text_digest(text_col: str = "text"):
@@ -126,74 +155,45 @@ def text_digest(text_col: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def kind_posteriors(patterns: dict[tuple[int, ...], float], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """P(good) of each vote pattern (pattern -> texts), by EM with one bad class for each kind of junk.
+def judged(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, rules: dict, rounds: int) -> DataFrame:
+    """One row per input row: doc_id, `__text` (text_digest), the struct q of counts, base_failed, posterior and kept.
 
-    A kind is the set of rules that vote bad. All shares are estimated, but only the ratio of good
-    texts to a kind's own enters the posterior, so no kind hides another however many texts it has.
-    Pseudo-votes follow the first guess: where the votes tell nothing, the guess stays. A rule's capped
-    rate of bad votes on good texts leaves the rest to its other votes. Without a bad vote a text is good.
-    """
-    kind = {p: tuple(k for k, v in enumerate(p) if v == -1) for p in patterns}
-    n_rules = range(len(next(iter(patterns), ())))
-    post = {p: GUESS[0] if kind[p] else 1.0 for p in patterns}
-    for _ in range(rounds):
-        good, bad = Counter(), Counter()
-        for p, n in patterns.items():
-            good["all"] += n * post[p]
-            bad[kind[p]] += n * (1 - post[p])
-            for k in n_rules:
-                good[k, p[k]] += n * post[p]
-                bad[kind[p], k, p[k]] += n * (1 - post[p])
-        rate = {}
-        for k in n_rules:
-            rate[k, -1] = min((good[k, -1] + SMOOTH * GUESS[0]) / (good["all"] + SMOOTH), CEILING)
-            for v in (0, 1):
-                rate[k, v] = (1 - rate[k, -1]) * (good[k, v] + SMOOTH) / (good[k, 0] + good[k, 1] + 2 * SMOOTH)
-        for p in patterns:
-            if c := kind[p]:
-                g = (good["all"] + SMOOTH) * prod(rate[k, p[k]] for k in n_rules)
-                b = (bad[c] + SMOOTH * GUESS[1]) * prod((bad[c, k, p[k]] + SMOOTH * rate[k, p[k]]) / (bad[c] + SMOOTH) for k in n_rules if k not in c)
-                post[p] = g / (g + b)
-    return post
-
-
-def judged(docs: DataFrame, id_col: str, text_col: str, rules: dict, rounds: int, by_kind: bool) -> DataFrame:
-    """One row per input row: doc_id, `__text` (text_digest, only by_kind), the struct q of counts, base_failed and posterior.
-
-    By kind, estimates are made on distinct texts, so copies are no evidence; the patterns that come
-    to the driver are at most 3**len(rules) whatever the input.
+    Estimates are made on distinct texts, so copies are no evidence.
     """
-    own = ["doc_id", *(["__text"] if by_kind else [])]
-    d = docs.select(F.col(id_col).alias("doc_id"), *([text_digest(text_col).alias("__text")] if by_kind else []), F.col(text_col).alias("text"))
+    own = ["doc_id", "__text"]
+    d = docs.select(F.col(id_col).alias("doc_id"), text_digest(text_col).alias("__text"), F.col(text_col).alias("text"))
     rows = materialise(signals(d).select(*own, "__q.*"), "signals")
     names = [f"v_{k}" for k in rules]
     held = rows.select(*own, F.struct(*[c for c in rows.columns if c not in own]).alias("q")).select("*", *votes("q", rules))
-    if by_kind:
-        found = held.select("__text", *names).distinct().groupBy(*names).agg(F.count("*").cast("double").alias("n")).collect()
-        post = kind_posteriors({tuple(r[:-1]): r["n"] for r in found}, rounds)
-        out = held.join(F.broadcast(held.sparkSession.createDataFrame([(*p, x) for p, x in post.items()], ", ".join(f"{k} int" for k in names) + ", posterior double")), names)
+    seen = held.select("doc_id", "__text", *names)
+    if labels is None:
+        seen = seen.withColumn("label", F.lit(None).cast("int"))
     else:
-        #: At most 3**rules rows; kept in the shared folder since each round reads it.
-        patterns = materialise(held.groupBy(*names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "patterns")
-        out = held.withColumn("posterior", posterior_of(fit(patterns, names, rounds), names))
+        told = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").cast("int").alias("label"))
+        seen = seen.join(told, seen["doc_id"] == told["__id"], "left")
+    found = seen.select("__text", *names, "label").distinct().groupBy(*names, "label").agg(F.count("*").cast("double").alias("n")).collect()
+    post = posteriors({tuple(r[:-1]): r["n"] for r in found}, rounds)
+    #: At most 3**rules rows: which votes are given together.
+    table = held.sparkSession.createDataFrame([(*p, x) for p, x in post.items()], ", ".join(f"{k} int" for k in names) + ", posterior double")
+    out = held.join(F.broadcast(table), names)
     base = failed({c: F.col(f"q.{c}") for c in ("n_words", "n_repeat_words")})
     return out.select(*own, "q", base.alias("base_failed"), F.round("posterior", 6).alias("posterior"), (~base & (F.col("posterior") >= THRESHOLD)).alias("kept"))
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict = RULES, rounds: int = ROUNDS, by_kind: bool = True) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules: dict = RULES, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, the counts, base_failed, posterior (of being good) and kept.
 
-    Null and empty texts have no words and fail the base rule. Rows that repeat an id each get
-    their own verdict. Other input columns are ignored. Texts that fail the base rule take part
-    in the estimates like all others. An empty table gives no rows. by_kind: posteriors by
-    kind_posteriors; else by fit, whose single bad class a large group of junk can take over.
+    labels: doc_id, quality (1 good, 0 bad) of some texts; of an id that is labelled twice the worse
+    label counts. Null and empty texts have no words and fail the base rule. Rows that repeat an id
+    or have none each get their own verdict (a label without an id counts for none). Other input
+    columns are ignored. Texts that fail the base rule take part in the estimates like all others. An
+    empty table gives no rows.
     """
-    out = judged(docs, id_col, text_col, rules, rounds, by_kind)
+    out = judged(docs, labels, id_col, text_col, rules, rounds)
     counts = [F.col(f"q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return out.select("doc_id", *counts, "base_failed", "posterior", "kept")
 
 
-def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def good_rows(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and `__text` (text_digest) of the rows that assess keeps."""
-    return judged(docs, id_col, text_col, RULES, ROUNDS, True).filter("kept").select("doc_id", "__text")
+    return judged(docs, labels, id_col, text_col, RULES, ROUNDS).filter("kept").select("doc_id", "__text")
