@@ -4,7 +4,8 @@ The distinct word shingles of a text give MinHash samples; bands of samples put
 texts into common buckets, and all samples fold into a parity bitmap (odd sketch): the
 population count of the XOR of two bitmaps estimates how many samples differ.
 
-Texts with the same set are one class and go on as one. In each bucket the member that
+Texts with the same set (by its size and two 64-bit digests of it) are one class and go on
+as one. In each bucket the member that
 meets most others over all bands is the centre. Members are verified against their centre
 on full sets; what a member lacks of the centre's set, and has beside it, then stands for
 its set. Members that are not linked with the centre are compared with the other members
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import packed
 from .components import components
-from .util import materialise
+from .util import census, keyed, materialise
 
 #: Bands and samples in each: two sets of similarity 0.85 share no bucket with probability (1 - 0.85**5)**25 = 4e-7.
 BANDS, ROWS, BITS = 25, 5, 512
@@ -95,15 +96,15 @@ def _signature_rows(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = packed.WordHashes()
         for b in batches:
-            ids, texts = b["doc_id"].to_numpy(np.int64), list(b["raw"])
+            ids, names, texts = b["key"].to_numpy(np.int64), list(b["id"]), list(b["raw"])
             for x, y in packed.slices([t or b"" for t in texts], 12_000_000):
                 sets = shingle_sets(hashes, texts[x:y], width)
                 some = [k for k, s in enumerate(sets) if len(s)]
-                out = pd.DataFrame({"doc_id": ids[x:y], "n_shingles": [len(s) for s in sets], "same_a": 0, "same_b": 0, "bands": None, "sketch": None})
-                with np.errstate(over="ignore"):
-                    for k in some:
-                        out.iat[k, 2] = int(sets[k].sum(dtype=np.uint64).view(np.int64))
-                        out.iat[k, 3] = int(np.bitwise_xor.reduce(packed.mixed(sets[k])).view(np.int64))
+                same = np.zeros((2, len(sets)), np.int64)
+                for k in some:
+                    same[0, k] = sets[k].sum(dtype=np.uint64).view(np.int64)
+                    same[1, k] = np.bitwise_xor.reduce(packed.mixed(sets[k])).view(np.int64)
+                out = pd.DataFrame({"key": ids[x:y], "id": names[x:y], "n_shingles": [len(s) for s in sets], "same_a": same[0], "same_b": same[1], "bands": None, "sketch": None})
                 if some:
                     bands, sketch = signatures([sets[k] for k in some])
                     got_b, got_s = [None] * len(out), [None] * len(out)
@@ -206,30 +207,45 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
     Texts are linked when the intersection of their shingle sets is percent / 100 of the union
     or more. component_id is the smallest id that links reach. Null, empty and blank texts have
-    no shingles and stand alone. Rows that repeat an id with the same text share one component;
-    with different texts each row counts under that id. A row without an id is taken as id -1.
-    Other columns are ignored; an empty table gives no rows.
+    no shingles and stand alone. Rows are nodes of their own, whether or not they repeat an id or
+    have none; component_id is null where no row that is reached has an id. kept: the row's id is
+    the component's; in a component without ids, the rows of one text (so one row, unless it is repeated). Other columns
+    are ignored; an empty table gives no rows.
     """
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    signed = materialise(d.mapInPandas(_signature_rows(width), "doc_id long, n_shingles long, same_a long, same_b long, bands array<long>, sketch binary"), "signatures")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
+    c = census(d)
+    d = keyed(d, c)
+    schema = "key long, id string, n_shingles long, same_a long, same_b long, bands array<long>, sketch binary"
+    signed = d.select("key", F.col("doc_id").cast("string").alias("id"), "raw").mapInPandas(_signature_rows(width), schema)
+    signed = materialise(signed.withColumn("doc_id", F.col("id").cast("long")).drop("id"), "signatures")
     same = ["n_shingles", "same_a", "same_b"]
     #: A table of its own: joins with it can then split the rows of a very large class.
-    classes = materialise(signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
-    #: Of rows with one id, texts of different sets would be different representatives under one id; the set tells them apart.
-    reps = signed.filter("n_shingles > 0").join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    links = _links(d, reps, width, percent)
-    found = components(links) if links is not None else None
-    rows = signed.select("doc_id", *same).join(classes, same, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    if found is not None:
-        rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        rows = rows.withColumn("component", F.lit(None).cast("long"))
-    component = F.coalesce("component", "rep")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-
-
-def _links(d: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between representatives that connect all that share a bucket and are similar."""
+    classes = materialise(signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least")), "classes")
+    reps = signed.filter("n_shingles > 0").join(classes.select(*same, F.col("rep").alias("key")), [*same, "key"], "left_semi")
+    if not c.plain:
+        reps = reps.dropDuplicates(["key"])  # rows that are alike
+    reps = reps.select(F.col("key").alias("doc_id"), "bands", "sketch")
+    found = components(_links(d, reps, width, percent, c.plain))
+    if c.plain:
+        first = found.select(F.col("node").alias("rep"), "component")
+    else:  # from the smallest key that is reached to the smallest id
+        own = found.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(classes.select("rep", "least"), "rep")
+        first = own.join(own.groupBy("group").agg(F.min("least").alias("component")), "group").select("rep", "component", "group")
+    rows = signed.select("key", "doc_id", *same).join(classes, same, "left").join(first, "rep", "left")
+    group = F.coalesce("component" if c.plain else "group", "rep", "key")
+    component = F.coalesce("component", "least", F.when(F.col("rep").isNull(), F.col("doc_id")))
+    rows = rows.select("key", "doc_id", "n_shingles", component.alias("component_id"), group.alias("group"))
+    kept = F.col("doc_id") == F.col("component_id")
+    if not c.plain:
+        lone = rows.filter("component_id is null")
+        least = lone.groupBy("group").agg(F.min("key").alias("least"))
+        rows = rows.join(least, "group", "left")
+        kept = F.coalesce(kept, F.col("key") == F.col("least"), F.lit(False))
+    return rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _links(d: DataFrame, reps: DataFrame, width: int, percent: int, plain: bool) -> DataFrame:
+    """Links (a, b) between representatives (doc_id: their keys) that connect all that share a bucket and are similar."""
     banded = materialise(reps.select("doc_id", F.explode("bands").alias("band")), "bands")
     sizes = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     held = materialise(banded.join(sizes, "band"), "buckets")
@@ -250,7 +266,10 @@ def _links(d: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame
     salt = lambda c, n: F.pmod(F.xxhash64(c), n)
     wanted = stars.join(count, "centre").select("doc_id", "centre", salt("doc_id", salts).alias("salt"), F.lit(1).alias("role"), "sketch")
     wanted = wanted.unionByName(wanted.select("centre", "salt").distinct().select(F.col("centre").alias("doc_id"), "centre", "salt", F.lit(0).alias("role"), F.lit(None).cast("binary").alias("sketch")))
-    texts = wanted.join(d, "doc_id").select("centre", "salt", "doc_id", "role", "sketch", "raw")
+    texts = d.select(F.col("key").alias("doc_id"), "raw")
+    if not plain:
+        texts = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = wanted.join(texts, "doc_id").select("centre", "salt", "doc_id", "role", "sketch", "raw")
     star = materialise(texts.groupBy("centre", "salt").applyInPandas(_verify_rows(width, percent), STAR), "verified")
     links = star.filter("linked").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
     # the rest: members without a link to their centre, against the others of the star, by cells of distance

@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from . import cover, license_scan, maxent, oddsketch, piece_bpe, raking, recipes, suffix, urlrules, weaksup
 from .util import LOWER, UPPER, table
 
+#: Words of unwanted sites. Rules of two words are made from the lists: some hundreds.
+VICES = ("pills", "casino", "poker", "viagra", "porn", "xxx", "warez")
+LURES = ("cheap", "free", "best", "online", "instant", "bonus", "discount", "hot", "win", "buy", "spam", "fast", "easy")
+LEADS = ("offer", "deal", "login", "verify", "download", "crack", "jackpot", "slots", "replica", "loan", "meds", "prize", "gift", "click", "promo", "en", "de", "685")
 URL_RULES = [
     urlrules.host_rule("org/", "allow"),
     urlrules.host_rule("example.org/es/", "block"),
     urlrules.host_rule("example.org/en/1", "block"),
     urlrules.host_rule("com/fr/", "allow"),
     urlrules.host_rule("com/de/", "block"),
-    *[urlrules.token_rule(t, "block") for t in ("pills", "casino", "poker", "viagra", "porn", "xxx", "warez")],
-    *[urlrules.token_rule(t, "block", where="any") for t in ("phishing", "malware")],
+    *[urlrules.word_rule((t,)) for t in VICES],
+    *[urlrules.word_rule(path=(t,)) for t in ("phishing", "malware")],
+    *[urlrules.word_rule((a, b)) for a in LURES for b in (*VICES, "farm")],
+    *[urlrules.word_rule((a,), (b,)) for a in ("spam", *LURES) for b in LEADS],
+    *[urlrules.word_rule(path=(a, b)) for a in LURES for b in LEADS],
 ]
 
 
@@ -48,8 +55,7 @@ def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    #: Its SQL has the estimates with a single bad class.
-    return weaksup.assess(table(spark, sf_dir, "documents"), by_kind=False)
+    return weaksup.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,19 +146,21 @@ def op6_parts(rows: str = "documents") -> str:
     names = list(weaksup.RULES)
     vote = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v_{k}" for k, (bad, good) in weaksup.RULES.items())
     cols = ", ".join(f"v_{k}" for k in names)
-    sums = ", ".join(
-        [f"sum({c}) AS {c}" for c in ("g", "b")] + [f"sum(CASE WHEN v_{k} = {v} THEN {c} ELSE 0 END) AS {c}_{k}_{v + 1}" for c in "gb" for k in names for v in (-1, 0, 1)]
-    )
-    s = weaksup.SMOOTH
-    rates = ", ".join([f"coalesce(before, (g + {s}) / (g + b + {2 * s})) AS good"] + [f"least(({c}_{k}_{v + 1} + {s}) / ({c} + {3 * s}), {weaksup.CEILING if (c, v) == ('g', -1) else 1.0}) AS p{c}_{k}_{v + 1}" for c in "gb" for k in names for v in (-1, 0, 1)])
-    joint = lambda c, prior: " * ".join([prior] + [f"CASE v_{k} WHEN -1 THEN p{c}_{k}_0 WHEN 1 THEN p{c}_{k}_2 ELSE p{c}_{k}_1 END" for k in names])
-    posterior = f"({joint('g', 'good')}) / (({joint('g', 'good')}) + ({joint('b', '(1 - good)')}))"
-    bad = " OR ".join(f"v_{k} = -1" for k in names)
-    first = f"CASE WHEN {bad} THEN {weaksup.GUESS[0]} ELSE {weaksup.GUESS[1]} END"
-    steps = []
+    n_bad = " + ".join(f"(v_{k} = -1)::INT" for k in names)
+    s, n_classes = weaksup.SMOOTH, len(names) + 2
+    lists = f"[{cols}]"
+    disliked = f"CASE WHEN ({n_bad}) = 0 THEN [{len(names) + 1}] ELSE list_filter(range(1, {len(names) + 1}), lambda j: {lists}[j] = -1) END"
+    steps, source = [], "w0"
     for r in range(weaksup.ROUNDS):
-        source, p, before = ("patterns", first, "CAST(NULL AS DOUBLE)") if r == 0 else (f"patterns, m{r - 1}", posterior, "any_value(good)")
-        steps.append(f"m{r} AS MATERIALIZED (SELECT {rates} FROM (SELECT {before} AS before, {sums} FROM (SELECT *, ({p}) * n AS g, (1 - ({p})) * n AS b FROM {source})))")
+        steps.append(f"""size{r} AS MATERIALIZED (SELECT c, sum(coalesce(x * n, 0)) AS size FROM classes LEFT JOIN {source} USING (c) GROUP BY c),
+share{r} AS MATERIALIZED (SELECT c, size, ln((size + {s}) / (sum(size) OVER () + {s * n_classes})) AS share FROM size{r}),
+rate{r} AS MATERIALIZED (SELECT g.c, g.j, g.v, ln((coalesce(t.given, 0) + {s}) / (sh.size + {3 * s})) AS rate
+  FROM grid g JOIN share{r} sh USING (c) LEFT JOIN (SELECT c, j, v, sum(x * n) AS given FROM {source} JOIN long USING (pid) GROUP BY ALL) t ON g.c = t.c AND g.j = t.j AND g.v = t.v),
+fit{r} AS MATERIALIZED (SELECT pid, label, n, c, any_value(share) + sum(rate) AS f FROM long JOIN rate{r} USING (j, v) JOIN share{r} USING (c) JOIN patterns USING (pid) GROUP BY ALL)""")
+        if r < weaksup.ROUNDS - 1:
+            steps.append(f"w{r + 1} AS MATERIALIZED (SELECT pid, c, n, exp(f - most) / sum(exp(f - most)) OVER p AS x FROM (SELECT *, max(f) OVER (PARTITION BY pid) AS most FROM fit{r} WHERE label IS NULL OR (c = 0) = (label = 1)) WINDOW p AS (PARTITION BY pid))")
+            source = f"w{r + 1}"
+    last = f"fit{weaksup.ROUNDS - 1}"
     return f"""
 texts AS (SELECT *, coalesce(text, '') AS t_, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w_ FROM {rows}),
 lined AS (SELECT *, list_filter(string_split(t_, chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS l_ FROM texts),
@@ -160,15 +168,24 @@ starts AS (SELECT doc_id, unnest(range(1, greatest(len(w_) - 3, 1))) AS i, w_ FR
 windows AS (SELECT doc_id, i, array_to_string(w_[i:i + 4], ' ') AS x FROM starts),
 doubled AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
 covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM doubled) GROUP BY doc_id),
-counts AS MATERIALIZED (SELECT l.* EXCLUDE (w_, l_, t_), CAST(len(w_) AS BIGINT) AS n_words, CAST(length(regexp_replace(t_, '[ \\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+counts AS MATERIALIZED (SELECT l.* EXCLUDE (w_, l_), CAST(len(w_) AS BIGINT) AS n_words, CAST(length(regexp_replace(t_, '[ \\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t_) - length(regexp_replace(t_, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l_) - len(list_distinct(l_)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(l_) AS n_lines, len(list_distinct(w_)) AS n_distinct,
   length(t_) - length(regexp_replace(t_, '\\p{{Lu}}', '', 'g')) AS n_upper, length(t_) - length(regexp_replace(t_, '[!?]', '', 'g')) AS n_shouts
   FROM lined l LEFT JOIN covered c USING (doc_id)),
 voted AS MATERIALIZED (SELECT *, {vote} FROM counts),
-patterns AS MATERIALIZED (SELECT {cols}, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY ALL),
+told AS (SELECT doc_id, CAST(min(quality) AS INTEGER) AS label FROM labels GROUP BY doc_id),
+apart AS (SELECT DISTINCT t_, {cols}, label FROM voted LEFT JOIN told USING (doc_id)),
+patterns AS MATERIALIZED (SELECT row_number() OVER () AS pid, * FROM (SELECT {cols}, label, CAST(count(*) AS DOUBLE) AS n FROM apart GROUP BY ALL)),
+long AS MATERIALIZED (SELECT pid, unnest(range(1, {len(names) + 1})) AS j, unnest({lists}) AS v FROM patterns),
+classes AS MATERIALIZED (SELECT unnest(range({n_classes})) AS c),
+grid AS MATERIALIZED (SELECT c, j, v FROM classes, (SELECT unnest(range(1, {len(names) + 1})) AS j), (SELECT unnest([-1, 0, 1]) AS v)),
+known AS MATERIALIZED (SELECT coalesce(bool_or(label = 1) AND bool_or(label = 0), false) AS both_ FROM patterns),
+begun AS (SELECT pid, n, {disliked} AS bad, CASE WHEN both_ THEN CAST(label AS DOUBLE) WHEN ({n_bad}) = 0 THEN 1.0 WHEN ({n_bad}) = 1 THEN 0.5 ELSE 0.0 END AS good FROM patterns, known WHERE NOT both_ OR label IS NOT NULL),
+w0 AS MATERIALIZED (SELECT pid, 0 AS c, n, good AS x FROM begun UNION ALL SELECT pid, unnest(bad) AS c, n, (1 - good) / len(bad) AS x FROM begun),
 {", ".join(steps)},
-judged AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {posterior} AS posterior FROM voted, m{weaksup.ROUNDS - 1})"""
+good AS MATERIALIZED (SELECT {cols}, any_value(p) AS posterior FROM (SELECT pid, sum(CASE WHEN c = 0 THEN e ELSE 0 END) / sum(e) AS p FROM (SELECT pid, c, exp(f - max(f) OVER (PARTITION BY pid)) AS e FROM {last}) GROUP BY pid) JOIN patterns USING (pid) GROUP BY {cols}),
+judged AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM voted JOIN good USING ({cols}))"""
 
 
 OP8_SQL = r"""
@@ -180,14 +197,17 @@ r AS (SELECT *, CASE
   WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
   WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
   WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
-  WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule,
-  list_transform(regexp_split_to_array(translate(host || chr(10) || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z]+'), lambda x: x) AS tokens,
-  regexp_split_to_array(host, '[^0-9a-z]+') AS names FROM q),
-s AS (SELECT *, list_sort(list_distinct(list_concat(
-  list_filter(names, lambda x: x IN ('pills', 'casino', 'poker', 'viagra', 'porn', 'xxx', 'warez')),
-  list_filter(tokens, lambda x: x IN ('phishing', 'malware')))))[1] AS bad FROM r)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bad IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
-  CASE WHEN rule IS NULL AND bad IS NOT NULL THEN '~' || bad END AS pattern_rule FROM s"""
+  WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule FROM q),
+m AS (SELECT * FROM (VALUES RULE_ROWS) m(name, on_host, on_path, rank)),
+f AS (SELECT host AS h, path AS p, min({'r': -rank, 'n': name}).n AS pattern_rule FROM (SELECT DISTINCT host, path FROM q), m
+  WHERE (on_host = '' OR regexp_matches(host, on_host)) AND (on_path = '' OR regexp_matches(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), on_path)) GROUP BY ALL)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR pattern_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IS NULL THEN pattern_rule END AS pattern_rule FROM r LEFT JOIN f ON host = h AND path = p"""
+
+
+def op8_sql() -> str:
+    rows = ", ".join(f"({quoted(r.name)}, {quoted(r.host)}, {quoted(r.path)}, {r.rank})" for r in URL_RULES if r.fold)
+    return OP8_SQL.replace("RULE_ROWS", rows)
 
 
 WORDS_SQL = "list_filter(regexp_split_to_array({}, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
@@ -213,4 +233,4 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '
 
 def oracle_sql() -> dict[str, str]:
     op6 = f"WITH {op6_parts()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(posterior, 6) AS posterior, NOT base_failed AND posterior >= {weaksup.THRESHOLD} AS kept FROM judged"
-    return {"op2_source_mixing": op2_sql(), "op3_license_scan": op3_sql(), "op5_chunk_recipes": OP5_SQL, "op6_weak_quality": op6, "op7_odd_sketches": OP7_SQL, "op8_url_rules": OP8_SQL, "op9_cover_anchors": OP9_SQL}
+    return {"op2_source_mixing": op2_sql(), "op3_license_scan": op3_sql(), "op5_chunk_recipes": OP5_SQL, "op6_weak_quality": op6, "op7_odd_sketches": OP7_SQL, "op8_url_rules": op8_sql(), "op9_cover_anchors": OP9_SQL}

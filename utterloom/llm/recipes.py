@@ -1,10 +1,12 @@
 """Exact deduplication by content-defined chunk recipes.
 
-Each normalised text is cut at content-defined places; a chunk's 64-bit digest
-is its identifier once a table of distinct (digest, chunk) pairs has shown that
-no other chunk has it. Texts are equal when their ordered identifier lists are.
-Only distinct chunks are moved, once; after that the lists stand for the texts.
-Everything is built-in expressions.
+Each normalised text falls into short units that end with certain letters or punctuation. A
+chunk ends where the digest of two units in a row has a certain remainder: at places that the
+text around them sets and nothing else, so that texts which share a passage share its chunks
+wherever it stands. A chunk's 64-bit digest is its identifier once a table of distinct
+(digest, chunk) pairs has shown that no other chunk has it. Texts are equal when their ordered
+identifier lists are. Only distinct chunks are moved, once; after that the lists stand for the
+texts. Everything is built-in expressions.
 """
 
 from __future__ import annotations
@@ -14,13 +16,29 @@ from pyspark.sql import functions as F
 
 from .util import materialise, without_space
 
-#: A chunk ends behind one of these characters, LEAST or more characters after its start, and at MOST characters.
-LEAST, MOST, ENDS = 768, 2048, "[.nst]"
+#: Units: up to UNIT characters, the last of ENDS (one in about ten characters of Latin, Cyrillic, Arabic, Devanagari, Chinese and Japanese texts).
+UNIT, ENDS = 64, r".cd\p{P}сдмвكدकम国人にし"
+#: One in EVERY places ends a chunk; a text without such places is cut every MOST units.
+EVERY, MOST = 64, 1024
 
 
-def chunks_of(c, least: int = LEAST, most: int = MOST, ends: str = ENDS):
+def chunks_of(c, every: int = EVERY, most: int = MOST):
     """Chunks of a text column, in order; together they are the text."""
-    return F.regexp_extract_all(c, F.lit(rf"(?s).{{{least},{most - 1}}}?{ends}|.{{1,{most}}}"), F.lit(0))
+    units = F.regexp_extract_all(c, F.lit(rf"(?s)[^{ENDS}]{{0,{UNIT - 1}}}[{ENDS}]|[^{ENDS}]{{1,{UNIT}}}"), F.lit(0))
+
+    #: A lambda's argument is computed once, however often it is read.
+    return F.get(F.transform(F.array(units), lambda u: F.get(F.transform(F.array(_ends(u, every, most)), lambda e: _joined(u, e)), 0)), 0)
+
+
+def _ends(u, every: int, most: int):
+    """Number of units up to the end of each chunk."""
+    end = lambda x, i: (F.pmod(F.xxhash64(F.get(u, i - 1), x), F.lit(every)) == 0) | ((i + 1) % most == 0) | (i == F.size(u) - 1)
+    return F.filter(F.transform(u, lambda x, i: F.when(end(x, i), i + 1)), lambda e: e.isNotNull())
+
+
+def _joined(u, ends):
+    before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+    return F.transform(ends, lambda e, i: F.array_join(F.slice(u, before(i) + 1, e - before(i)), ""))
 
 
 def clashing(chunks: DataFrame) -> DataFrame:
@@ -33,9 +51,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical without white space; null counts as empty, so
     null, empty and blank texts form one group. The row with the most code points
-    in its original text stays, then the smallest id (null ids last). Rows that
-    repeat an id count as rows of the group; all rows with the id that stays have
-    kept = true. Other input columns are ignored. An empty table gives no rows.
+    in its original text stays, then the smallest id (null ids last), of rows that
+    are alike in both any one. Rows that repeat an id count as rows of the group.
+    Other input columns are ignored. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     base = base.select("doc_id", F.length("t").alias("n_code"), without_space(F.col("t")).alias("norm"))
@@ -45,10 +63,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doubtful = clashing(pairs).limit(1).count() > 0
     one = (lambda c: F.concat_ws(":", digest(c).cast("string"), F.sha2(c, 512))) if doubtful else (lambda c: digest(c))
     rows = cut.select("doc_id", "n_code", F.transform("chunks", one).alias("recipe"), F.sha2("norm", 256).alias("text_sha256"))
-    rows = materialise(rows, "recipes")
-    best = F.min(F.struct((-F.col("n_code")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "recipes")
+    best = F.min(F.struct((-F.col("n_code")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
     groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("best"))
     #: A table of its own: the join can then split the rows of a very large group.
-    groups = materialise(groups.select(F.col("recipe").alias("r"), "group_size", F.col("best.id").alias("keep_id")), "groups")
+    groups = materialise(groups.select(F.col("recipe").alias("r"), "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row")), "groups")
     out = rows.join(groups, rows["recipe"] == groups["r"])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")

@@ -2,8 +2,8 @@
 
 Every rule has literal tokens that any URL it fits must contain. It is filed
 under the one that the fewest URLs of the table contain. The distinct tokens of
-a URL fetch the rules filed under them; only those run their regular expression.
-Everything is built-in expressions.
+a URL fetch the rules filed under them; only those run their regular expressions,
+one on the host and one on the path. Everything is built-in expressions.
 """
 
 from __future__ import annotations
@@ -17,21 +17,25 @@ from pyspark.sql import functions as F
 from .util import lower_ascii
 
 TOKEN = r"[0-9A-Za-z]+"
+#: The bound on what is broadcast.
+MAX_RULES = 200_000
 
 
 @dataclass(frozen=True)
 class UrlRule:
-    """pattern runs on `host path` joined by one NUL-free line feed: host + "\\n" + path.
+    """host and path are regular expressions, searched in the host and in the path (fold: with A-Z lower-cased).
 
-    tokens: lower-cased alphanumeric runs that every fitting URL has as whole tokens of host + path.
+    tokens: lower-cased alphanumeric runs that every fitting URL has as whole tokens of host or path.
     rank: of the fitting rules the highest rank decides, then the smallest name.
     """
 
     name: str
     verdict: str
-    pattern: str
+    host: str
+    path: str
     tokens: tuple[str, ...]
     rank: int
+    fold: bool = False
 
 
 def host_rule(rule: str, verdict: str, base: int = 1_000_000) -> UrlRule:
@@ -43,16 +47,23 @@ def host_rule(rule: str, verdict: str, base: int = 1_000_000) -> UrlRule:
     host, slash, rest = rule.partition("/")
     path = slash + rest
     whole = re.findall(TOKEN, host) + re.findall(r"[0-9A-Za-z]+(?=[^0-9A-Za-z])", path)
-    pattern = rf"(?s)^(?:.*\.)?{re.escape(host)}\n{re.escape(path)}"
-    return UrlRule(rule, verdict, pattern, tuple(dict.fromkeys(t.lower() for t in whole)), base + len(rule))
+    return UrlRule(rule, verdict, rf"(?s)^(?:.*\.)?{re.escape(host)}\z", rf"(?s)^{re.escape(path)}", tuple(dict.fromkeys(t.lower() for t in whole)), base + len(rule))
 
 
-def token_rule(token: str, verdict: str, where: str = "host", rank: int = 1) -> UrlRule:
-    """Fits when the token stands alone in the host (or anywhere, with where="any"). Its name is not reported as a host rule."""
-    edge = r"[^0-9A-Za-z]"
-    tail = r"(?:[^0-9A-Za-z\n][^\n]*)?\n" if where == "host" else rf"(?:{edge}|$)"
-    lead = rf"(?s)^(?:[^\n]*{edge})?" if where == "host" else rf"(?s)(?:^|{edge})"
-    return UrlRule(f"~{token}", verdict, f"{lead}(?i:{token}){tail}", (token.lower(),), rank)
+def in_order(words: tuple[str, ...]) -> str:
+    """A pattern for texts that hold the words as whole tokens, in this order, with anything between."""
+    if not words:
+        return ""
+    edge = "[^0-9a-z]"
+    return rf"(?s)(?:^|{edge})" + rf"{edge}(?:.*{edge})?".join(words) + rf"(?:{edge}|\z)"
+
+
+def word_rule(host: tuple[str, ...] = (), path: tuple[str, ...] = (), verdict: str = "block", rank: int = 1) -> UrlRule:
+    """Fits when host and path hold these words (a-z, 0-9), in order, in any case. Its name is not reported as a host rule.
+
+    The more words it has, the higher it ranks among such rules.
+    """
+    return UrlRule("~" + " ".join(host) + "/" + " ".join(path), verdict, in_order(host), in_order(path), tuple(dict.fromkeys(host + path)), rank + len(host) + len(path), True)
 
 
 def url_parts(url):
@@ -68,11 +79,15 @@ def url_parts(url):
 def judge(pages: DataFrame, rules: list[UrlRule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, pattern_rule.
 
+    A pattern sees the host or the path, never both as one text, so no character of a path can pass for a host.
+
     rule is the deciding host rule, else null; verdict is the deciding rule's, else default.
     Null and empty URLs have no tokens, hence the default. Rows that repeat an id are judged
     by their own URL. Other input columns are ignored. The rule list is a parameter on the
-    driver; its size, not the table's, bounds what is broadcast (about 100 bytes a rule).
+    driver; its size, not the table's, bounds what is broadcast (about 100 bytes a rule, MAX_RULES at most).
     """
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -83,7 +98,8 @@ def judge(pages: DataFrame, rules: list[UrlRule], default: str = "allow", id_col
     else:
         #: Distinct (host, path) pairs are judged once; a very common URL is one row here.
         asked = urls.select("host", "path").distinct().select("host", "path", F.explode(tokens).alias("token"))
-        got = asked.join(F.broadcast(index), "token").filter(F.rlike(F.concat_ws("\n", "host", "path"), F.col("pattern")))
+        path = F.when(F.col("fold"), lower_ascii(F.col("path"))).otherwise(F.col("path"))
+        got = asked.join(F.broadcast(index), "token").filter(F.rlike("host", F.col("on_host")) & F.rlike(path, F.col("on_path")))
         best = got.groupBy("host", "path").agg(F.min(F.struct((-F.col("rank")).alias("r"), "name", "fits")).alias("b"))
         best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("b.name").alias("name"), F.col("b.fits").alias("fits"))
     if best is None:
@@ -99,17 +115,17 @@ def judge(pages: DataFrame, rules: list[UrlRule], default: str = "allow", id_col
 
 
 def rule_index(spark: SparkSession, seen: DataFrame, rules: list[UrlRule]) -> DataFrame | None:
-    """Columns token, name, fits, pattern, rank: each rule under its rarest token. seen has the URLs' tokens."""
+    """Columns token, name, fits, on_host, on_path, fold, rank: each rule under its rarest token. seen has the URLs' tokens."""
     if not rules:
         return None
-    every = [(r.name, r.verdict, r.pattern, r.rank, t) for r in rules for t in r.tokens]
+    every = [(r.name, r.verdict, r.host, r.path, r.fold, r.rank, t) for r in rules for t in r.tokens]
     missing = [r.name for r in rules if not r.tokens]
     if missing:
         raise ValueError(f"rules without a literal token: {missing}")
-    mine = spark.createDataFrame(every, "name string, fits string, pattern string, rank long, token string")
+    mine = spark.createDataFrame(every, "name string, fits string, on_host string, on_path string, fold boolean, rank long, token string")
     wanted = mine.select("token").distinct()
     counts = seen.join(F.broadcast(wanted), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = mine.join(F.broadcast(counts), "token", "left").groupBy("name").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "fits", "pattern", "rank")).alias("b")
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "fits", "on_host", "on_path", "fold", "rank")).alias("b")
     )
-    return rarest.select("name", "b.token", "b.fits", "b.pattern", "b.rank")
+    return rarest.select("name", "b.token", "b.fits", "b.on_host", "b.on_path", "b.fold", "b.rank")
