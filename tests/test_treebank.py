@@ -172,7 +172,12 @@ def test_merge(spark, graph):
     t = spark.createDataFrame([(f"7_u1_w{k}", f"old{k}" if k == 3 else "") for k in range(1, 6)] + [("9_u9_w1", "")], "utt_id string, pp string")
     out = {r["utt_id"]: (r["subj"], r["pp"]) for r in coding.merge(t, g).collect()}
     assert out == {"7_u1_w1": ("", ""), "7_u1_w2": ("", ""), "7_u1_w3": ("first(3>1_Marie);second(3>2_le)", "old3"), "7_u1_w4": ("", "1(4>0)"), "7_u1_w5": ("", ""), "9_u9_w1": ("", "")}
+    twice = t.coalesce(1).unionByName(spark.createDataFrame([("7_u1_w3", "last")], t.schema).coalesce(1))
+    assert {r["utt_id"]: (r["subj"], r["pp"]) for r in coding.merge(twice, g).collect()} == out | {"7_u1_w3": (out["7_u1_w3"][0], "last")}
     head = {r["utt_id"]: (r["subj"], r["pp"]) for r in coding.merge(t, g, ["pp", "subj"], code_head=True).collect()}
+    for code_head, want in ((False, out), (True, head)):
+        got = {r["utt_id"]: (r["subj"], r["pp"]) for r in coding.coded_tokens(g, ["pp", "subj"], code_head).collect()}
+        assert got == {k: (s, "" if p == "old3" else p) for k, (s, p) in want.items() if k != "9_u9_w1"}
     assert head["7_u1_w1"] == ("first(3>1_Marie)", "") and head["7_u1_w2"][0] == "second(3>2_le)" and head["7_u1_w4"] == ("", "")
     parsed = coding.parsed(F.lit("a:v(2>3_x:y); broken; b:w; c:z(4>0)"))
     assert [(e["att"], e["node"], e["head"]) for e in spark.range(1).select(parsed.alias("p")).collect()[0]["p"]] == [("a", "2", "3"), ("b", "1", "0"), ("c", "4", "0")]
@@ -221,6 +226,134 @@ def test_endless_rules_are_reported(spark):
     assert "no normal form" in out["rewrite_error"] and out["rewrite_steps"] == 0
 
 
+def test_long_rewriting_has_no_fixed_limit(spark):
+    """Each step is one edge; 150 of them are no reason to give up."""
+    g = language.parse_grammar("rule r { pattern { e: V -[obj]-> N } commands { del_edge e; add_edge V -[iobj]-> N } }")
+    many = lines(("v", "VERB", 0, "root"), *[("n", "NOUN", 1, "obj") for _ in range(150)])
+    out = rewrite.rewrite(spark.createDataFrame([(many,)], "block string"), g).collect()[0]
+    assert out["rewrite_steps"] == 150 and out["rewrite_error"] is None and "\tobj\t" not in out["block"]
+    back = language.parse_grammar("rule a { pattern { e: V -[x]-> N } commands { del_edge e; add_edge V -[y]-> N } } rule b { pattern { e: V -[y]-> N } commands { del_edge e; add_edge V -[x]-> N } }")
+    out = rewrite.rewrite(spark.createDataFrame([(lines(("v", "VERB", 0, "root"), ("n", "NOUN", 1, "x")),)], "block string"), back).collect()[0]
+    assert "comes again" in out["rewrite_error"]
+
+
+def test_depths(spark):
+    rnd = random.Random(4)
+    heads = [[0], [0, 1, 2, 3, 4, 5, 6], [2, 3, 1], [3, 1, 0, 3, 9], *[[rnd.randrange(0, n + 1) for _ in range(n)] for n in (5, 8, 13, 40)]]
+    df = spark.createDataFrame([(k, [(p + 1, h) for p, h in enumerate(hs)]) for k, hs in enumerate(heads)], "k int, nodes array<struct<pos:int,head:int>>")
+    for r in df.select("k", pages.depths(F.col("nodes")).alias("d")).collect():
+        hs = heads[r["k"]]
+        for p, d in enumerate(r["d"]):
+            h, steps = hs[p], 0
+            while h and steps < len(hs):
+                steps += 1
+                h = hs[h - 1] if h <= len(hs) else 0
+            assert d == min(steps, len(hs))
+
+
+@pytest.fixture(scope="module")
+def service():
+    """A parsing service: every token hangs on the first; sentences with `bad` are refused."""
+    import json
+    import threading
+    import urllib.parse
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Parser(BaseHTTPRequestHandler):
+        def do_POST(self):
+            form = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())
+            data = form["data"][0]
+            ok = form["model"] == ["m"] and form["input"] == ["conllu"] and "bad" not in data
+            out = []
+            for x in data.strip("\n").split("\n"):
+                f = x.split("\t")
+                out.append(x if len(f) != 10 else "\t".join([*f[:3], "VERB" if f[0] == "1" else "NOUN", f[4], "_", "0" if f[0] == "1" else "1", "root" if f[0] == "1" else "obj", "_", "_"]))
+            body = json.dumps({"result": "\n".join(out) + "\n\n"}).encode()
+            self.send_response(200 if ok else 400)
+            self.end_headers()
+            self.wfile.write(body if ok else b"no")
+
+        def log_message(self, *a):
+            pass
+
+    s = HTTPServer(("127.0.0.1", 0), Parser)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}/process"
+    s.shutdown()
+
+
+def test_parsing_service(spark, service):
+    words_ = spark.createDataFrame([(f"{k}_u1", j + 1, "bad" if k == 7 else f"w{j}") for k in range(12) for j in range(3)], "item_id string, conll_id int, word string")
+    out = {r["item_id"]: r for r in annotate.annotate(conllu.from_tokens(words_), annotate.http_annotator(service, "m"), batch=5).collect()}
+    assert [k for k, r in out.items() if r["error"]] == ["7_u1"] and "400" in out["7_u1"]["error"]
+    assert out["3_u1"]["block"].split("\n")[2] == "2\tw1\t_\tNOUN\t_\t_\t1\tobj\t_\t_"
+
+
+def test_command_line_with_tagger_and_service(spark, service, tmp_path):
+    from utterloom import cli
+
+    (tmp_path / "a.cha").write_text("@PID:\t11312/c-5-1\n@ID:\tfra|G|CHI|2;||||Target_Child|||\n*CHI:\toui lapin .\n*CHI:\tnon .\n@End\n", encoding="utf8")
+    script = tmp_path / "tagger"
+    script.write_text(f"#!{sys.executable}\nimport sys\nfor x in sys.stdin:\n x = x.strip()\n print(x if x.startswith('<s_') else x + '\\tN\\tle ' + x.upper())\n")
+    script.chmod(0o755)
+    base = ["chat", f"{tmp_path}/a.cha"]
+    tagger = ["-p", "p.par", "--tagger", str(script), "--utt_tagged", "--one_file"]
+    cli.main([*base, f"{tmp_path}/t", *tagger], spark)
+    rows = [r["value"].split("\t") for r in spark.read.text(f"{tmp_path}/t/parsed").collect()]
+    assert rows[0] == table.PARSED and len(rows) == 6 and [r[12:15] for r in rows if r[0] == "5_u1_w2"] == [["lapin", "LAPIN", "N"]] and any("oui_N=OUI lapin_N=LAPIN ._N=." in r for r in rows)
+    cli.main([*base, f"{tmp_path}/b", *tagger, "--api_model", "m", "--api_url", service, "--chunk_parse", "1"], spark)
+    rows = [r["value"].split("\t") for r in spark.read.text(f"{tmp_path}/b/parsed").collect()]
+    assert [(r[12], r[13], r[20], r[24]) for r in rows if r[0] == "5_u1_w2"] == [("lapin", "LAPIN", "LAPIN", "1")]
+    cli.main([*base, f"{tmp_path}/s", "--api_model", "m", "--api_url", service], spark)
+    assert sum("VERB" in r["value"] for r in spark.read.text(f"{tmp_path}/s/parsed").collect()) == 2
+
+
+def test_golden_tables(spark):
+    """Optional: a folder (GOLDEN_DIR) with a transcript, its coded table and the query file; cells are compared by column."""
+    import glob
+    import os
+
+    from utterloom.sources import chat
+
+    where = os.environ.get("GOLDEN_DIR")
+    if not where:
+        pytest.skip("GOLDEN_DIR is not set")
+    transcript, coded = glob.glob(f"{where}/*.cha")[0], glob.glob(f"{where}/*.coded.csv")[0]
+    head, *body = [x.split("\t") for x in open(coded, encoding="utf8").read().strip("\n").split("\n")]
+    want = {r[0]: dict(zip(head, r)) for r in body}
+    got = {r["utt_id"]: r for r in chat.read_chat(spark, transcript).collect()}
+    assert set(got) == set(want) and len(want) == 94
+    for k, w in want.items():
+        for c in ("utt_nr", "w_nr", "speaker", "child_project", "language", "child_other", "age", "age_days", "time_code", "word"):
+            assert str(got[k][c]) == w[c], (k, c)
+    sentences: dict = {}
+    for r in want.values():
+        if r["conll_1"]:
+            sentences.setdefault(r["utt_id"].rsplit("_w", 1)[0], []).append([r[f"conll_{k}"] for k in range(1, 11)])
+    blocks = [f"# item_id = {i}\n" + "\n".join("\t".join(f) for f in sorted(s, key=lambda f: int(f[0]))) for i, s in sentences.items()]
+    rules = language.parse_rules(open(glob.glob(f"{where}/*french.query")[0], encoding="utf8").read())
+    g = coding.code(conllu.graphs(spark.createDataFrame([(b,) for b in blocks], "block string")), rules)
+    atts = sorted({r.att for r in rules})
+    coded_ = {r["utt_id"]: r for r in coding.coded_tokens(g, atts).collect()}
+    cells = 0
+    for k, w in want.items():
+        for a in head[28:]:
+            mine = coded_[k][a] if k in coded_ and a in atts else ""
+            assert mine == w[a], (k, a)
+            cells += bool(w[a])
+    assert cells == 36
+    for path in glob.glob(f"{where}/**/*.query", recursive=True):  # every shipped rule against the search in plain Python
+        rnd, shipped = random.Random(3), language.parse_rules(open(path, encoding="utf8").read())
+        some = [random_block(rnd, k) for k in range(12)] + blocks[:8]
+        trees = conllu.graphs(spark.createDataFrame(list(enumerate(some)), "n int, block string"))
+        for at in range(0, len(shipped), 12):
+            part = shipped[at : at + 12]
+            found_ = {r["n"]: r["matches"] for r in match.match(trees, part).select("n", "matches").collect()}
+            for n, b in enumerate(some):
+                plain = sorted((r.nr, [int(m[x]) for x in r.pattern.names]) for r in part for m in rewrite.find(rewrite.parse_graph(b), r.pattern, r.without) if r.node in r.pattern.names)
+                assert [(m["rule"], m["bound"]) for m in found_[n]] == plain, (path, n)
+
+
 def test_annotator_isolates_failures(spark):
     def tagger(texts):
         if any("bad" in t for t in texts):
@@ -245,10 +378,15 @@ def test_process_annotator():
 
 
 def test_tables_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("a", '=HYPERLINK("u"; "LOC")', "", "x\x1ey"), ("b", '"quoted', None, "z")], "k string, link string, empty string, esc string").coalesce(1)
+    df = spark.createDataFrame([("a", '=HYPERLINK("u"; "LOC")', "", "x\x1ey"), ("b", '"quoted', None, "z")], "k string, link string, _corpus string, esc string").coalesce(1)
     tables.write_tsv(df, f"{tmp_path}/t", gzip=True)
     back = tables.read_tsv(spark, f"{tmp_path}/t")
     assert [tuple(r) for r in back.orderBy("k").collect()] == [("a", '=HYPERLINK("u"; "LOC")', "", "xy"), ("b", '"quoted', "", "z")]
+    assert back.columns == ["k", "link", "_corpus", "esc"]
+    tables.write_tsv(df.repartition(2), f"{tmp_path}/one", one=True)
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/one").collect()].count("k\tlink\t_corpus\tesc") == 1
+    (tmp_path / "n.csv").write_text("a\t\t_c\n1\t2\t3\n")
+    assert tables.read_tsv(spark, f"{tmp_path}/n.csv").columns == ["a", "_c"]
     assert tables.output_name("x.cha.gz", ".parsed.csv") == "x.parsed.csv" and tables.output_name("x.parsed.csv", "coded") == "x.parsed.coded.csv"
     last = coding.last_rows(spark.createDataFrame([("a", 1, "p"), ("b", 2, "q"), ("a", 3, "r")], "utt_id string, line int, v string"))
     assert sorted(tuple(r) for r in last.collect()) == [("a", 1, "r"), ("b", 2, "q")]
@@ -268,8 +406,8 @@ def test_pages(graph):
     p = pages.numbered_pages(graph.withColumn("project", F.lit("Geneva")).withColumn("f", F.lit("x")), 1, ["n"], ["f"]).withColumn("n", F.struct("n"))
     info = graph.select("item_id", F.lit("Marie_Gen").alias("child_project"), F.lit("CHI").alias("speaker"), F.lit("2;06.10").alias("age"), F.lit("a <b>").alias("utterance"))
     r = pages.pages(p, info, "t").collect()[0]
-    assert r["file"] == "Gen0.html" and "a &ltb&gt" in r["html"] and '<a name="7_u1">' in r["html"] and "CHI | 2;06.10" in r["html"]
-    assert "04........ <b>à</b>" in r["html"] and "&#8594;5" in r["html"] and "Next Page" not in r["html"]
+    assert r["file"] == "Gen0.html" and "a &ltb&gt" in r["html"] and '<section id="7_u1">' in r["html"] and "CHI, 2;06.10" in r["html"]
+    assert "04........ <b>à</b>" in r["html"] and "&#8594;5" in r["html"] and ">on</a>" not in r["html"]
     assert pages.links(p, "html").collect()[0]["local"] == "html/Gen0.html"
 
 
@@ -281,20 +419,31 @@ def test_micro_batches_equal_batch(spark, tmp_path):
         (tmp_path / "in" / f"f{k}.conllu").write_text("\n\n".join(blocks[10 * k : 10 * k + 10]) + "\n", encoding="utf8")
     rules = language.parse_rules(RULES)
     parts: list = []
+    nodes: list = []
     q = micro.code_stream(micro.stream_blocks(spark, f"{tmp_path}/in", 1), rules, lambda g, n: parts.append((n, [(r["item_id"], r["meta"].get("coding")) for r in g.collect()])), f"{tmp_path}/cp")
     q.awaitTermination(120)
     whole = conllu.graphs(spark.createDataFrame([(b,) for b in blocks], "block string"))
     want = sorted((r["item_id"], r["meta"].get("coding") or "") for r in coding.code(whole, rules).collect())
+    q = micro.code_stream(micro.stream_blocks(spark, f"{tmp_path}/in", 4, large=True), rules, lambda g, n: nodes.extend(x["misc"] for r in g.collect() for x in r["nodes"]), f"{tmp_path}/cp3", code_node=True)
+    q.awaitTermination(120)
+    assert any("coding" in x for x in nodes)
     assert len(parts) == 4 and sorted((i, c or "") for _, p in parts for i, c in p) == want
 
 
 def test_numbers_go_on_between_batches(spark, tmp_path):
-    schema = "pid string, session long, block long, utterance string"
+    """As in batch: a PID that changes starts anew, also when it comes back; a missing one goes on."""
+    from utterloom.sources import chat
+
+    schema = "file string, pid string, session long, block long, utterance string"
+    pids = [None, "1", "1", "2", None, "1", "1", None]
+    rows = [(f, p, k, b, "x") for f in "fg" for k, p in enumerate(pids) for b in range(2)]
     src = tmp_path / "u"
-    for k in range(2):
-        spark.createDataFrame([("1", k, b, "x") for b in range(3)] + [("2", k, 0, "y")], schema).coalesce(1).write.mode("append").json(str(src))
+    for part in (rows[:7] + rows[16:20], rows[7:16] + rows[20:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(src))
     s = micro.number_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src)))
     q = s.writeStream.format("memory").queryName("numbered").option("checkpointLocation", f"{tmp_path}/cp2").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(180)
-    got = sorted(r["utt_id"] for r in spark.table("numbered").collect())
-    assert got == sorted([f"1_u{k}" for k in range(1, 7)] + ["2_u1", "2_u2"])
+    batch = chat.numbered(spark.createDataFrame(rows, schema))
+    key = ["file", "session", "block", "pid", "utt_nr", "utt_id"]
+    got = sorted(tuple(r) for r in spark.table("numbered").select(*key).collect())
+    assert got == sorted(tuple(r) for r in batch.select(*key).collect()) and len(got) == 32

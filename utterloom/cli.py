@@ -15,6 +15,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("chat_file")
     c.add_argument("out_dir")
     c.add_argument("--parsed", help="CoNLL-U files of the same utterances (item_id)")
+    c.add_argument("-p", "--parameters", help="parameter file of the tagger; its program is --tagger")
+    c.add_argument("--tagger", default="./tree-tagger", help="the tagger's program, on every machine")
+    c.add_argument("--api_model", help="model of the parsing service at --api_url")
+    c.add_argument("--api_url", help="address of a parsing service")
+    c.add_argument("--chunk_parse", type=int, default=10000, help="utterances in a request")
+    c.add_argument("--utt_tagged", action="store_true", help="fill the utt_tagged column")
     c.add_argument("--rewrite", help="rewrite rules")
     c.add_argument("--lexicon", action="append", default=[], help="lexicon file of the rewrite rules")
     c.add_argument("--write_conllu", action="store_true")
@@ -25,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--pos_utterance")
     c.add_argument("--utt_clean", action="store_true")
     c.add_argument("-z", "--gzip", action="store_true")
+    c.add_argument("--one_file", action="store_true", help="each table as one file with one header")
     d = sub.add_parser("code", help="code sentences")
     d.add_argument("query_file")
     d.add_argument("conllu_file")
@@ -42,11 +49,13 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("out_dir")
     m.add_argument("--code_head", action="store_true")
     m.add_argument("-z", "--gzip", action="store_true")
+    m.add_argument("--one_file", action="store_true", help="the table as one file with one header")
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    from .operators import coding, pages, rewrite, table
+    from .functions import text
+    from .operators import annotate, coding, pages, rewrite, table
     from .plans import language
     from .sources import chat, conllu, tables
     from .streaming import micro
@@ -54,15 +63,44 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("utterloom").getOrCreate()
     read = lambda path: "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())  # noqa: E731  rule files are small
+
+    def kept(df, path: str):
+        """Written and read again: a tagger, service or rewriting runs once, whatever reads its result."""
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
     if a.command == "chat":
         tokens = chat.read_chat(spark, a.chat_file, a.utt_clean)
-        if not a.parsed:
+        if not (a.parsed or a.parameters or a.api_model):
             tables.write_tsv(tokens, f"{a.out_dir}/table", table.PLAIN, gzip=a.gzip, plain=True)
             return
-        blocks = conllu.read_blocks(spark, a.parsed)
+        tagged = lines = None
+        if a.parameters:
+            given = tokens.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w_nr", "word"))), lambda x: x["word"]), " ").alias("block"))
+            tagger = annotate.process_annotator([a.tagger, a.parameters, "-token", "-lemma", "-sgml"])
+            found = kept(annotate.annotate(given, tagger, a.chunk_parse), f"{a.out_dir}/tagged")
+            tagged = annotate.tagged_tokens(found)
+            if a.utt_tagged:
+                speech = table.first_rows(tokens).select("item_id", "language")
+                lines = annotate.tagged_lines(tagged).join(speech, "item_id").select("item_id", text.fix_tagged(F.col("utt_tagged"), F.col("language")).alias("utt_tagged"))
+        blocks = None
+        if a.parsed:
+            blocks = conllu.read_blocks(spark, a.parsed)
+        elif a.api_model:
+            if not a.api_url:
+                raise SystemExit("--api_model needs --api_url")
+            unparsed = annotate.tagged_blocks(tagged) if tagged is not None else conllu.from_tokens(tokens)
+            parser_ = annotate.http_annotator(a.api_url, a.api_model)
+            blocks = kept(annotate.annotate(unparsed, parser_, a.chunk_parse), f"{a.out_dir}/parsed_blocks").filter("block is not null").select(F.lit("").alias("file"), F.monotonically_increasing_id().alias("block_nr"), "block")
+        if blocks is None:
+            out = table.finalise(tokens, None, tagged, lines, pos_utterance=a.pos_utterance, server_url=a.server_url)
+            tables.write_tsv(out, f"{a.out_dir}/parsed", table.PARSED, gzip=a.gzip, one=a.one_file)
+            tables.write_tsv(table.light(out, a.pos_output), f"{a.out_dir}/light", table.LIGHT, gzip=a.gzip, one=a.one_file)
+            return
         if a.rewrite:
             lexicons = {p.rsplit("/", 1)[-1]: language.read_lexicon(read(p)) for p in a.lexicon}
-            blocks = rewrite.rewrite(blocks, language.parse_grammar(read(a.rewrite)), lexicons)
+            blocks = kept(rewrite.rewrite(blocks, language.parse_grammar(read(a.rewrite)), lexicons), f"{a.out_dir}/rewritten")
+            blocks.filter("rewrite_error is not null").select("rewrite_error", "block").write.json(f"{a.out_dir}/rewrite_errors")
         g = conllu.graphs(blocks)
         links = None
         if a.html_dir:
@@ -71,9 +109,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             paged = pages.numbered_pages(g.join(project, "item_id", "left").withColumn("n", F.struct("file", "block_nr")), a.chunk_html, ["block_nr"], ["file"])
             pages.write_pages(pages.pages(paged, first, a.chat_file.rsplit("/", 1)[-1]), a.html_dir)
             links = pages.links(paged, a.html_dir)
-        out = table.finalise(tokens, conllu.token_rows(g), links=links, pos_utterance=a.pos_utterance, server_url=a.server_url)
-        tables.write_tsv(out, f"{a.out_dir}/parsed", table.PARSED, gzip=a.gzip)
-        tables.write_tsv(table.light(out, a.pos_output), f"{a.out_dir}/light", table.LIGHT, gzip=a.gzip)
+        out = table.finalise(tokens, conllu.token_rows(g), tagged, lines, links=links, pos_utterance=a.pos_utterance, server_url=a.server_url)
+        tables.write_tsv(out, f"{a.out_dir}/parsed", table.PARSED, gzip=a.gzip, one=a.one_file)
+        tables.write_tsv(table.light(out, a.pos_output), f"{a.out_dir}/light", table.LIGHT, gzip=a.gzip, one=a.one_file)
         if a.write_conllu:
             conllu.write_conllu(g, f"{a.out_dir}/conllu", compression="gzip" if a.gzip else None)
     elif a.command == "code":
@@ -90,12 +128,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             print(f"{conllu.read_blocks(spark, a.conllu_file).count()} sentences")
         if a.chunk_size:
             stream = micro.stream_blocks(spark, a.conllu_file, a.chunk_size)
-            micro.code_stream(stream, rules, lambda g, n: written(g, f"{a.out_dir}/batch={n}"), f"{a.out_dir}/_checkpoint", a.first_rule).awaitTermination()
+            micro.code_stream(stream, rules, lambda g, n: written(g, f"{a.out_dir}/batch={n}"), f"{a.out_dir}/_checkpoint", a.first_rule, code_node=a.code_node).awaitTermination()
         else:
             written(coding.code(conllu.read_conllu(spark, a.conllu_file), rules, a.first_rule, code_node=a.code_node), f"{a.out_dir}/coded")
     else:
         out = coding.merge(tables.read_tsv(spark, a.csv_file), conllu.read_conllu(spark, a.coded_file), code_head=a.code_head)
-        tables.write_tsv(out, f"{a.out_dir}/coded", gzip=a.gzip)
+        tables.write_tsv(out, f"{a.out_dir}/coded", gzip=a.gzip, one=a.one_file)
 
 
 if __name__ == "__main__":

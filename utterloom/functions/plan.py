@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +16,14 @@ def once(c: Column) -> Column:
     always holds but is not deterministic keeps it where it is.
     """
     return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once however often use reads it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it has fewer partitions: for rows that are few but take long."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

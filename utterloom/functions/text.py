@@ -117,22 +117,17 @@ def words(tokenised: Column) -> Column:
 TAGGER_FIXES = [
     (r"([,\?])_NAM=<unknown>", "$1_PON=,"),
     (r"Marie_VER:pres=marier", "Marie_NAM=Marie"),
-    *[
-        (rf"( {stem}[^_ ]*)_([^= ]+)=<unknown>", f" $1_{tag}=NEWLEM:{lemma}")
-        for stem, tag, lemma in (
-            ("allez", "VER:impe", "aller"),
-            ("attend", "VER", "attendre"),
-            ("dis", "VER", "dire"),
-            ("enl.v.", "VER", "enlever"),
-            ("fai", "VER", "faire"),
-            ("fini", "VER", "finir"),
-            ("prend", "VER", "prendre"),
-            ("mett", "VER", "mettre"),
-            ("regard", "VER", "regarder"),
-            ("tomb", "VER", "tomber"),
-            ("vu", "VER", "voir"),
-        )
-    ],
+    (r"( allez[^_ ]*)_([^= ]+)=<unknown>", " $1_VER:impe=NEWLEM:aller"),
+    (r"( attend[^_ ]*)_([^= ]+)=<unknown>", " $1_VER=NEWLEM:attendre"),
+    (r"( dis[^_ ]*)_([^= ]+)=<unknown>", " $1_VER=NEWLEM:dire"),
+    (r"( enl.v.[^_ ]*)_([^= ]+)=<unknown>", " $1_VER=NEWLEM:enlever"),
+    (r"( fai[^_ ]*)_([^= ]+)=<unknown>", " $1_VER=NEWLEM:faire"),
+    (r"( fini[^_ ]*)_([^= ]+)=<unknown>", " $1_VER=NEWLEM:finir"),
+    (r"( prend[^_ ]*)_([^= ]+)=<unknown>", " $1_VER=NEWLEM:prendre"),
+    (r"( mett[^_ ]*)_([^= ]+)=<unknown>", " $1_VER=NEWLEM:mettre"),
+    (r"( regard[^_ ]*)_([^= ]+)=<unknown>", " $1_VER=NEWLEM:regarder"),
+    (r"( tomb[^_ ]*)_([^= ]+)=<unknown>", " $1_VER=NEWLEM:tomber"),
+    (r"( vu[^_ ]*)_([^= ]+)=<unknown>", " $1_VER=NEWLEM:voir"),
     (r"( ![^_ ]*)_([^= ]+)=<unknown>", " !_PON=!"),
     (r"NEWLEM:", ""),
 ]

@@ -60,6 +60,22 @@ def process_annotator(command: list[str]) -> Annotator:
     return run
 
 
+def http_annotator(url: str, model: str, timeout: float = 300.0) -> Annotator:
+    """Sends CoNLL-U sentences to a parsing service in one request, as a form with model, input, tagger, parser and data; the answer is JSON with the parsed text as `result`."""
+
+    def run(texts: list[str]) -> list[str]:
+        import json
+        import urllib.parse
+        import urllib.request
+
+        form = {"model": model, "input": "conllu", "tagger": "", "parser": "", "data": "\n\n".join(t.strip("\n") for t in texts) + "\n\n"}
+        with urllib.request.urlopen(url, urllib.parse.urlencode(form).encode(), timeout) as answer:  # other states than 200 raise
+            result = json.load(answer).get("result") or ""
+        return [x for x in re.split(r"\n[ \t\r]*\n\s*", result.strip("\n")) if x.strip()]
+
+    return run
+
+
 def offline(sentences: DataFrame, parsed: DataFrame, key: str = "item_id") -> DataFrame:
     """Annotations that exist already: sentences with parsed blocks of the same key, else null."""
     return sentences.select(key).join(parsed.select(key, "block"), key, "left")

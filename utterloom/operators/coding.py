@@ -104,8 +104,14 @@ def merge(table: DataFrame, graphs: DataFrame, attributes: list[str] | None = No
     """The token table with one column per attribute: values joined by `;`, appended to what a column of that name holds.
 
     attributes: all that can occur (a rule list knows them), sorted here; None finds them with one more pass.
-    Codings without a row are left out; of rows that repeat a key the last (by `line`, if there is such a column) counts.
+    Codings without a row are left out; of rows that repeat a key the last counts, at the first one's
+    place: by `line`, where there is such a column, else by the order of the rows as they are read.
     """
+    if "line" in table.columns:
+        table = last_rows(table, key)
+    else:
+        names = table.columns
+        table = last_rows(table.withColumn("__line", F.monotonically_increasing_id()), key, "__line").select(*names)
     e = entries(graphs, code_head)
     if attributes is None:
         attributes = [r["att"] for r in e.select("att").distinct().collect()]
@@ -122,11 +128,29 @@ def merge(table: DataFrame, graphs: DataFrame, attributes: list[str] | None = No
     return out
 
 
+def coded_tokens(graphs: DataFrame, attributes: list[str], code_head: bool = False) -> DataFrame:
+    """One row per token with whole id of coded graphs: item_id, n (the node), utt_id, and a column per attribute.
+
+    What merge gives for the tokens of the same graphs, in the row of each sentence: no shuffle.
+    """
+    item = F.try_element_at("meta", F.lit("item_id"))
+    coding = F.try_element_at("meta", F.lit("coding"))
+    g = graphs.withColumn("item_id", item).withColumn("__e", once(F.when(coding.isNotNull(), parsed(coding)))).filter("item_id is not null")
+    own = lambda n: F.filter("__e", lambda e: (e["head"] if code_head else e["node"]) == n["id"])
+    pairs = F.transform("nodes", lambda n: F.struct(n.alias("n"), F.when(F.col("__e").isNotNull(), own(n)).alias("e")))
+    others = [c for c in graphs.columns if c not in ("nodes", "others", "codings", "meta", "item_id", "n", "utt_id", *attributes)]
+    t = g.select("item_id", *others, F.explode(once(pairs)).alias("x")).select("item_id", *others, F.col("x.n").alias("n"), F.col("x.e").alias("__e"))
+    cell = lambda a: F.array_join(F.transform(F.filter("__e", lambda e: e["att"] == a), lambda e: e["val"]), ";")
+    cells = [F.when(F.size("__e") > 0, cell(a)).otherwise(F.lit("")).alias(a) for a in sorted(set(attributes))]
+    return t.select(F.concat("item_id", F.lit("_w"), "n.id").alias("utt_id"), "item_id", "n", *others, *cells)
+
+
 def last_rows(table: DataFrame, key: str = "utt_id", line: str = "line") -> DataFrame:
     """One row per key: the last one's values, at the first one's place."""
     values = [c for c in table.columns if c not in (key, line)]
-    best = F.max(F.struct(line, *values)).alias("b")
-    return table.groupBy(key).agg(best, F.min(line).alias("__first")).select(key, F.col("__first").alias(line), *[F.col(f"b.{c}").alias(c) for c in values])
+    best = F.max_by(F.struct(line, *values), line).alias("b")
+    out = table.groupBy(key).agg(best, F.min(line).alias("__first"))
+    return out.select(key, F.col("__first").alias(line), *[F.col("b")[c].alias(c) for c in values]).select(*table.columns)
 
 
 def sentence(nodes: Column) -> Column:

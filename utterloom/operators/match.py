@@ -104,19 +104,28 @@ class _Search:
         return out
 
     def candidates(self, b: Block, name: str, bound: dict[str, Column]) -> Column:
-        """The nodes that name can be, fewest known first: its dependent's head, else all."""
+        """The nodes that name can be, fewest known first: its dependent's head, a neighbour, those before or behind another, else all."""
         for e in b.edges:
             if e.source == name and e.target in bound:
                 head = bound[e.target]["head"]
                 return F.when(head > 0, F.slice(self.nodes, head, F.lit(1))).otherwise(F.array(root_node()))
+        for o in sorted(b.orders, key=lambda o: not o.next_to):
+            if o.left == name and o.right in bound:
+                at = bound[o.right]["pos"]
+                return F.slice(self.nodes, F.greatest(at - 1, F.lit(1)), F.when(at > 1, 1).otherwise(0)) if o.next_to else F.slice(self.nodes, F.lit(1), F.greatest(at - 1, F.lit(0)))
+            if o.right == name and o.left in bound:
+                at = bound[o.left]["pos"]
+                return F.slice(self.nodes, at + 1, F.lit(1) if o.next_to else F.greatest(F.size(self.nodes) - at, F.lit(0)))
         free = any(e.source == name for e in b.edges) and not any(w == name for w, _ in b.nodes) and not any(e.target == name for e in b.edges)
         return F.concat(self.nodes, F.array(root_node())) if free else self.nodes
 
     def ways(self, b: Block, name: str, bound: dict[str, Column]) -> Column:
         def good(n: Column) -> Column:
-            tests = self.features(b, name, n) + self.between(b, name, n, bound)
+            # places and edges first: they are cheap and leave few nodes for the features
+            tests = self.between(b, name, n, bound)
             if self.injective:
                 tests += [n["pos"] != other["pos"] for other in bound.values()]
+            tests += self.features(b, name, n)
             return F.coalesce(_all(tests), F.lit(False))
 
         return F.filter(self.candidates(b, name, bound), good)

@@ -6,30 +6,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.plan import let
 from ..functions.text import escaped
 
-STYLE = "body{font-family:sans-serif}.parse p{font-family:monospace;white-space:pre;margin:0}.coding{background:#f0f0f0;font-family:monospace;font-size:12px;padding:5px;border-left:3px solid blue}.v{background-color:yellow}.l{color:magenta}.r{color:red}.u{color:darkgreen}.x{color:olive}.d{color:blue}"
+STYLE = """
+  :root { --ink: #22303c; --soft: #6b7c8c; --line: #d5dde3; --tint: #f4f8f6 }
+  body { margin: 2rem auto; max-width: 62rem; color: var(--ink); font: 1rem/1.5 Georgia, serif }
+  nav { display: flex; gap: 1.5rem; padding: .5rem 0; border-block: 1px solid var(--line) }
+  section { margin: 1.8rem 0; scroll-margin-top: 1rem }
+  h2 { margin: 0; font-size: .95rem; color: var(--soft) }
+  .child { color: #8a3b12; font-weight: bold }
+  blockquote { margin: .4rem 0; padding: .3rem 1rem; background: var(--tint) }
+  pre { margin: 0; overflow-x: auto; font-size: .85rem }
+  .lem { font-style: italic } .verb { text-decoration: underline } .cat { color: #1d6b52 } .tag { color: var(--soft) } .rel { color: #31509b }
+"""
 
 
-def depth(nodes: Column, n: Column) -> Column:
-    """Steps from a token to the root."""
-    start = F.struct(F.coalesce(n["head"], F.lit(0)).alias("h"), F.lit(0).alias("d"))
-    step = lambda a, _: F.when(a["h"] > 0, F.struct(F.coalesce(F.get(nodes, a["h"] - 1)["head"], F.lit(0)).alias("h"), (a["d"] + 1).alias("d"))).otherwise(a)
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(nodes), F.lit(1))), start, step, lambda a: a["d"])
+def depths(nodes: Column) -> Column:
+    """Steps from each token to the root, as an array; on a circle of heads the number of tokens.
+
+    Each round doubles the way that is looked up: every token takes over what the token at the end of
+    its way knows, so a sentence of n tokens needs log2(n) rounds.
+    """
+    way = "array<struct<h:int,d:int>>"
+    start = F.transform(nodes, lambda n: F.struct(F.coalesce(n["head"], F.lit(0)).alias("h"), F.when(n["head"] > 0, 1).otherwise(0).alias("d"))).cast(way)
+
+    def longer(ways: Column, _: Column) -> Column:
+        def one(w: Column) -> Column:
+            return let(F.get(ways, w["h"] - 1), lambda then: F.when((w["h"] > 0) & then.isNotNull(), F.struct(then["h"].alias("h"), (w["d"] + then["d"]).alias("d"))).otherwise(w))
+
+        return F.transform(ways, one).cast(way)
+
+    rounds = F.ceil(F.log2(F.greatest(F.size(nodes), F.lit(2)))).cast("int")
+    done = F.aggregate(F.sequence(F.lit(1), rounds), start, longer)
+    return F.transform(done, lambda w: F.least(w["d"], F.size(nodes)))
 
 
 def tree_lines(nodes: Column, html: bool = True) -> Column:
     """One line per token in order: number, a dot per two levels of depth, fields, relation and head."""
 
-    def one(n: Column) -> Column:
-        span = (lambda kind, c: F.concat(F.lit(f"<span class={kind}>"), c, F.lit("</span>"))) if html else (lambda kind, c: c)
+    def one(n: Column, deep: Column) -> Column:
+        span = (lambda kind, c: F.concat(F.lit(f'<span class="{kind}">'), c, F.lit("</span>"))) if html else (lambda kind, c: c)
         lemma, xpos = F.coalesce(n["lemma"], F.lit("_")), F.coalesce(n["xpos"], F.lit("_"))
-        upos = F.when(n["upos"].startswith("VER"), span("v", n["upos"])).otherwise(span("u", n["upos"]))
+        upos = F.when(n["upos"].startswith("VER"), span("verb", n["upos"])).otherwise(span("cat", n["upos"]))
         form = F.concat(F.lit("<b>"), n["form"], F.lit("</b>")) if html else n["form"]
-        dots = F.repeat(F.lit("."), depth(nodes, n) * 4)
-        return F.concat(F.lpad(n["id"], 2, "0"), dots, F.lit(" "), F.concat_ws(" ", form, span("l", lemma), upos, span("x", xpos), span("d", n["deprel"])), F.lit("&#8594;" if html else "→"), F.coalesce(n["head"].cast("string"), F.lit("0")))
+        dots = F.repeat(F.lit("."), deep * 4)
+        return F.concat(F.lpad(n["id"], 2, "0"), dots, F.lit(" "), F.concat_ws(" ", form, span("lem", lemma), upos, span("tag", xpos), span("rel", n["deprel"])), F.lit("&#8594;" if html else "→"), F.coalesce(n["head"].cast("string"), F.lit("0")))
 
-    return F.array_join(F.transform(nodes, one), "\n")
+    return F.array_join(F.zip_with(nodes, depths(nodes), one), "\n")
 
 
 def numbered_pages(g: DataFrame, size: int, order: list[str], part: list[str]) -> DataFrame:
@@ -53,23 +77,22 @@ def pages(paged: DataFrame, info: DataFrame, title: str, project: str = "project
     j = paged.join(info.select("item_id", "child_project", "speaker", "age", "utterance"), "item_id", "left")
     c = lambda name, default: F.coalesce(F.col(name), F.lit(default))
     age = F.coalesce(F.nullif(F.col("age"), F.lit("")), F.lit("_"))
-    who = F.when(F.col("speaker") == "CHI", F.concat(F.lit("<span class=r>CHI | "), age, F.lit("</span>"))).otherwise(c("speaker", "N/A"))
+    who = F.when(F.col("speaker") == "CHI", F.concat(F.lit('<span class="child">CHI, '), age, F.lit("</span>"))).otherwise(c("speaker", "N/A"))
     body = F.concat(
-        F.lit('\n<a name="'), "item_id", F.lit('"></a><hr>\n<h3>ID: '), "item_id", F.lit(" | "), c("child_project", "N/A"), F.lit(" | "), who, F.lit('</h3>\n<p class="coding">'),
-        escaped(c("utterance", "[Utterance not found]")), F.lit('</p>\n<div class="parse"><p>'), tree_lines(F.col("nodes")), F.lit("</p></div>\n"),
+        F.lit('<section id="'), "item_id", F.lit('">\n<h2>'), "item_id", F.lit(" &middot; "), c("child_project", "N/A"), F.lit(" &middot; "), who, F.lit("</h2>\n<blockquote>"),
+        escaped(c("utterance", "[Utterance not found]")), F.lit("</blockquote>\n<pre>"), tree_lines(F.col("nodes")), F.lit("</pre>\n</section>\n"),
     )
     name = lambda k: F.concat(F.substring(project, 1, 3), k.cast("string"), F.lit(".html"))
     link = lambda k, label: F.concat(F.lit('<a href="'), name(k), F.lit(f'">{label}</a>'))
     p, last = F.col("page"), F.col("page") == F.col("pages") - 1
     nav = F.concat(
-        F.when(p > 0, link(p - 1, "&laquo; Previous Page")).otherwise(F.lit("")), F.when((p > 0) & ~last, F.lit(" | ")).otherwise(F.lit("")),
-        F.lit(" <b>"), F.col(project), F.lit("</b> | "), F.when(~last, link(p + 1, "Next Page &raquo;")).otherwise(F.lit("")),
+        F.lit("<nav>"), F.when(p > 0, link(p - 1, "back")).otherwise(F.lit("")), F.lit("<strong>"), F.col(project), F.lit(" "), (p + 1).cast("string"), F.lit(" of "),
+        F.col("pages").cast("string"), F.lit("</strong>"), F.when(~last, link(p + 1, "on")).otherwise(F.lit("")), F.lit("</nav>\n"),
     )
-    head = f'<!DOCTYPE html>\n<html>\n<head><meta charset="utf-8"><title>{title}</title><style>{STYLE}</style></head>\n<body>\n'
+    head = f'<!DOCTYPE html>\n<html lang="en">\n<meta charset="utf-8">\n<title>{title}</title>\n<style>{STYLE}</style>\n'
     rows = j.select(project, "page", nav.alias("nav"), F.struct("n", body.alias("b")).alias("s"))
     out = rows.groupBy(project, "page").agg(F.first("nav").alias("nav"), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["b"]), "").alias("body"))
-    bar = lambda kind: F.concat(F.lit(f'<div class="nav-{kind}">'), "nav", F.lit("</div>"))
-    return out.select(name(p).alias("file"), F.concat(F.lit(head), bar("header"), "body", bar("footer"), F.lit("</body></html>")).alias("html"))
+    return out.select(name(p).alias("file"), F.concat(F.lit(head), "nav", "body", "nav", F.lit("</html>\n")).alias("html"))
 
 
 def write_pages(p: DataFrame, path: str, mode: str = "error") -> None:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..plans.language import Block, Feature, Grammar, Label, Rewrite
 
-MAX_STEPS = 100
+#: Without a limit of their own, sentences may take so many steps, and so many more for each token and rule.
+STEPS, STEPS_EACH = 200, 10
 FIELDS = {"form": 1, "lemma": 2, "upos": 3, "xpos": 4}
 
 
@@ -110,14 +111,32 @@ def _label(label: str, labels: tuple[Label, ...]) -> bool:
     )
 
 
-def find(g: Graph, pattern: Block, without: list[Block], lexicons: dict | None = None, injective: bool = True) -> Iterator[dict[str, str]]:
+class Index:
+    """A graph's tokens and edges by their ends, as long as it stays as it is."""
+
+    def __init__(self, g: Graph) -> None:
+        self.tokens = [i for i in g.order if i.isdigit()]
+        self.up: dict[str, list[tuple[str, str]]] = {}
+        self.down: dict[str, list[tuple[str, str]]] = {}
+        for s, x, t in g.edges:
+            self.up.setdefault(t, []).append((s, x))
+            self.down.setdefault(s, []).append((t, x))
+        self.labels = {x for _, x, _ in g.edges}
+
+
+def possible(g: Graph, index: Index, b: Block, lexicons: dict | None) -> bool:
+    """False where an edge of the pattern has no edge with its label, or a named token no token with its features."""
+    if any(e.labels and not any(_label(x, e.labels) for x in index.labels) for e in b.edges):
+        return False
+    return all(not any(o) or any(all(_holds(g.feature(n, f.name), f, lexicons or {}) for f in c) for n in index.tokens for c in o) for _, o in b.nodes)
+
+
+def find(g: Graph, pattern: Block, without: list[Block], lexicons: dict | None = None, injective: bool = True, index: Index | None = None) -> Iterator[dict[str, str]]:
     """Bindings (name -> node id) of a pattern, as they are found: names along edges and orders, places in order."""
-    tokens = [i for i in g.order if i.isdigit()]
-    up: dict[str, list[tuple[str, str]]] = {}
-    down: dict[str, list[tuple[str, str]]] = {}
-    for s, x, t in g.edges:
-        up.setdefault(t, []).append((s, x))
-        down.setdefault(s, []).append((t, x))
+    index = index or Index(g)
+    tokens, up, down = index.tokens, index.up, index.down
+    if not possible(g, index, pattern, lexicons):
+        return
 
     def fits(b: Block, name: str, n: str) -> bool:
         return all(any(all(_holds(g.feature(n, f.name), f, lexicons or {}) for f in o) for o in options) for w, options in b.nodes if w == name)
@@ -196,18 +215,34 @@ def apply(g: Graph, r: Rewrite, m: dict[str, str]) -> bool:
     return before != (g.edges, [(g.nodes[k], g.feats[k], g.misc[k]) for k in touched])
 
 
-def normal_form(g: Graph, rules: list[Rewrite], lexicons: dict | None = None, max_steps: int = MAX_STEPS) -> int:
-    """Applies the first rule that changes the graph until none does; the number of steps. Raises when there are too many."""
-    for step in range(max_steps):
+def normal_form(g: Graph, rules: list[Rewrite], lexicons: dict | None = None, max_steps: int | None = None) -> int:
+    """Applies the first rule that changes the graph until none does; the number of steps.
+
+    Raises when a state comes again, or (rules that let a graph grow) after more steps than the limit,
+    by default STEPS and STEPS_EACH for each token and rule.
+    """
+    limit = STEPS + STEPS_EACH * len(g.order) * len(rules) if max_steps is None else max_steps
+    seen = {hash(graph_state(g))}
+    for step in range(limit + 1):
+        index = Index(g)
         for r in rules:
-            if any(apply(g, r, m) for m in find(g, r.pattern, r.without, (lexicons or {}).get(r.name))):
+            if any(apply(g, r, m) for m in find(g, r.pattern, r.without, (lexicons or {}).get(r.name), index=index)):
                 break
         else:
             return step
-    raise RuntimeError(f"no normal form after {max_steps} steps")
+        state = hash(graph_state(g))
+        if state in seen:
+            raise RuntimeError(f"no normal form: a state comes again after {step + 1} steps")
+        seen.add(state)
+    raise RuntimeError(f"no normal form after {limit} steps")
+
+
+def graph_state(g: Graph) -> tuple:
+    """All that rules can change, in the order it is in."""
+    return tuple(g.edges), tuple(tuple(f) for f in g.nodes.values()), tuple(tuple(f.items()) for f in g.feats.values()), tuple(tuple(f.items()) for f in g.misc.values())
 
 
-def rewrite(blocks: DataFrame, grammar: Grammar, lexicons: dict[str, dict[str, set[str]]] | None = None, strategy: str = "main", block: str = "block", max_steps: int = MAX_STEPS) -> DataFrame:
+def rewrite(blocks: DataFrame, grammar: Grammar, lexicons: dict[str, dict[str, set[str]]] | None = None, strategy: str = "main", block: str = "block", max_steps: int | None = None) -> DataFrame:
     """blocks with rewritten texts, `rewrite_steps`, and `rewrite_error` (null, or why the sentence stayed as it was).
 
     lexicons: file name -> column -> values. Other columns stay.

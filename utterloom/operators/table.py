@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.conllu import fields_of
 
 PLAIN = ["utt_id", "utt_nr", "w_nr", "speaker", "child_project", "language", "child_other", "age", "age_days", "time_code", "word", "utterance", "utt_clean"]
 PARSED = ["utt_id", "utt_nr", "w_nr", "URLwww", "URLloc", *PLAIN[3:11], "lemma", "pos", "utterance", "utt_clean", "utt_tagged", *[f"conll_{k}" for k in range(1, 11)]]
@@ -54,6 +55,17 @@ def finalise(
     return out.select(*PARSED, *[c for c in ("item_id",) if c in out.columns])
 
 
+def of_graphs(rows: DataFrame, attributes: list[str]) -> DataFrame:
+    """The parsed and coded table from rows of tokens with their node n and codings (coding.coded_tokens), without a join.
+
+    Columns of PARSED that rows have stay, others are empty; lemma and tag are those of the parse.
+    """
+    n = F.col("n")
+    fields = {f"conll_{k + 1}": c for k, c in enumerate(fields_of(n))}
+    own = {"w_nr": n["pos"], "word": n["form"], "lemma": fields["conll_3"], "pos": fields["conll_4"]} | fields
+    return rows.select(*[F.col(c) if c in rows.columns else own.get(c, F.lit("")).alias(c) for c in PARSED], "item_id", *attributes)
+
+
 def light(table: DataFrame, pos_output: str = ".*") -> DataFrame:
     """The light columns of rows whose part of speech matches anywhere."""
     return table.filter(F.coalesce("pos", F.lit("")).rlike(pos_output)).select(*LIGHT)

@@ -7,17 +7,20 @@ The SQL works on long tables with joins and EXISTS; the engine on nested rows.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .functions.plan import once
-from .operators import coding, pages, rewrite, table
+from .functions.plan import once, spread
+from .operators import annotate, coding, pages, rewrite, table
 from .operators.match import match
 from .plans import language
 from .sources import chat, conllu, tables
+from .streaming import micro
 
 UPOS, DEPREL = ("NOUN", "VERB", "PRON", "ADV"), ("nsubj", "obj", "obl:arg", "case", "nsubj:pass", "aux:pass")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +33,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, meta, nodes, speaker, utterance."""
-    c = read(spark, sf_dir, "conversations")
+    c = spread(read(spark, sf_dir, "conversations"))
     sid = F.concat(F.col("conv_id").cast("string"), F.lit("_u"), (F.col("turn") + 1).cast("string"))
     forms = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \n\t]+"), F.lit(0))
     pick = lambda values, k: F.get(F.array(*map(F.lit, values)), k)
@@ -239,20 +242,32 @@ def _parts_sql(target: str) -> str:
     return f"WITH {CODED}, wide AS (SELECT sid, {target} AS pos, {cells} FROM strings GROUP BY 1, 2) SELECT t.sid || '_w' || t.pos AS utt_id, t.form AS word, {out} FROM tok t LEFT JOIN wide w ON t.sid = w.sid AND t.pos = w.pos"
 
 
-def _merged(spark, sf_dir, code_head: bool) -> DataFrame:
-    g = coded(spark, sf_dir)
-    rows = g.select("item_id", F.explode("nodes").alias("n")).select(F.concat("item_id", F.lit("_w"), "n.id").alias("utt_id"), F.col("n.form").alias("word"))
-    return coding.merge(rows, g, ATTRIBUTES, code_head)
-
-
 @register("a7_merge", _parts_sql("node"))
 def a7_merge(spark, sf_dir):
-    return _merged(spark, sf_dir, False)
+    """Codings in the rows of the same graphs' tokens."""
+    return coding.coded_tokens(coded(spark, sf_dir), ATTRIBUTES).select("utt_id", F.col("n.form").alias("word"), *ATTRIBUTES)
+
+
+def _word_rows(g: DataFrame) -> DataFrame:
+    return g.select("item_id", F.explode("nodes").alias("n")).select(F.concat("item_id", F.lit("_w"), "n.id").alias("utt_id"), F.col("n.form").alias("word"))
+
+
+@register("a7_merge_tables", _parts_sql("node"))
+def a7_merge_tables(spark, sf_dir):
+    """Codings into a table of other origin, by key."""
+    g = coded(spark, sf_dir)
+    return coding.merge(_word_rows(g), g, ATTRIBUTES)
 
 
 @register("c10_merge_on_head", _parts_sql("head"))
 def c10_merge_on_head(spark, sf_dir):
-    return _merged(spark, sf_dir, True)
+    g = coded(spark, sf_dir)
+    return coding.merge(_word_rows(g), g, ATTRIBUTES, code_head=True)
+
+
+@register("c10_head_tokens", _parts_sql("head"))
+def c10_head_tokens(spark, sf_dir):
+    return coding.coded_tokens(coded(spark, sf_dir), ATTRIBUTES, code_head=True).select("utt_id", F.col("n.form").alias("word"), *ATTRIBUTES)
 
 
 @register("c4_existing_codings_block", f"WITH {CODED}, old AS (SELECT sid, 'subj:old(9>' || min(head) || '_x)' AS coding, min(head) AS head FROM raw WHERE att = 'subj' GROUP BY sid), kept AS (SELECT s.* FROM strings s LEFT JOIN old o ON s.sid = o.sid AND s.att = 'subj' AND s.head = o.head WHERE o.sid IS NULL), l AS (SELECT sid, string_agg(coding, '; ' ORDER BY rule, coding) AS c FROM kept GROUP BY sid) SELECT coalesce(o.sid, l.sid) AS sid, concat_ws('; ', o.coding, l.c) AS coding FROM old o FULL JOIN l ON o.sid = l.sid")
@@ -314,7 +329,7 @@ def s6_conllu_scan(spark, sf_dir):
 @register("t32_tree_depth", f"WITH RECURSIVE {TOK}, d AS (SELECT sid, pos, 0 AS depth FROM tok WHERE head = 0 UNION ALL SELECT t.sid, t.pos, d.depth + 1 FROM tok t JOIN d ON t.sid = d.sid AND t.head = d.pos) SELECT sid, pos, CAST(depth AS INTEGER) AS depth FROM d")
 def t32_tree_depth(spark, sf_dir):
     g = corpus(spark, sf_dir)
-    d = g.select(F.col("item_id").alias("sid"), F.explode(F.transform("nodes", lambda n: F.struct(n["pos"].alias("pos"), pages.depth(F.col("nodes"), n).alias("depth")))).alias("x"))
+    d = g.select(F.col("item_id").alias("sid"), F.explode(F.zip_with("nodes", pages.depths(F.col("nodes")), lambda n, d: F.struct(n["pos"].alias("pos"), d.alias("depth")))).alias("x"))
     return d.select("sid", "x.pos", "x.depth")
 
 
@@ -333,7 +348,7 @@ strat main { Onf (Alt (label_root, objects)) }
 @register("r7_normal_form", f"WITH {TOK}, n AS (SELECT v.sid, v.pos, count(*) AS n FROM {PAIR} WHERE v.upos = 'VERB' AND n.upos = 'NOUN' AND n.deprel = 'obj' GROUP BY ALL) SELECT t.sid, t.pos, CASE WHEN t.deprel = 'obj' AND t.upos = 'NOUN' AND h.upos = 'VERB' THEN 'iobj' ELSE t.deprel END AS deprel, t.head, CASE WHEN n.n > 0 THEN 'fix=' || repeat('object_to_indirect,', n.n) WHEN t.head = 0 THEN 'fix=' ELSE '_' END AS misc FROM tok t LEFT JOIN tok h ON t.sid = h.sid AND t.head = h.pos LEFT JOIN n ON t.sid = n.sid AND t.pos = n.pos")
 def r7_normal_form(spark, sf_dir):
     blocks = conllu.to_blocks(corpus(spark, sf_dir)).select("block")
-    out = conllu.graphs(rewrite.rewrite(blocks, language.parse_grammar(GRAMMAR), max_steps=2000).select("block"))
+    out = conllu.graphs(rewrite.rewrite(blocks, language.parse_grammar(GRAMMAR)).select("block"))
     return conllu.token_rows(out).select(F.col("item_id").alias("sid"), F.col("conll_id").alias("pos"), F.col("conll_8").alias("deprel"), F.col("conll_7").cast("int").alias("head"), F.col("conll_10").alias("misc"))
 
 
@@ -521,9 +536,8 @@ def t23_light_rows(spark, sf_dir):
 
 @register("t29_light_coded", _parts_sql("node").replace("SELECT t.sid || '_w' || t.pos AS utt_id, t.form AS word", "SELECT t.sid || '_w' || t.pos AS utt_id, t.upos AS pos") .replace(", ".join(f"coalesce({a}, '') AS {a}" for a in ATTRIBUTES), ", ".join(f"regexp_replace(coalesce({a}, ''), '\\(\\d+>\\d+_.*?\\)', '', 'g') AS {a}" for a in ATTRIBUTES)) + " WHERE t.upos = 'VERB'")
 def t29_light_coded(spark, sf_dir):
-    g = coded(spark, sf_dir)
-    full = table.finalise(_token_table(spark, sf_dir), conllu.token_rows(g))
-    return table.light_coded(coding.merge(full, g, ATTRIBUTES)).select("utt_id", "pos", *ATTRIBUTES)
+    full = table.of_graphs(coding.coded_tokens(coded(spark, sf_dir), ATTRIBUTES), ATTRIBUTES)
+    return table.light_coded(full).select("utt_id", "pos", *ATTRIBUTES)
 
 
 @register("j5_first_rows", f"WITH {TOK} SELECT sid, form AS word FROM tok WHERE pos = 1")
@@ -543,13 +557,6 @@ def u1_concatenated(spark, sf_dir):
     return table.concatenated([n.filter("upos = 'VERB'").drop("upos"), n.filter("upos = 'NOUN'").select("sid", "pos", "form")])
 
 
-@register("w3_token_numbers", "WITH r AS (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, string_split(' ' || coalesce(text, '') || '  end', ' ') AS w FROM conversations)) SELECT conv_id, turn, w[i] AS word, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS INTEGER) AS conll_id FROM r WHERE w[i] <> ''")
-def w3_token_numbers(spark, sf_dir):
-    """Numbers without gaps, as the parser counts."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.words(F.expr("concat(' ', coalesce(text, ''), '  end')"))).alias("k", "w"))
-    return c.select("conv_id", "turn", "w.word", (F.col("k") + 1).alias("conll_id"))
-
-
 @register("w6_pages", f"WITH {TOK}, s AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY conv_id, turn) AS r, count(*) OVER (PARTITION BY speaker) AS n FROM words) SELECT sid, CAST((r - 1) // 20 AS INTEGER) AS page, CAST(ceil(n / 20.0) AS INTEGER) AS pages, substr(speaker, 1, 3) || ((r - 1) // 20) || '.html' AS file FROM s")
 def w6_pages(spark, sf_dir):
     p = pages.numbered_pages(corpus(spark, sf_dir), 20, ["conv_id", "turn"], ["speaker"])
@@ -557,14 +564,303 @@ def w6_pages(spark, sf_dir):
     return p.select("item_id", "page", "pages").join(ln, "item_id").select(F.col("item_id").alias("sid"), "page", "pages", "file")
 
 
-@register("s17_html_pages")
+# --- files, and operators around them
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share; a temporary one only where none is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/utterloom-{label}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def _transcripts(spark, sf_dir, text_: str = CHAT) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file"), F.expr(text_).alias("content"))
+
+
+@register("s1_chat_files", SQL["t8_chat_tokens"].replace(", CAST(i AS INTEGER) AS conll_id, 'fra' AS language", ""))
+def s1_chat_files(spark, sf_dir):
+    """Transcripts as gzipped files of many sessions, read back."""
+    path = folder(spark, "chat")
+    many = _transcripts(spark, sf_dir).groupBy((F.col("file").cast("long") % 40).alias("k")).agg(F.array_join(F.sort_array(F.collect_list("content")), "").alias("value"))
+    many.select("value").repartition(4).write.option("compression", "gzip").text(path)
+    return chat.read_chat(spark, f"{path}/*.gz").select("utt_id", "word")
+
+
+@register("s5_conllu_files", SQL["s6_conllu_scan"])
+def s5_conllu_files(spark, sf_dir):
+    """Sentences as CoNLL-U files, read back."""
+    path = folder(spark, "conllu")
+    conllu.write_conllu(corpus(spark, sf_dir).filter(F.size("nodes") > 0), path)
+    r = conllu.token_rows(conllu.read_conllu(spark, path))
+    return r.select(F.concat("item_id", F.lit("_w"), F.col("conll_id").cast("string")).alias("utt_id"), "conll_2", "conll_3", "conll_4", "conll_7", "conll_8")
+
+
+@register("s8_table_files", f"WITH {TOK} SELECT sid || '_w' || pos AS utt_id, '\"' || form AS quoted, coalesce(prontype, '') AS \"_corpus\", '' AS nothing FROM tok")
+def s8_table_files(spark, sf_dir):
+    """Tables as files, read back: quotes are text, names may begin with an underscore, a column without a name goes."""
+    path = folder(spark, "table")
+    n = corpus(spark, sf_dir).select("item_id", F.explode("nodes").alias("n"))
+    t = n.select(F.concat("item_id", F.lit("_w"), "n.id").alias("utt_id"), F.concat(F.lit('"'), "n.form").alias("quoted"), F.try_element_at("n.feats", F.lit("PronType")).alias("_corpus"), F.lit(None).cast("string").alias("nothing"), F.lit("x").alias(" "))
+    tables.write_tsv(t, path)
+    return tables.read_tsv(spark, path)
+
+
+def _lines(spark, path: str, header: str, ends: str = "\n") -> DataFrame:
+    """The lines of a written table, headers left out."""
+    return spark.read.option("lineSep", ends).text(path).filter(F.col("value") != header)
+
+
+ODD = "replace(replace(coalesce(text, ''), ' the ', chr(9) || 'the|'), ' and ', chr(92))"
+
+
+@register("s12_plain_file", f"SELECT conv_id || chr(9) || turn || chr(9) || regexp_replace({ODD}, '([\\t\\\\\\r\\n|])', '\\\\\\1', 'g') AS value FROM conversations WHERE NOT contains(coalesce(text, ''), chr(13))")
+def s12_plain_file(spark, sf_dir):
+    """The plain form: backslashes before separators, lines with both end characters."""
+    path = folder(spark, "plain")
+    c = read(spark, sf_dir, "conversations").filter("instr(coalesce(text, ''), chr(13)) = 0").select("conv_id", "turn", F.expr(ODD.replace("chr(9) || 'the|'", "concat(chr(9), 'the|')")).alias("t"))
+    tables.write_tsv(c, path, plain=True)
+    return _lines(spark, path, "conv_id\tturn\tt", "\r\n")
+
+
+@register("s14_light_file", f"WITH {TOK} SELECT concat_ws(chr(9), t.sid || '_w' || pos, CAST(t.turn + 1 AS INTEGER), pos, '', '', t.speaker, '', '', '', '', 0, form, lemma, upos, CASE WHEN upos = 'VERB' THEN w.utterance ELSE '' END, '', '') AS value FROM (SELECT tok.*, words.speaker FROM tok JOIN words USING (sid)) t JOIN words w ON t.sid = w.sid WHERE regexp_matches(upos, 'VERB|PRO') AND NOT regexp_matches(w.utterance, '[\\r\\n]')")
+def s14_light_file(spark, sf_dir):
+    path = folder(spark, "light")
+    mine = ~F.col("utterance").rlike("[\r\n]")
+    full = table.finalise(_token_table(spark, sf_dir).filter(mine), conllu.token_rows(corpus(spark, sf_dir).filter(mine)), pos_utterance="VERB")
+    tables.write_tsv(table.light(full, "VERB|PRO"), path, table.LIGHT, gzip=True, one=True)
+    return _lines(spark, path, "\t".join(table.LIGHT))
+
+
+@register("s16_coded_file", f"SELECT concat_ws(chr(9), utt_id, word, {', '.join(ATTRIBUTES)}) AS value FROM ({_parts_sql('node')})")
+def s16_coded_file(spark, sf_dir):
+    """The coded table as one file."""
+    path = folder(spark, "coded")
+    g = coded(spark, sf_dir)
+    tables.write_tsv(coding.merge(_word_rows(g), g, ATTRIBUTES), path, one=True)
+    return _lines(spark, path, "\t".join(["utt_id", "word", *ATTRIBUTES]))
+
+
+@register("o5_headers", "SELECT 'utt_id' || chr(9) || 'word' AS value, CAST(1 AS BIGINT) AS n")
+def o5_headers(spark, sf_dir):
+    """A table as one gzipped file has one header, its first line."""
+    path = folder(spark, "header")
+    tables.write_tsv(_word_rows(corpus(spark, sf_dir)), path, one=True, gzip=True)
+    first = spark.read.text(path, wholetext=True).select(F.substring_index("value", "\n", 1).alias("value"))
+    return first.groupBy("value").agg(F.count("*").alias("n"))
+
+
+NAMES = "concat('@PID:\t11312/c-1-1\n@Participants:\tCHI ', CASE c_custkey % 3 WHEN 0 THEN 'Sullyvan' WHEN 1 THEN 'Zoéè' ELSE 'Tom' END, ' Target_Child , SIS Lé Target_Child\n@ID:\tfra|', c_mktsegment, '|CHI|24;00.02||||Target_Child|||\n@ID:\tfra|', c_mktsegment, '|SIS|3;||||Target_Child|||\n*CHI:\toui .\n@End\n')"
+
+
+@register("t16_names", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Sullivan' WHEN 1 THEN 'Zoee' ELSE 'Tom' END || '_' || substr(c_mktsegment, 1, 3) AS first, '2;00.02' AS age, 'Le_' || substr(c_mktsegment, 1, 3) AS second, 1095 AS second_days FROM customer")
+def t16_names(spark, sf_dir):
+    """Names without accents, a known misspelling, a known wrong age."""
+    h = chat.with_header(chat.sessions(_transcripts(spark, sf_dir, NAMES)).filter("header <> ''"))
+    c = lambda k, f: F.get("children", F.lit(k))[f]
+    return h.select(F.col("file").cast("long").alias("c_custkey"), c(0, "full_id").alias("first"), c(0, "age").alias("age"), c(1, "full_id").alias("second"), c(1, "age_days").alias("second_days"))
+
+
+LONE = "concat('@PID:\t11312/c-1-1\n@Participants:\t', CASE c_custkey % 2 WHEN 0 THEN 'CHI Ana Child , ' ELSE '' END, 'MOT Mary Mother\n@ID:\tfra|', c_mktsegment, '|MOT||||Mother|||\n*MOT:\toui .\n@End\n')"
+
+
+@register("t17_no_target_child", "SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN 'Ana_' ELSE 'NN_' END || substr(c_mktsegment, 1, 3) AS child_project, 'X' AS child_other, '' AS age, 0 AS age_days FROM customer")
+def t17_no_target_child(spark, sf_dir):
+    u = chat.utterances(chat.sessions(_transcripts(spark, sf_dir, LONE)))
+    who = chat.speaker_columns(F.col("speaker"), F.col("children"))
+    return u.select(F.col("file").cast("long").alias("c_custkey"), *[c.alias(k) for k, c in who.items()])
+
+
+@register("t18_plain_lemma", "SELECT conv_id, turn, regexp_replace('se ' || role || ' ' || coalesce(text, ''), '.*? ', '', 'g') AS lemma FROM conversations")
+def t18_plain_lemma(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.plain_lemma(F.concat(F.lit("se "), "role", F.lit(" "), F.coalesce("text", F.lit("")))).alias("lemma"))
+
+
+def _tags(g: DataFrame) -> DataFrame:
+    return g.select("item_id", F.explode("nodes").alias("n")).select("item_id", F.col("n.pos").alias("w_nr"), F.col("n.form").alias("word"), F.col("n.upos").alias("pos"), F.col("n.lemma").alias("lemma"))
+
+
+@register("t20_tagged_lines", f"WITH {TOK} SELECT sid, string_agg(form || '_' || upos || '=' || lemma, ' ' ORDER BY pos) AS utt_tagged FROM tok GROUP BY sid")
+def t20_tagged_lines(spark, sf_dir):
+    return annotate.tagged_lines(_tags(corpus(spark, sf_dir))).withColumnRenamed("item_id", "sid")
+
+
+@register("j3_tagged_text", f"WITH {TOK}, l AS (SELECT sid, string_agg(form || '_' || upos || '=' || lemma, ' ' ORDER BY pos) AS utt_tagged FROM tok WHERE conv_id % 3 <> 0 GROUP BY sid) SELECT t.sid || '_w' || t.pos AS utt_id, CASE WHEN t.upos = 'VERB' THEN coalesce(l.utt_tagged, '') ELSE '' END AS utt_tagged FROM tok t LEFT JOIN l USING (sid)")
+def j3_tagged_text(spark, sf_dir):
+    """Tagged lines, where there are some, in the rows of verbs."""
+    g = corpus(spark, sf_dir)
+    lines = annotate.tagged_lines(_tags(g.filter("conv_id % 3 <> 0")))
+    return table.finalise(_token_table(spark, sf_dir), conllu.token_rows(g), tagged_text=lines, pos_utterance="VERB").select("utt_id", "utt_tagged")
+
+
+@register("s19_tagger_output", f"WITH {TOK} SELECT sid, CAST(pos AS INTEGER) AS w_nr, form AS word, 'N' || length(form) AS pos, lemma FROM tok WHERE turn % 5 <> 2")
+def s19_tagger_output(spark, sf_dir):
+    """A tagger that fails on some sentences: these come back with their error, the others tagged."""
+
+    def tagger(blocks: list[str]) -> list[str]:
+        if any(b.startswith("!") for b in blocks):
+            raise ValueError("cannot tag this")
+        return ["\n".join(f"{w}\tN{len(w)}\tse {w.lower()}" for w in b.split(" ")) for b in blocks]
+
+    g = corpus(spark, sf_dir).filter(F.size("nodes") > 0)
+    said = g.select("item_id", F.concat(F.when(F.col("turn") % 5 == 2, "!").otherwise(F.lit("")), coding.sentence(F.col("nodes"))).alias("block"))
+    return annotate.tagged_tokens(annotate.annotate(said, tagger).filter("error is null")).withColumnRenamed("item_id", "sid")
+
+
+@register("s21_failing_sentences", f"WITH {TOK} SELECT sid, 'ValueError: cannot tag this' AS error FROM words WHERE turn % 5 = 2 AND len(ws) > 0")
+def s21_failing_sentences(spark, sf_dir):
+    def tagger(blocks: list[str]) -> list[str]:
+        if any(b.startswith("!") for b in blocks):
+            raise ValueError("cannot tag this")
+        return blocks
+
+    g = corpus(spark, sf_dir).filter(F.size("nodes") > 0)
+    said = g.select("item_id", F.when(F.col("turn") % 5 == 2, "!").otherwise("x").alias("block"))
+    return annotate.annotate(said, tagger, batch=100).filter("error is not null").select(F.col("item_id").alias("sid"), "error")
+
+
+@register("s22_parser_input", f"WITH {TOK} SELECT sid, '# item_id = ' || sid || chr(10) || string_agg(concat_ws(chr(9), pos, form, CASE WHEN pos % 3 = 0 THEN '_' ELSE lemma END, '_', upos, '_', '_', '_', '_', '_'), chr(10) ORDER BY pos) AS block FROM tok GROUP BY sid")
+def s22_parser_input(spark, sf_dir):
+    """Tagged tokens as sentences for a parser; unknown lemmas are blank."""
+    t = _tags(corpus(spark, sf_dir)).withColumn("lemma", F.when(F.col("w_nr") % 3 == 0, "<unknown>").otherwise(F.col("lemma")))
+    return annotate.tagged_blocks(t).withColumnRenamed("item_id", "sid")
+
+
+@register("a2_grouped_tokens", f"WITH {TOK} SELECT sid, '# item_id = ' || sid || chr(10) || string_agg(pos || chr(9) || form || repeat(chr(9) || '_', 8), chr(10) ORDER BY pos) AS block FROM tok GROUP BY sid")
+def a2_grouped_tokens(spark, sf_dir):
+    return conllu.from_tokens(_token_table(spark, sf_dir)).withColumnRenamed("item_id", "sid")
+
+
+@register("t26_output_names", "SELECT p_partkey, regexp_replace(n, '\\.cha(\\.gz)?$', '') || '.light.csv' AS light, regexp_replace(regexp_replace(n, '\\.cha(\\.gz)?$', '') || '.parsed.csv', '(\\.\\w+)$', '.coded\\1') AS coded FROM (SELECT p_partkey, p_brand || CASE p_partkey % 3 WHEN 0 THEN '.cha' WHEN 1 THEN '.cha.gz' ELSE '.txt' END AS n FROM part)")
+def t26_output_names(spark, sf_dir):
+    n = F.expr("concat(p_brand, CASE p_partkey % 3 WHEN 0 THEN '.cha' WHEN 1 THEN '.cha.gz' ELSE '.txt' END)")
+    return read(spark, sf_dir, "part").select("p_partkey", tables.output_name(n, ".light.csv").alias("light"), tables.output_name(tables.output_name(n, ".parsed.csv"), "coded").alias("coded"))
+
+
+DEPTH = f"RECURSIVE {TOK}, d AS (SELECT sid, pos, 0 AS depth FROM tok WHERE head = 0 UNION ALL SELECT t.sid, t.pos, d.depth + 1 FROM tok t JOIN d ON t.sid = d.sid AND t.head = d.pos)"
+
+
+@register("t32_tree_lines", f"WITH {DEPTH} SELECT sid, string_agg(CASE WHEN pos < 10 THEN '0' ELSE '' END || substr(CAST(pos AS VARCHAR), 1, 2) || repeat('....', depth) || ' ' || concat_ws(' ', form, lemma, upos, '_', deprel) || '→' || head, chr(10) ORDER BY pos) AS tree FROM tok JOIN d USING (sid, pos) GROUP BY sid")
+def t32_tree_lines(spark, sf_dir):
+    g = corpus(spark, sf_dir).filter(F.size("nodes") > 0)
+    return g.select(F.col("item_id").alias("sid"), pages.tree_lines(F.col("nodes"), html=False).alias("tree"))
+
+
+_ITEM = "'<section id=\"' || sid || '\">' || chr(10) || '<h2>' || sid || ' &middot; ' || CASE WHEN known THEN 'NN' ELSE 'N/A' END || ' &middot; ' || CASE WHEN NOT known THEN 'N/A' WHEN speaker = 'USER' THEN '<span class=\"child\">CHI, _</span>' ELSE speaker END || '</h2>' || chr(10) || '<blockquote>' || CASE WHEN known THEN replace(replace(utterance, '<', '&lt'), '>', '&gt') ELSE '[Utterance not found]' END || '</blockquote>' || chr(10) || '<pre>' || tree || '</pre>' || chr(10) || '</section>' || chr(10)"
+_TREE = "string_agg(CASE WHEN pos < 10 THEN '0' ELSE '' END || substr(CAST(pos AS VARCHAR), 1, 2) || repeat('....', depth) || ' <b>' || form || '</b> <span class=\"lem\">' || lemma || '</span> <span class=\"' || CASE WHEN starts_with(upos, 'VER') THEN 'verb' ELSE 'cat' END || '\">' || upos || '</span> <span class=\"tag\">_</span> <span class=\"rel\">' || deprel || '</span>&#8594;' || head, chr(10) ORDER BY pos)"
+_NAV = "'<nav>' || CASE WHEN page > 0 THEN '<a href=\"' || substr(speaker, 1, 3) || (page - 1) || '.html\">back</a>' ELSE '' END || '<strong>' || speaker || ' ' || (page + 1) || ' of ' || pages || '</strong>' || CASE WHEN page < pages - 1 THEN '<a href=\"' || substr(speaker, 1, 3) || (page + 1) || '.html\">on</a>' ELSE '' END || '</nav>' || chr(10)"
+_HEAD = "'" + f'<!DOCTYPE html>\n<html lang="en">\n<meta charset="utf-8">\n<title>corpus</title>\n<style>{pages.STYLE}</style>\n'.replace("'", "''") + "'"
+
+
+@register(
+    "s17_html_pages",
+    f"WITH {DEPTH}, trees AS (SELECT sid, {_TREE} AS tree FROM tok JOIN d USING (sid, pos) GROUP BY sid), "
+    f"s AS (SELECT *, conv_id % 4 <> 0 AS known, (row_number() OVER (PARTITION BY speaker ORDER BY conv_id, turn) - 1) // 20 AS page, CAST(ceil(count(*) OVER (PARTITION BY speaker) / 20.0) AS INTEGER) AS pages FROM words JOIN trees USING (sid)) "
+    f"SELECT substr(speaker, 1, 3) || page || '.html' AS file, {_HEAD} || {_NAV} || string_agg({_ITEM}, '' ORDER BY conv_id, turn) || {_NAV} || '</html>' || chr(10) AS html FROM s GROUP BY speaker, page, pages",
+)
 def s17_html_pages(spark, sf_dir):
+    """Pages of 20 sentences; of a quarter of them nothing is known but the tree."""
     g = corpus(spark, sf_dir).filter(F.size("nodes") > 0)
     p = pages.numbered_pages(g.withColumn("n", F.struct("conv_id", "turn")), 20, ["conv_id", "turn"], ["speaker"])
-    info = g.select("item_id", F.lit("NN").alias("child_project"), "speaker", F.lit("").alias("age"), "utterance")
+    speaker = F.when(F.col("speaker") == "USER", "CHI").otherwise(F.col("speaker")).alias("speaker")
+    info = g.filter("conv_id % 4 <> 0").select("item_id", F.lit("NN").alias("child_project"), speaker, F.lit("").alias("age"), "utterance")
     return pages.pages(p.drop("utterance", "conv_id", "turn").withColumn("project", F.col("speaker")).drop("speaker"), info, "corpus")
 
 
+@register("w3_token_numbers", f"WITH r AS (SELECT conv_id, turn, string_split({_tokens_sql(text.DEFAULT, 'c')}, ' ') AS w FROM (SELECT conv_id, turn, {_clean_sql()} AS c FROM (SELECT conv_id, turn, '  a ' || coalesce(text, '') || ' e ' AS s FROM conversations))), i AS (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM r) SELECT conv_id || '_u' || turn || '_w' || i AS utt_id, w[i] AS word, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS INTEGER) AS conll_id FROM i WHERE w[i] <> ''")
+def w3_token_numbers(spark, sf_dir):
+    """Numbers without gaps, as the parser counts, beside those that count empty tokens."""
+    c = read(spark, sf_dir, "conversations")
+    none = F.array(F.struct(F.lit("CHI").alias("code"), F.lit("").alias("full_id"), F.lit("").alias("age"), F.lit(0).alias("age_days")))
+    u = c.select(F.lit("f").alias("file"), F.lit(0).alias("session"), F.concat("conv_id", F.lit("_u"), "turn").alias("utt_id"), F.col("turn").alias("utt_nr"), F.col("role").alias("speaker"), none.alias("children"), F.lit("").alias("language"), F.lit("").alias("time_code"), F.concat(F.lit("  a "), F.coalesce("text", F.lit("")), F.lit(" e ")).alias("utterance"))
+    return chat.tokens(u).select("utt_id", "word", "conll_id")
+
+
+@register("a8_merge_repeated", f"WITH {CODED}, wide AS (SELECT sid, node AS pos, coalesce(string_agg(substr(coding, 6), ';' ORDER BY rule, coding) FILTER (att = 'subj'), '') AS subj FROM strings GROUP BY 1, 2) SELECT t.sid || '_w' || t.pos AS utt_id, CASE WHEN t.pos % 2 = 0 THEN 'again ' ELSE '' END || t.form AS word, CAST(t.pos AS BIGINT) AS line, coalesce(subj, '') AS subj FROM tok t LEFT JOIN wide w ON t.sid = w.sid AND t.pos = w.pos")
+def a8_merge_repeated(spark, sf_dir):
+    """Of rows that repeat a key the last counts, at the place of the first."""
+    g = coded(spark, sf_dir)
+    n = g.select("item_id", F.explode("nodes").alias("n")).select(F.concat("item_id", F.lit("_w"), "n.id").alias("utt_id"), F.col("n.form").alias("word"), F.col("n.pos").cast("long").alias("line"))
+    more = n.filter("line % 2 = 0").withColumn("word", F.concat(F.lit("again "), "word")).withColumn("line", F.col("line") + 100_000)
+    return coding.merge(n.unionByName(more), g, ["subj"]).select("utt_id", "word", "line", "subj")
+
+
+LEXICON = "lemma\tkind\n%---\nthe\ta\nthat\tb\nand\tc\n"
+
+
+def _rewritten(spark, sf_dir, grammar: str, **kw) -> DataFrame:
+    blocks = conllu.to_blocks(corpus(spark, sf_dir).filter(F.size("nodes") > 0)).select("item_id", "block")
+    return rewrite.rewrite(blocks, language.parse_grammar(grammar), {"words.tsv": language.read_lexicon(LEXICON)}, **kw)
+
+
+def _relations(out: DataFrame) -> DataFrame:
+    r = conllu.token_rows(conllu.graphs(out.select("block")))
+    return r.select(F.col("item_id").alias("sid"), F.col("conll_id").alias("pos"), F.col("conll_8").alias("deprel"), F.col("conll_10").alias("misc"))
+
+
+@register("r6_lexicon_rule", f"WITH {TOK} SELECT n.sid, n.pos, CASE WHEN n.deprel = 'obj' AND n.lemma IN ('the', 'that', 'and') THEN 'det' ELSE n.deprel END AS deprel, '_' AS misc FROM tok n")
+def r6_lexicon_rule(spark, sf_dir):
+    """A rule for the words of a lexicon."""
+    return _relations(_rewritten(spark, sf_dir, 'rule r (words from "words.tsv") { pattern { N [lemma=words.lemma]; e: V -[obj]-> N } commands { del_edge e; add_edge V -[det]-> N } }'))
+
+
+@register("r9_work_marks", f"WITH {TOK} SELECT n.sid, n.pos, CASE WHEN n.deprel = 'nsubj' AND n.upos = 'NOUN' THEN 'dislocated:todo' ELSE n.deprel END AS deprel, CASE WHEN n.deprel = 'nsubj' AND n.upos = 'NOUN' THEN 'todo=attach' ELSE '_' END AS misc FROM tok n")
+def r9_work_marks(spark, sf_dir):
+    """A subtype and a feature as marks for later work."""
+    return _relations(_rewritten(spark, sf_dir, "rule r { pattern { N [upos=NOUN]; e: V -[nsubj]-> N } commands { del_edge e; add_edge V -[dislocated:todo]-> N; N.todo = attach } }"))
+
+
+@register("r8_rewrite_errors", f"WITH {TOK} SELECT sid, CAST(CASE WHEN bool_or(upos = 'ADV' AND lemma = 'the') THEN 0 ELSE sum(CASE WHEN deprel = 'case' AND head > 0 THEN 1 ELSE 0 END) END AS INTEGER) AS steps, bool_or(upos = 'ADV' AND lemma = 'the') AS failed, CASE WHEN bool_or(upos = 'ADV' AND lemma = 'the') THEN count(*) FILTER (deprel = 'case') ELSE 0 END AS left_over FROM tok GROUP BY sid")
+def r8_rewrite_errors(spark, sf_dir):
+    """Rules that go round in circles leave the sentence as it was, with an error; others are rewritten, however many steps it takes."""
+    g = 'rule a { pattern { V -[case]-> N; e: V -[case]-> N } commands { del_edge e; add_edge V -[mark]-> N } } rule b { pattern { N [upos=ADV, lemma="the", !turn] } commands { N.turn = "1" } } rule c { pattern { N [turn="1"] } commands { N.turn = "2" } } rule d { pattern { N [turn="2"] } commands { N.turn = "1" } }'
+    out = _rewritten(spark, sf_dir, g)
+    cases = F.size(F.filter(F.split("block", "\n"), lambda x: F.get(F.split(x, "\t"), F.lit(7)) == "case"))
+    return out.select(F.col("item_id").alias("sid"), F.col("rewrite_steps").alias("steps"), F.col("rewrite_error").isNotNull().alias("failed"), cases.cast("long").alias("left_over"))
+
+
+@register("q30_case_variants", f"WITH {TOK} SELECT {NH.replace('n.sid', 'n.sid')} FROM {PAIR} WHERE n.deprel = 'obj' AND n.upos <> 'ADV'")
+def q30_case_variants(spark, sf_dir):
+    rules = language.parse_rules("% CODING attribute=a value=x node=N addlemma=V\nPATTERN { V -[obj]-> N }\nwithout { N [upos=ADV] }\n")
+    m = match(corpus(spark, sf_dir), rules).select(F.col("item_id").alias("sid"), F.explode("matches").alias("m"))
+    return m.select("sid", "m.node", "m.head", "m.lemma")
+
+
+@register("s10_rule_files", f"WITH {CODED} SELECT sid, coding FROM lines")
+def s10_rule_files(spark, sf_dir):
+    """Rules from a file."""
+    path = folder(spark, "rules")
+    spark.createDataFrame([(RULES,)], "value string").coalesce(1).write.text(path)
+    rules = language.parse_rules("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    g = coding.code(corpus(spark, sf_dir), rules, True)
+    return g.filter(coding_of(g).isNotNull()).select(F.col("item_id").alias("sid"), coding_of(g).alias("coding"))
+
+
+@register("x2_micro_batches", f"WITH {CODED} SELECT sid, coding FROM lines")
+def x2_micro_batches(spark, sf_dir):
+    """Files coded batch by batch as a stream: the same codings."""
+    path = folder(spark, "stream")
+    conllu.write_conllu(corpus(spark, sf_dir).filter(F.size("nodes") > 0), f"{path}/in")
+    sink = lambda g, n: g.filter(coding_of(g).isNotNull()).select(F.col("item_id").alias("sid"), coding_of(g).alias("coding")).write.parquet(f"{path}/out/{n}")
+    micro.code_stream(micro.stream_blocks(spark, f"{path}/in", 3), language.parse_rules(RULES), sink, f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out/*")
+
+
+@register("x4_stream_numbers", SQL["w1_running_numbers"])
+def x4_stream_numbers(spark, sf_dir):
+    """Running numbers with state: as in batch."""
+    path = folder(spark, "numbers")
+    o = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).cast("string").alias("file"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("pid"), F.col("o_orderkey").alias("session"), F.lit(0).cast("long").alias("block"), F.lit("").alias("utterance"))
+    # two batches, the earlier sessions first
+    middle = o.agg(F.expr("percentile_approx(session, 0.5)")).first()[0]
+    o.filter(F.col("session") <= middle).coalesce(1).write.parquet(f"{path}/in/a")
+    o.filter(F.col("session") > middle).coalesce(1).write.parquet(f"{path}/in/b")
+    s = micro.number_stream(spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{path}/in/*"))
+    s.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("file", "session", "pid", F.col("utt_nr").cast("int").alias("utt_nr"), "utt_id")
+
+
 @register("a11_counts", f"WITH {CODED} SELECT (SELECT count(*) FROM words) AS sentences, (SELECT count(*) FROM raw) AS found, (SELECT count(*) FROM lines) AS coded, (SELECT count(*) FROM strings) AS codings")
 def a11_counts(spark, sf_dir):
     rules = language.parse_rules(RULES)

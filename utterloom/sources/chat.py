@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 
+#: The header lines in front of a session, and a main tier with its continuation and dependent lines.
 HEADER = r"^((?:(?:@|\t)[^\n]*\n)*)"
 BLOCK = r"(\*[^\n]*(?:\n(?![*@])[^\n]*)*)"
 #: Fixed value: an age that is known to be wrong, and the right one.

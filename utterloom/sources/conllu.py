@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.plan import once
+from ..functions.plan import let, once
 
 SEPARATOR = r"\n[ \t\r]*\n\s*"
+ENTRIES = "array<struct<k:string,v:string>>"
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -27,10 +28,17 @@ def read_large(spark: SparkSession, path: str) -> DataFrame:
 
 def pairs(c: Column) -> Column:
     """`A=B|C` as a map; `_` and empty give an empty map; a key without a value has an empty one; of repeated keys the last counts."""
-    parts = F.filter(F.split(F.when(c == "_", "").otherwise(c), r"\|"), lambda x: x != "")
-    keyed = F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise(F.lit("")).alias("v")))
-    last = F.transform(F.array_distinct(F.transform(keyed, lambda p: p["k"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(keyed, lambda p: p["k"] == k), -1)["v"].alias("v")))
-    return F.map_from_entries(last)
+    parts = F.filter(F.split(c, r"\|"), lambda x: x != "")
+    value = lambda x: F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise(F.lit(""))
+    keyed = F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), value(x).alias("v")))
+    return F.when((c == "_") | (c == ""), F.map_from_entries(F.array().cast(ENTRIES))).otherwise(let(keyed, last_entries))
+
+
+def last_entries(kv: Column) -> Column:
+    """A map of (k, v) structs; of repeated keys the last counts."""
+    keys = F.array_distinct(F.transform(kv, lambda p: p["k"]))
+    last = F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(kv, lambda p: p["k"] == k), -1)["v"].alias("v")))
+    return F.map_from_entries(F.when(F.size(keys) == F.size(kv), kv).otherwise(last))
 
 
 def parsed(block: Column) -> tuple[Column, Column]:
@@ -38,8 +46,7 @@ def parsed(block: Column) -> tuple[Column, Column]:
     lines = F.filter(F.split(block, "\r?\n"), lambda x: F.trim(x) != "")
     heads = F.filter(lines, lambda x: x.rlike(r"^#[^=]*="))
     kv = F.transform(heads, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^#\s*([^=]*)=", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^#[^=]*=(.*)$", 1)).alias("v")))
-    keys = F.array_distinct(F.transform(kv, lambda p: p["k"]))
-    meta = F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(kv, lambda p: p["k"] == k), -1)["v"].alias("v"))))
+    meta = let(kv, last_entries)
     rows = F.filter(F.transform(F.filter(lines, lambda x: ~x.startswith("#")), lambda x: F.split(x, "\t")), lambda f: F.size(f) == 10)
     at = lambda f, k: F.get(f, F.lit(k))
 
@@ -68,13 +75,19 @@ def read_conllu(spark: SparkSession, path: str) -> DataFrame:
 def joined_pairs(m: Column) -> Column:
     """A map as `A=B|C=D`, `_` for none."""
     text = F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
-    return F.coalesce(F.nullif(text, F.lit("")), F.lit("_"))
+    return F.when(m.isNull() | (F.size(m) == 0), "_").otherwise(text)
+
+
+def fields_of(n: Column) -> list[Column]:
+    """The ten fields of a node, as text."""
+    blank = lambda c: F.when((c == "") | c.isNull(), "_").otherwise(c)
+    head = F.coalesce(n["head"].cast("string"), F.lit("_"))
+    return [n["id"], *[blank(n[c]) for c in ("form", "lemma", "upos", "xpos")], joined_pairs(n["feats"]), head, blank(n["deprel"]), blank(n["deps"]), joined_pairs(n["misc"])]
 
 
 def line_of(n: Column) -> Column:
-    """The ten fields of a node."""
-    blank = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("_"))
-    return F.concat_ws("\t", n["id"], blank(n["form"]), blank(n["lemma"]), blank(n["upos"]), blank(n["xpos"]), joined_pairs(n["feats"]), F.coalesce(n["head"].cast("string"), F.lit("_")), blank(n["deprel"]), blank(n["deps"]), joined_pairs(n["misc"]))
+    """A node as a line."""
+    return F.concat_ws("\t", *fields_of(n))
 
 
 def block_of(meta: Column, nodes: Column) -> Column:
@@ -108,5 +121,4 @@ def from_tokens(tokens: DataFrame, lemma: Column | None = None, xpos: Column | N
 def token_rows(g: DataFrame) -> DataFrame:
     """One row per token with whole id: item_id, conll_id, conll_1 .. conll_10 as text."""
     n = g.select("item_id", F.explode("nodes").alias("n"))
-    fields = F.split(line_of(F.col("n")), "\t")
-    return n.select("item_id", F.col("n.pos").alias("conll_id"), *[F.get(fields, F.lit(k)).alias(f"conll_{k + 1}") for k in range(10)])
+    return n.select("item_id", F.col("n.pos").alias("conll_id"), *[c.alias(f"conll_{k + 1}") for k, c in enumerate(fields_of(F.col("n")))])

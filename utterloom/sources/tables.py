@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,7 +10,8 @@ def read_tsv(spark: SparkSession, path: str | list[str], quoting: bool = False)
     """All columns as text, empty fields as empty strings; columns without a name are dropped. Without quoting, quotes are text."""
     r = spark.read.option("sep", "\t").option("header", True).option("quote", '"' if quoting else "").option("nullValue", "\x00").option("emptyValue", "")
     df = r.csv(path)
-    names = [c for c in df.columns if c.strip() and not c.startswith("_c")]
+    #: Spark calls the k-th column `_c<k>` when its name is empty.
+    names = [c for k, c in enumerate(df.columns) if c.strip() and c != f"_c{k}"]
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
 
 
@@ -25,10 +26,14 @@ def line(df: DataFrame, columns: list[str] | None = None, escape_plain: bool = F
     return F.concat_ws("\t", *[one(c) for c in names]).alias("value")
 
 
-def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error", gzip: bool = False, plain: bool = False) -> None:
-    """One part file per task, each with a header line, no quoting. plain: the 13-column form with `\\r\\n` and backslashes."""
+def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error", gzip: bool = False, plain: bool = False, one: bool = False) -> None:
+    """No quoting. plain: the 13-column form with `\\r\\n` and backslashes.
+
+    A part file for each task, each with a header line; one: a single table file, written by one task in the order of the rows.
+    """
     names = columns or df.columns
     w = df.select(line(df, names, plain).alias("value"))
+    w = w.coalesce(1) if one else w
     out = w.mapInArrow(_headed("\t".join(names)), "value string")
     writer = out.write.mode(mode).option("lineSep", "\r\n" if plain else "\n")
     (writer.option("compression", "gzip") if gzip else writer).text(path)
@@ -48,10 +53,14 @@ def _headed(header: str):
     return run
 
 
-def output_name(path: str, suffix: str) -> str:
-    """`x.cha(.gz)` with another ending; coded tables get `.coded` before theirs."""
+def output_name(path: str | Column, suffix: str):
+    """`x.cha(.gz)` with another ending; coded tables get `.coded` before theirs. A name or a column of names."""
     import re
 
+    if isinstance(path, Column):
+        if suffix == "coded":
+            return F.regexp_replace(path, r"(\.\w+)$", ".coded$1")
+        return F.concat(F.regexp_replace(path, r"\.cha(\.gz)?$", ""), F.lit(suffix))
     if suffix == "coded":
         return re.sub(r"(\.\w+)$", r".coded\1", path)
     return re.sub(r"\.cha(\.gz)?$", "", path) + suffix

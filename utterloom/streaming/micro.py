@@ -10,35 +10,55 @@ from pyspark.sql import functions as F
 
 from ..operators.coding import code
 from ..plans.language import Rule
-from ..sources.conllu import graphs
+from ..sources.conllu import SEPARATOR, graphs
 
 
-def stream_blocks(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
-    """A stream of sentences from a folder that gets CoNLL-U files; sentences are parted by one empty line."""
-    raw = spark.readStream.option("lineSep", "\n\n").option("maxFilesPerTrigger", files_per_batch).text(path)
+def stream_blocks(spark: SparkSession, path: str, files_per_batch: int = 8, large: bool = False) -> DataFrame:
+    """A stream of sentences (block) from a folder that gets CoNLL-U files.
+
+    Blank lines part sentences, as in batch; files are read whole. large: sentences are parted by
+    exactly one empty line, and files may be larger than memory.
+    """
+    source = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    if large:
+        raw = source.option("lineSep", "\n\n").text(path)
+    else:
+        raw = source.text(path, wholetext=True).select(F.explode(F.split("value", SEPARATOR)).alias("value"))
     return raw.filter(F.length(F.trim("value")) > 0).withColumnRenamed("value", "block")
 
 
-def code_stream(blocks: DataFrame, rules: list[Rule], sink: Callable[[DataFrame, int], None], checkpoint: str, first: bool = True, once: bool = True):
+def code_stream(blocks: DataFrame, rules: list[Rule], sink: Callable[[DataFrame, int], None], checkpoint: str, first: bool = True, once: bool = True, code_node: bool = False):
     """Codes each micro-batch and gives it to sink(graphs, batch number); no pattern crosses a sentence, so batches need no state."""
 
     def each(df: DataFrame, n: int) -> None:
-        sink(code(graphs(df), rules, first), n)
+        sink(code(graphs(df), rules, first, code_node=code_node), n)
 
     w = blocks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def number_stream(utterances: DataFrame, key: str = "pid") -> DataFrame:
-    """A stream of utterances (pid, session, block, utterance) with running numbers per PID that go on from batch to batch."""
+def number_stream(utterances: DataFrame, key: str = "file") -> DataFrame:
+    """A stream of utterances (file, pid, session, block, utterance) with running numbers that go on from batch to batch.
+
+    As in batch: within a file numbers run on while the PID stays, also where a session has none, and
+    start anew when it changes. The state of a file is its last PID and number; its utterances come in
+    order of session and block, batch after batch.
+    """
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
+        last, n = state.get if state.exists else ("", 0)
         got = pd.concat(list(batches)).sort_values(["session", "block"], kind="stable")
-        got["utt_nr"] = range(n + 1, n + 1 + len(got))
-        got["utt_id"] = [f"{k[0]}_u{i}" for i in got["utt_nr"]]
-        state.update((n + len(got),))
-        yield got[["pid", "session", "block", "utterance", "utt_nr", "utt_id"]]
+        pids, numbers = [], []
+        for pid in got["pid"]:
+            own = last if pid is None or pid != pid else pid
+            n = n + 1 if own == last else 1
+            last = own
+            pids.append(own)
+            numbers.append(n)
+        got["pid"], got["utt_nr"] = pids, numbers
+        got["utt_id"] = [f"{p}_u{i}" for p, i in zip(pids, numbers, strict=True)]
+        state.update((last, n))
+        yield got[[key, "pid", "session", "block", "utterance", "utt_nr", "utt_id"]]
 
-    schema = "pid string, session long, block long, utterance string, utt_nr long, utt_id string"
-    return utterances.groupBy(key).applyInPandasWithState(run, schema, "n long", "append", "NoTimeout")
+    schema = f"{key} string, pid string, session long, block long, utterance string, utt_nr long, utt_id string"
+    return utterances.groupBy(key).applyInPandasWithState(run, schema, "pid string, n long", "append", "NoTimeout")
