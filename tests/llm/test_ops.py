@@ -73,35 +73,89 @@ def sha(b) -> str:
 
 def test_suffix_array_and_prefixes():
     rnd = random.Random(3)
-    for _ in range(300):
+    for k in range(400):
         s = [rnd.randint(1, rnd.choice([1, 2, 3, 200, 5000])) for _ in range(rnd.randint(0, 60))]
         s = (s * 3 if rnd.random() < 0.3 else s) + [0]
+        if k % 10 == 0:
+            s = [1] * rnd.randint(0, 300) + s
         sa = induced.suffix_array(np.array(s))
         want = sorted(range(len(s)), key=lambda i: s[i:])
         assert sa.tolist() == want
-        p = induced.permuted_lcp(np.array(s), sa, np.array([0]), 10**6)
-        for a, b in zip(want, want[1:]):
-            k = 0
-            while max(a, b) + k < len(s) and s[a + k] == s[b + k]:
-                k += 1
-            assert p[b] == k
-
-
-@pytest.mark.parametrize("heavy", [256, 1])
-def test_op1(docs, rows, monkeypatch, heavy):
-    monkeypatch.setattr(suffix, "HEAVY", heavy)
-    got = by_id(suffix.dedup_bytes(docs, parts=3))
-    raw = {i: (t or "").encode() for i, t, *_ in rows}
-    times = Counter(b[k : k + 200] for b in raw.values() for k in range(len(b) - 199))
-    assert len(got) == len(rows)
-    for i, b in raw.items():
+        if max(s) < 1 << induced.BITS:
+            p = induced.permuted_lcp(np.array(s), sa, np.array([0]), len(s) - np.arange(len(s)))
+            for a, b in zip(want, want[1:]):
+                n = 0
+                while max(a, b) + n < len(s) and s[a + n] == s[b + n]:
+                    n += 1
+                assert p[b] == n
+
+
+def test_induction_is_recursive(monkeypatch):
+    """Names that repeat go through the same induction, level by level."""
+    rnd = random.Random(8)
+    text = bytes(rnd.choice(b"abcd") for _ in range(3000)) * 4
+    levels = []
+    inner = induced.suffix_array
+    monkeypatch.setattr(induced, "suffix_array", lambda s: levels.append(len(s)) or inner(s))
+    s = np.append(np.frombuffer(text, np.uint8).astype(np.int64), 0)
+    sa = induced.suffix_array(s)
+    assert len(levels) > 3 and levels == sorted(levels, reverse=True)
+    assert all(text[a:] < text[b:] for a, b in zip(sa[1:200].tolist(), sa[2:200].tolist()))
+
+
+def brute_bytes(rows: list) -> list:
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    times = Counter(b[k : k + 200] for _, b in raw for k in range(len(b) - 199))
+    out = []
+    for i, b in raw:
         m = np.zeros(len(b), bool)
         for k in range(len(b) - 199):
             if times[b[k : k + 200]] > 1:
                 m[k : k + 200] = True
-        kept = bytes(np.frombuffer(b, np.uint8)[~m])
-        spans = int((np.diff(m.astype(int), prepend=0) == 1).sum())
-        assert tuple(got[i]) == (i, len(b), int(m.sum()), spans, sha(kept)), i
+        out.append((i, len(b), int(m.sum()), int((np.diff(m.astype(int), prepend=0) == 1).sum()), sha(np.frombuffer(b, np.uint8)[~m].tobytes())))
+    return in_order(out)
+
+
+def in_order(rows) -> list:
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def odd_ids(rows: list) -> list:
+    """Ids that are missing or repeat, with the same text and with others."""
+    rnd = random.Random(1)
+    out = [(rnd.choice([None, 1, 2, 2, 3, -1, i]), t) for i, t, *_ in rows]
+    return out + [(i, t) for i, t, *_ in rows[4:9]] * 2 + [(None, rows[6][1])] * 2 + [(None, rows[1][1])]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, rows):
+    return spark.createDataFrame(odd_ids(rows), "doc_id long, text string").repartition(3).cache()
+
+
+@pytest.mark.parametrize("shard", [suffix.SHARD, 3000])
+def test_op1(docs, odd, rows, none, monkeypatch, shard):
+    """A small shard has most anchors cut, by shared bytes and by single windows."""
+    monkeypatch.setattr(suffix, "SHARD", shard)
+    assert in_order(suffix.dedup_bytes(docs, parts=3).collect()) == brute_bytes([r[:2] for r in rows])
+    assert in_order(suffix.dedup_bytes(odd, parts=3).collect()) == brute_bytes(odd_ids(rows))
+    assert suffix.dedup_bytes(none).count() == 0
+
+
+def test_op1_shards_are_bounded(monkeypatch):
+    """Whatever rows come, a shard's text exceeds SHARD by an anchor's at most; pieces that repeat are there once."""
+    import pandas as pd
+
+    monkeypatch.setattr(suffix, "SHARD", 5000)
+    seen = []
+    monkeypatch.setattr(suffix, "repeats", lambda pieces: seen.append(sum(map(len, pieces))) or [np.zeros(len(p) - 199, bool) for p in pieces])
+    rnd = random.Random(2)
+    rows = [(h, bytes(rnd.randrange(97, 123) for _ in range(rnd.randint(200, 368)))) for h in range(60) for _ in range(rnd.randint(1, 9))]
+    ref = np.zeros(1, suffix.REF).tobytes()
+    frame = pd.DataFrame([(h, p, 1, ref) for h, p in rows for _ in range(3)], columns=["h", "piece", "n", "refs"])
+    told = pd.concat(list(suffix._shards(2)(iter(np.array_split(frame, 7)))))
+    assert sum(seen) == sum(len(p) for _, p in rows) and max(seen) <= 5000 + 9 * 368
+    got = [packed.unpack(b, [np.uint32, np.uint16]) for b in told["blob"]]
+    assert sum(len(g[1]) for g in got) == len(frame)  # all places of repeated pieces are told
 
 
 def test_long_texts_are_cut_without_loss(monkeypatch):
@@ -117,27 +171,28 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     assert sorted(seen) == list(range(len(text) - 199))
 
 
-def brute_windows(texts: dict) -> dict:
+def brute_windows(rows: list) -> list:
     first: dict = {}
-    for i in sorted(texts):
-        w = words(texts[i])
-        for k in range(len(w) - 12):
-            first.setdefault(tuple(w[k : k + 13]), i)
-    out = {}
-    for i, t in texts.items():
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 12 if i is not None else 0):
+            x = tuple(w[k : k + 13])
+            first[x] = min(first.get(x, i), i)
+    out = []
+    for i, t in rows:
         w = words(t)
         m = [False] * len(w)
-        for k in range(len(w) - 12):
+        for k in range(len(w) - 12 if i is not None else 0):
             if first[tuple(w[k : k + 13])] < i:
                 m[k : k + 13] = [True] * 13
-        out[i] = (i, len(w), sum(m), sha(b" ".join(x for x, y in zip(w, m) if not y)))
-    return out
+        out.append((i, len(w), sum(m), sha(b" ".join(x for x, y in zip(w, m) if not y))))
+    return in_order(out)
 
 
-def test_op9(docs, rows):
-    got = by_id(cover.dedup_windows(docs, parts=3))
-    for i, want in brute_windows({i: t for i, t, *_ in rows}).items():
-        assert tuple(got[i]) == want
+def test_op9(docs, odd, rows, none):
+    assert in_order(cover.dedup_windows(docs, parts=3).collect()) == brute_windows([r[:2] for r in rows])
+    assert in_order(cover.dedup_windows(odd, parts=3).collect()) == brute_windows(odd_ids(rows))
+    assert cover.dedup_windows(none).count() == 0
 
 
 @pytest.mark.parametrize("period,cover_", [(cover.PERIOD, cover.COVER)])
@@ -147,20 +202,34 @@ def test_cover_aligns_any_two_places(period, cover_):
             assert any((i + d) % period in cover_ and (j + d) % period in cover_ for d in range(period))
 
 
-def test_repeated_ids_and_null_ids(spark):
-    t = " ".join(f"w{k}" for k in range(40))
-    df = spark.createDataFrame([(1, t), (1, t), (None, t), (5, t)], "doc_id long, text string")
-    gone = sorted((r["doc_id"], r["n_removed"]) for r in cover.dedup_windows(df).collect())
-    assert gone == [(-1, 0), (1, 40), (1, 40), (5, 40)]  # a row without an id is -1, the smallest here
-    assert {r["n_removed"] for r in suffix.dedup_bytes(spark.createDataFrame([(1, t * 3), (2, t * 3)], "doc_id long, text string")).collect()} == {len(t) * 3}
-    groups = recipes.exact_groups(df).collect()
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["keep_id"], r["group_size"], r["kept"]) for r in groups) == [(-1, 1, 4, False), (1, 1, 4, True), (1, 1, 4, True), (5, 1, 4, False)]
-    near = oddsketch.near_groups(df).collect()
-    assert {r["component_id"] for r in near} == {-1} and len(near) == 4
-    assert len(maxent.score(df).collect()) == 4
-    assert len(weaksup.assess(df).collect()) == 4
-    assert len(piece_bpe.encode_digests(df, tokenizer_path()).collect()) == 4
-    assert len(license_scan.scan(df).collect()) == 4
+def test_repeated_ids_and_null_ids(spark, odd, rows):
+    given = odd_ids(rows)
+    for out in (maxent.score(odd), weaksup.assess(odd), piece_bpe.encode_digests(odd, tokenizer_path()), license_scan.scan(odd)):
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(i for i, _ in given)
+    groups = defaultdict(list)
+    for i, t in given:
+        groups[plain(t)].append((-len(t or ""), i is None, i))
+    exact = recipes.exact_groups(odd).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in exact) == Counter((i, min(groups[plain(t)])[2], len(groups[plain(t)]), sha(plain(t))) for i, t in given)
+    assert sum(r["kept"] for r in exact) == len(groups)  # one row of each group, also where rows are alike
+
+
+def test_row_keys(spark):
+    """Each different (id, text) has a key of its own, beyond all ids where the id does not tell."""
+    from utterloom.llm.util import census, keyed
+
+    given = [(1, b"a"), (1, b"b"), (1, b"b"), (None, b"a"), (None, None), (None, b""), (7, b"x"), (2**62 + 5, b"y"), (-3, None)]
+    for rows, plain_ids in ((given, False), (given[6:], True), ([], True)):
+        d = spark.createDataFrame(rows, "doc_id long, raw binary").repartition(2)
+        c = census(d)
+        got = keyed(d, c).collect()
+        assert c.plain == plain_ids and c.rows == len(rows) and len(got) == len(rows)
+        by = defaultdict(set)
+        for r in got:
+            by[r["key"]].add((r["doc_id"], bytes(r["raw"] or b"")))
+        assert all(len(x) == 1 for x in by.values()) and len(by) == len({(i, t or b"") for i, t in rows})
+        assert {r["copies"] for r in got if r["doc_id"] == 1 and r["raw"] == b"b"} in ({2}, set())
+        assert all(r["key"] == r["doc_id"] for r in got if r["doc_id"] in (7, -3))
 
 
 def test_packing_round_trip():
@@ -280,8 +349,21 @@ def test_chunks_are_the_text(spark, rows):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(plain(t),) for _, t, *_ in rows], "t string")
-    for r in df.select("t", recipes.chunks_of(F.col("t"), 8, 32).alias("c")).collect():
-        assert "".join(r["c"]) == r["t"] and all(len(c) <= 32 for c in r["c"])
+    for r in df.select("t", recipes.chunks_of(F.col("t"), 4, 8).alias("c")).collect():
+        assert "".join(r["c"]) == r["t"] and all(0 < len(c) <= 8 * recipes.UNIT for c in r["c"])
+
+
+def test_chunks_survive_a_shift(spark):
+    """Text put in front, or into the middle, leaves the chunks of the rest as they are."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(17)
+    text = "".join(rnd.choice("abcdefghijklmnop.,") for _ in range(60_000))
+    forms = [text, "x" * 101 + text, text[:30_000] + "some other text" + text[30_000:], text[5000:]]
+    first, *others = [r["c"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(forms)], "k int, t string").select("k", recipes.chunks_of(F.col("t")).alias("c")).orderBy("k").collect()]
+    assert 40 < len(first) < 400
+    for c in others:
+        assert len(set(c) - set(first)) <= 3
 
 
 # --- 6
@@ -306,47 +388,82 @@ def test_op6(docs, rows, none):
     assert weaksup.assess(none).count() == 0
 
 
-def test_posterior_finds_planted_classes(spark):
+def brute_posteriors(rows: list[tuple], rounds: int = weaksup.ROUNDS) -> dict:
+    """The same estimates with matrices; rows: votes and label of distinct texts."""
+    v = np.array([r[:-1] for r in rows])
+    label = np.array([-1 if r[-1] is None else r[-1] for r in rows])
+    n, m = v.shape
+    bad = np.column_stack([np.zeros(n, bool), v == -1, ~(v == -1).any(1)]).astype(float)
+    bad /= bad.sum(1, keepdims=True)
+    told = (label == 1).any() and (label == 0).any()
+    good = np.where(label == 1, 1.0, 0.0) if told else np.select([(v == -1).sum(1) == 0, (v == -1).sum(1) == 1], [1.0, 0.5], 0.0)
+    w = bad * (1 - good)[:, None]
+    w[:, 0] = good
+    if told:
+        w[label < 0] = 0
+    for k in range(rounds):
+        size = w.sum(0)
+        share = (size + 1) / (size.sum() + w.shape[1])
+        rate = np.stack([(w.T @ (v == x) + 1) / (size + 3)[:, None] for x in (-1, 0, 1)])
+        fit = share * np.prod(rate[v + 1, :, np.arange(m)], axis=1)
+        w = fit.copy()
+        if k < rounds - 1:
+            w[label == 1, 1:] = 0
+            w[label == 0, 0] = 0
+        w /= w.sum(1, keepdims=True)
+    return {r[:-1]: w[k, 0] for k, r in enumerate(rows)}
+
+
+def some_votes(rnd: random.Random, good: bool, kind: int) -> tuple:
+    """Rules 0 and 1 see one kind of junk, 2 and 3 another; 4 and 5 tell good texts mostly; 6 dislikes a third of all texts, whatever they are."""
+    vote = [rnd.choice([1, 1, 0]) for _ in range(6)]
+    if not good:
+        vote[2 * kind] = vote[2 * kind + 1] = -1
+        vote[4:] = [rnd.choice([0, 1, -1]) for _ in range(2)]
+    return (*vote, rnd.choice([-1, 0, 1]))
+
+
+@pytest.mark.parametrize("labelled", [0.3, 0.0])
+def test_posterior_sees_through_a_weak_rule(labelled):
     rnd = random.Random(2)
-    names = [f"v_{k}" for k in weaksup.RULES]
-    votes = []
-    for _ in range(3000):
-        good = rnd.random() < 0.8
-        kind = rnd.randrange(4)
-        votes.append((*[(0 if good or k != kind else -1) if k < 5 else rnd.choice([1, 1, 0]) for k in range(len(names))], 1.0))
-    df = spark.createDataFrame(votes, ", ".join(f"{n} int" for n in names) + ", n double").groupBy(*names).sum("n").withColumnRenamed("sum(n)", "n")
-    share, rate = weaksup.fit(df, names)
-    planted = sum(all(v >= 0 for v in x[:-1]) for x in votes) / len(votes)
-    assert abs(share - planted) < 0.05
-    out = df.withColumn("p", weaksup.posterior_of((share, rate), names)).collect()
-    assert all((r["p"] >= 0.5) == all(r[n] >= 0 for n in names) for r in out)
+    texts = [(rnd.random() < 0.8, rnd.randrange(2)) for _ in range(3000)]
+    rows = [(*some_votes(rnd, g, k), int(g) if rnd.random() < labelled else None) for g, k in texts]
+    post = weaksup.posteriors({p: float(n) for p, n in Counter(rows).items()})
+    right = sum((post[r[:-1]] >= 0.5) == g for r, (g, _) in zip(rows, texts))
+    assert right > 0.99 * len(rows)
+    disliked = [r[:-1] for r, (g, _) in zip(rows, texts) if g and -1 in r[:-1]]
+    assert len(disliked) > 600 and sum(post[v] >= 0.5 for v in disliked) > 0.98 * len(disliked)  # not all must pass
+    plain_post = brute_posteriors(rows)
+    assert all(abs(post[v] - plain_post[v]) < 1e-9 for v in plain_post)
 
 
 def test_hot_junk_text_leaves_other_verdicts(spark):
     """A third of rows are one junk text: the rows with another kind of junk stay rejected, the clean ones kept."""
     rnd = random.Random(12)
     prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(n))
-    clean = [(i, prose(40)) for i in range(300)]
+    clean = [(i, prose(40 + i % 200)) for i in range(300)]
     symbols = [(i, prose(30) + " ##%% $$ &&") for i in range(300, 324)]
     lone = "STOP! NOW! STOP! NOW! STOP! " * 12
-    few = [(i, prose(30) + "\n" + "same line here\n" * (3 + i % 3) + prose(5)) for i in range(324, 330)]
     hot = [(i, lone) for i in range(330, 495)]
 
     def kept(rows):
         return {r["doc_id"] for r in weaksup.good_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
-    assert kept(clean + symbols + few) == kept(clean + symbols + few + hot) == {i for i, _ in clean}
+    assert kept(clean + symbols) == kept(clean + symbols + hot) == {i for i, _ in clean}
     # the same with junk texts that are no copies of each other
-    assert kept(clean + symbols + few + [(i, f"{t} GO{i}!") for i, t in hot]) == {i for i, _ in clean}
+    assert kept(clean + symbols + [(i, f"{t} GO{i}!") for i, t in hot]) == {i for i, _ in clean}
 
 
-def test_hot_kind_of_votes_leaves_other_verdicts():
-    names = list(weaksup.RULES)
-    pattern = lambda *bad: tuple([-1 if k in bad else 0 for k in names[:5]] + [-1 if "variety" in bad else 1, 1])
-    some = {pattern(): 8600.0, pattern("symbols"): 710.0, pattern("lines"): 4.0, pattern("capitals", "shouts", "repeats"): 175.0, pattern("repeats", "variety"): 225.0}
-    for bad, n in ((("capitals", "shouts", "repeats"), 500), (("repeats", "variety"), 2000), (("repeats", "variety"), 20_000)):
-        post = weaksup.kind_posteriors(some | {pattern(*bad): some[pattern(*bad)] + n})
-        assert {p: x >= weaksup.THRESHOLD for p, x in post.items()} == {p: p == pattern() for p in some}
+def test_labels_reach_the_verdict(spark):
+    """Labels tell that a vote means nothing, or everything."""
+    rnd = random.Random(13)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(n))
+    texts = [(i, prose(40 if i % 3 else 400)) for i in range(300)] + [(i, prose(90) + " ##%% $$ &&" * 4) for i in range(300, 400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    said = lambda of: spark.createDataFrame([(i, int(of(i)), 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    kept = lambda of: {r["doc_id"] for r in weaksup.assess(df, said(of)).filter("kept").collect()}
+    assert kept(lambda i: i < 300) == set(range(300))
+    assert kept(lambda i: i < 300 and i % 3 == 0) == set(range(0, 300, 3))
 
 
 # --- 7
@@ -382,6 +499,29 @@ def test_op7(docs, rows, none, width, percent):
     assert oddsketch.near_groups(none).count() == 0
 
 
+def test_op7_odd_ids(odd, rows):
+    """Rows are nodes; an id stands for them in the result only."""
+    given = odd_ids(rows)
+    near = brute_near({k: t for k, (_, t) in enumerate(given)}, 3, 85)
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(given):
+        least[near[k][2]].append(i)
+    named = {c: min((i for i in ids if i is not None), default=None) for c, ids in least.items()}
+    want = Counter((i, near[k][1], named[near[k][2]]) for k, (i, _) in enumerate(given))
+    got = oddsketch.near_groups(odd, 3, 85).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["component_id"] is not None)
+    assert {t for c in named if named[c] is None for k, (_, t) in enumerate(given) if near[k][2] == c} and any(r["kept"] for r in got if r["component_id"] is None)
+
+
+def test_op7_links_of_a_repeated_id(spark):
+    """Two texts under one id: each is linked by its own words."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(3, " ".join(base)), (3, "quite short"), (7, " ".join(base)), (1, " ".join([*base, "more"]))]
+    got = oddsketch.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(3, 1), (3, 3), (7, 1), (1, 1)])
+
+
 def test_op7_large_group(spark, monkeypatch):
     """Copies with more and more changes: links near the threshold, blocks and cells in use."""
     monkeypatch.setattr(oddsketch, "BLOCK", 7)
@@ -441,7 +581,8 @@ def brute_url(u):
 
 
 URLS = [None, "", "nothing", "http://", "https://WWW.Example.ORG/en/1234?x=http://a.com/de/", "http://example.org/en/2", "http://example.org", "http://notexample.org/es/", "http://example.org/es/", "http://a.example.org/es", "http://x.com/fr/1",
-        "http://x.com/de/1#a", "http://com/de/", "http://x.comm/de/", "http://x.org?/es/", "http://cheap-pills.example.net/a", "http://cheappills.example.net/a", "http://b.net/casino", "http://casino.b.org/", "http://b.net/a/Malware/x", "http://İorg/a", "http://Korg/x", "http://a\nb.org/x", "http://example.org/EN/1"]
+        "http://x.com/de/1#a", "http://com/de/", "http://x.comm/de/", "http://x.org?/es/", "http://cheap-pills.example.net/a", "http://cheappills.example.net/a", "http://b.net/casino", "http://casino.b.org/", "http://b.net/a/Malware/x", "http://İorg/a", "http://Korg/x", "http://a\nb.org/x", "http://example.org/EN/1",
+        "http://a.b/x.org\n/", "http://a.b/q\nexample.com\n/de/", "http://x\n.org/a", "http://best-casino.x.net/", "http://casino-best.x.net/", "http://spam-farm.x.net/en/Login.html", "http://x.net/free/slots?a", "http://x.net/freeslots", "http://x.net/slots/free"]
 
 
 def test_op8(spark):
@@ -453,8 +594,12 @@ def test_op8(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert verdict is None or r["verdict"] == verdict
     named = {URLS[r["page_id"] % len(URLS)]: (r["verdict"], r["pattern_rule"]) for r in got}
-    assert named["http://cheap-pills.example.net/a"] == ("block", "~pills") and named["http://cheappills.example.net/a"] == ("allow", None)
-    assert named["http://b.net/casino"] == ("allow", None) and named["http://b.net/a/Malware/x"] == ("block", "~malware")
+    assert named["http://cheap-pills.example.net/a"] == ("block", "~cheap pills/") and named["http://cheappills.example.net/a"] == ("allow", None)
+    assert named["http://b.net/casino"] == ("allow", None) and named["http://b.net/a/Malware/x"] == ("block", "~/malware")
+    assert named["http://best-casino.x.net/"] == ("block", "~best casino/") and named["http://casino-best.x.net/"] == ("block", "~casino/")
+    assert named["http://spam-farm.x.net/en/Login.html"] == ("block", "~spam farm/") and named["http://x.net/free/slots?a"] == ("block", "~/free slots")
+    assert named["http://x.net/freeslots"] == named["http://x.net/slots/free"] == ("allow", None)
+    assert len(URL_RULES) > 500 and sum(len(r.tokens) > 1 for r in URL_RULES) > 450
     assert urlrules.judge(pages.limit(0), URL_RULES).count() == 0
     assert urlrules.judge(pages, []).filter("verdict <> 'allow'").count() == 0
 
@@ -476,11 +621,96 @@ def test_op10(docs, rows, none):
     assert maxent.score(none).count() == 0
 
 
-def test_op10_class_probabilities_add_up():
-    rnd = np.random.default_rng(3)
-    w = rnd.normal(size=(maxent.FEATURES, maxent.CLASSES)).astype(np.float32)
-    p = np.exp(maxent.log_softmax(w, np.zeros(maxent.CLASSES, np.float32), rnd.integers(0, maxent.FEATURES, (50, 4))))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+class PlainModel:
+    """The same model with dictionaries and one token at a time: classes from the texts, weights from training."""
+
+    def __init__(self, texts: list[list[bytes]], stats, weights) -> None:
+        self.stats, self.w = stats, weights
+        self.count = Counter(x for t in texts for x in t)
+        self.top = [x for x, _ in sorted(self.count.items(), key=lambda x: (-x[1], self.digest(x[0]).view(np.int64)))][: maxent.CONTEXTS]
+        follow: dict = defaultdict(Counter)
+        for t in texts:
+            last = None
+            for x in t:
+                if last is not None:
+                    follow[x][last] += 1
+                last = self.top.index(x) if x in self.top else last
+        self.cls = {x: min(follow[x], key=lambda k: (-follow[x][k], k)) for x in self.count if self.count[x] >= maxent.FREQUENT and follow[x]}
+        self.place: dict = {}
+        for k in set(self.cls.values()):
+            own = sorted((x for x in self.cls if self.cls[x] == k), key=lambda x: (-self.count[x], self.digest(x).view(np.int64)))
+            self.place |= {x: j for j, x in enumerate(own[: maxent.SLOTS])}
+        self.rest: Counter = Counter({maxent.RARE: 0.5})
+        for x in self.count:
+            if x not in self.place:
+                self.rest[self.cls.get(x, maxent.RARE)] += self.count[x] + 0.5
+
+    @staticmethod
+    def digest(x: bytes) -> np.uint64:
+        return maxent.word_digests([x])[0][0]
+
+    def bits(self, x: bytes) -> int:
+        return int(packed.mixed(np.array([self.digest(x)], np.uint64))[0]) >> 32
+
+    def history(self, before: list[bytes]) -> tuple[list[int], int]:
+        codes = [1, 2, *map(self.bits, before)]
+        f = next((self.top.index(x) for x in reversed(before) if x in self.top), maxent.CONTEXTS)
+        return [codes[-1], (codes[-1] * 65599 + codes[-2]) % 2**32, codes[-2]], f
+
+    def probabilities(self, level: int, before: list[bytes], cls: int = 0) -> list[float]:
+        values, f = self.history(before)
+        n = self.stats.features
+        down = 32 - (n.bit_length() - 1)
+        rows = []
+        for salt, x in enumerate(values):
+            m = (x * 2654435761 + salt * 40503 + 12345) % 2**32 * 2246822519 % 2**32
+            rows.append(m >> down if level == 0 else (m ^ cls * 3266489917 % 2**32) * 668265263 % 2**32 >> down)
+        rows.append(n + f if level == 0 else n + cls * (maxent.CONTEXTS + 1) + f)
+        e = [math.exp(min(60.0, max(-60.0, sum(float(w[r]) for r in rows)))) for w in self.w[level]]
+        return [x / sum(e) for x in e]
+
+    def probability(self, x: bytes | None, before: list[bytes]) -> float:
+        """x None: the end."""
+        outer = self.probabilities(0, before)
+        if x is None:
+            return outer[maxent.END]
+        cls = self.cls.get(x, maxent.RARE)
+        rest = (self.count[x] + 0.5) / self.rest[cls] if x not in self.place else 1.0
+        inner = self.probabilities(1, before, cls)[self.place.get(x, maxent.SLOTS)] if cls != maxent.RARE else 1.0
+        return outer[cls] * inner * rest
+
+
+def prose_of_classes(rnd: random.Random, n: int) -> list[str]:
+    """Texts in which a few words govern what follows; words of one class differ in what they follow."""
+    after = {a: [f"{a}{k}" for k in range(45)] for a in "abc"}
+    out = []
+    for _ in range(n):
+        t, a = [], "a"
+        for k in range(rnd.randint(20, 60)):
+            t += [a, rnd.choices(after[a], [1 / (j + 1) for j in range(45)])[0]]
+            a = rnd.choice("abc") if k % 3 else a
+        out.append(" ".join(t))
+    return out
+
+
+def test_op10_equals_plain_model(spark):
+    texts = [*prose_of_classes(random.Random(5), 60), "", "Once a a0 NEVER again"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string").repartition(3)
+    encoded, stats = maxent.prepared(df, parts=2)
+    weights = maxent.train(encoded, stats)
+    assert all(np.abs(w).max() > 0.1 for w in weights)
+    got = {r["doc_id"]: r for r in maxent.scored(encoded, stats, weights).collect()}
+    split = lambda t: t.encode().lower().split()
+    m = PlainModel([split(t) for i, t in enumerate(texts) if not got[i]["held_out"]] + [split(texts[0])], stats, weights)
+    assert len(m.place) > 60 and len(m.cls) > len(m.place)
+    for i in [*range(12), 60, 61]:
+        w = split(texts[i])
+        want = sum(math.log10(m.probability(x, w[:k])) for k, x in enumerate([*w, None]))
+        assert abs(got[i]["score"] - want) < 1e-3 * max(1, -want), i
+    assert got[None]["score"] == got[0]["score"] and not got[None]["held_out"]
+    for before in ([], [b"a"], [b"a", b"a1", b"b"]):
+        every = sum(m.probability(x, before) for x in m.count) + m.probability(None, before) + m.probability(b"unheard of", before)
+        assert abs(every - 1) < 1e-4
 
 
 def test_op10_has_all_its_classes():
@@ -501,6 +731,23 @@ def test_op10_beats_counts_on_held_out_text(spark):
 # --- the pipeline
 
 
+def plain_failed(t) -> bool:
+    n, _, _, _, again = brute_counts(t)
+    return n < 10 or 100 * again > 20 * n
+
+
+def plain_votes(t) -> tuple:
+    """The rules' votes, from counts in plain Python."""
+    import unicodedata
+
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = brute_counts(t)
+    t = t or ""
+    lines = [x for x in t.split("\n") if plain(x)]
+    known = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "n_lines": len(lines), "n_distinct": len(set(words(t))), "n_upper": sum(unicodedata.category(c) == "Lu" for c in t), "n_shouts": sum(c in "!?" for c in t)}
+    holds = lambda e: eval(e.replace(" = ", " == ").replace("true", "True").replace("false", "False"), {}, known)  # noqa: E731, S307
+    return tuple(-1 if holds(bad) else 1 if holds(good) else 0 for bad, good in weaksup.RULES.values())
+
+
 def test_pipeline_equals_plain_stages(spark, tmp_path, rows, pieces):
     import corpus_pipeline
 
@@ -509,8 +756,9 @@ def test_pipeline_equals_plain_stages(spark, tmp_path, rows, pieces):
     df.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     got = by_id(corpus_pipeline.run(spark, str(tmp_path)))
     left = {i: (t, lang, s) for i, t, lang, s in rows}
-    verdict = by_id(weaksup.assess(df))
-    left = {i: x for i, x in left.items() if verdict[i]["kept"]}
+    ballot = {i: plain_votes(x[0]) for i, x in left.items()}
+    post = brute_posteriors([(*b, None) for b in {x[0] or "": ballot[i] for i, x in left.items()}.values()])
+    left = {i: x for i, x in left.items() if post[ballot[i]] >= weaksup.THRESHOLD and not plain_failed(x[0])}
     left = {i: x for i, x in left.items() if brute_exact({k: y[0] for k, y in left.items()})[i][3]}
     near = brute_near({k: y[0] for k, y in left.items()}, 5, 80)
     left = {i: x for i, x in left.items() if near[i][3]}
