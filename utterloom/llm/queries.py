@@ -38,8 +38,8 @@ def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = raking.mix(table(spark, sf_dir, "documents"))
-    return out.withColumn("rate", F.round("rate", 6))
+    out = raking.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumns({c: F.round(c, 6) for c in ("rate", "margin_error")})
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,6 @@ def quoted(s: str) -> str:
 
 def op2_sql(rows: str = "documents", final: str | None = None) -> str:
     """Raking with each step of each round as one window sum."""
-    low = f"(' ' || translate(coalesce(text, ''), '{UPPER}', '{LOWER}'))"
-    topics = ", ".join(f"length({low}) - length(regexp_replace({low}, '([ \\x09-\\x0D])[{t}]', '\\1', 'g')) AS c{k}" for k, t in enumerate(raking.TOPICS))
-    best = "greatest(c0, c1, c2, c3)"
-    pick = " ".join(f"WHEN c{k} = {best} THEN '{t}'" for k, t in enumerate(raking.TOPICS))
     w = "CAST(tokens AS DOUBLE)"
     axes = ("source", "lang", "topic")
     aims = ", ".join(f"CASE WHEN own_{a} > 0 THEN pow(own_{a}, {p}) ELSE 0 END AS pw_{a}" for a, p in zip(axes, raking.POWERS, strict=True))
@@ -99,13 +95,14 @@ def op2_sql(rows: str = "documents", final: str | None = None) -> str:
             steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {a}) > 0 THEN w * (aim_{a} / sum(w) OVER (PARTITION BY {a})) ELSE 0 END AS w) FROM {last})")
             last = name
     return f"""
-WITH counted AS (SELECT *, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '')) AS n_tokens, {topics} FROM {rows}),
-rows_ AS (SELECT *, CASE WHEN {best} <= 0 THEN 'none' {pick} END AS topic FROM counted),
+WITH said AS (SELECT doc_id, CASE WHEN max(toxic) = 1 THEN 'toxic' WHEN min(quality) = 0 THEN 'junk' ELSE 'clean' END AS said FROM labels GROUP BY doc_id),
+rows_ AS (SELECT d.*, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '')) AS n_tokens, coalesce(said, '{raking.UNLABELLED}') AS topic FROM {rows} d LEFT JOIN said USING (doc_id)),
 cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM rows_ GROUP BY ALL),
 owned AS (SELECT *, {own}, CAST(sum(tokens) OVER () AS DOUBLE) AS total FROM cells),
 raised AS MATERIALIZED (SELECT *, {aims} FROM owned),
 aimed AS MATERIALIZED (SELECT *, {w} AS w, {want} FROM raised),
 {", ".join(steps)},
+errors AS (SELECT greatest({", ".join(f"(SELECT max(abs(w - aim) / aim) FROM (SELECT sum(w) AS w, any_value(aim_{a}) AS aim FROM {last} GROUP BY {a}) WHERE aim > 0)" for a in axes)}) AS margin_error),
 ratios AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM {last}),
 cuts AS MATERIALIZED (SELECT *, coalesce(sum(tokens) OVER before, 0) AS cut, (SELECT sum(w) FROM ratios) - coalesce(sum(w) OVER before, 0) AS rest
   FROM ratios WINDOW before AS (ORDER BY ratio DESC, source NULLS FIRST, lang NULLS FIRST, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -114,7 +111,7 @@ scale AS (SELECT coalesce(arg_min(scale, cut), 1e300) AS scale FROM scales WHERE
 rates AS (SELECT source, lang, topic, CASE WHEN ratio > 0 THEN least(1.0, greatest(scale, 0) * ratio) WHEN tokens > 0 THEN 0.0 ELSE 1.0 END AS rate FROM ratios, scale),
 drawn AS (SELECT d.*, r.rate, CAST(('0x' || substr(md5('{raking.SEED}/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8)) AS BIGINT) / 4294967296.0 < r.rate AS kept
   FROM rows_ d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source AND d.lang IS NOT DISTINCT FROM r.lang AND d.topic = r.topic)
-{final or "SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, kept FROM drawn"}"""
+{final or "SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, round(margin_error, 6) AS margin_error, kept FROM drawn, errors"}"""
 
 
 def op3_sql() -> str:

@@ -18,21 +18,21 @@ from .util import materialise, without_space
 
 #: Units: up to UNIT characters, the last of ENDS (one in about ten characters of Latin, Cyrillic, Arabic, Devanagari, Chinese and Japanese texts).
 UNIT, ENDS = 64, r".cd\p{P}сдмвكدकम国人にし"
-#: One in EVERY places ends a chunk; a text without such places is cut every MOST units.
-EVERY, MOST = 64, 1024
+#: One in EVERY places ends a chunk; a text without such places is one chunk.
+EVERY = 64
 
 
-def chunks_of(c, every: int = EVERY, most: int = MOST):
+def chunks_of(c, every: int = EVERY):
     """Chunks of a text column, in order; together they are the text."""
     units = F.regexp_extract_all(c, F.lit(rf"(?s)[^{ENDS}]{{0,{UNIT - 1}}}[{ENDS}]|[^{ENDS}]{{1,{UNIT}}}"), F.lit(0))
 
     #: A lambda's argument is computed once, however often it is read.
-    return F.get(F.transform(F.array(units), lambda u: F.get(F.transform(F.array(_ends(u, every, most)), lambda e: _joined(u, e)), 0)), 0)
+    return F.get(F.transform(F.array(units), lambda u: F.get(F.transform(F.array(_ends(u, every)), lambda e: _joined(u, e)), 0)), 0)
 
 
-def _ends(u, every: int, most: int):
+def _ends(u, every: int):
     """Number of units up to the end of each chunk."""
-    end = lambda x, i: (F.pmod(F.xxhash64(F.get(u, i - 1), x), F.lit(every)) == 0) | ((i + 1) % most == 0) | (i == F.size(u) - 1)
+    end = lambda x, i: (F.pmod(F.xxhash64(F.get(u, i - 1), x), F.lit(every)) == 0) | (i == F.size(u) - 1)
     return F.filter(F.transform(u, lambda x, i: F.when(end(x, i), i + 1)), lambda e: e.isNotNull())
 
 
