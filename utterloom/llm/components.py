@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import materialise
+from .util import discard, materialise
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -22,6 +22,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = materialise(small, "edges")
         # stable: every edge leads to a smallest node that leads nowhere
         odd = new.join(new.select(F.col("a").alias("b"), F.lit(1).alias("x")).distinct(), "b", "left_semi").limit(1).count()
+        discard(now)
         now = new
         if not odd:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
