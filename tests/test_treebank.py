@@ -342,6 +342,17 @@ def test_golden_tables(spark):
             assert mine == w[a], (k, a)
             cells += bool(w[a])
     assert cells == 36
+    rnd = random.Random(6)
+    some = [random_block(rnd, k) for k in range(40)] + blocks
+    trees = conllu.graphs(spark.createDataFrame(list(enumerate(some)), "n int, block string"))
+    grammar = language.parse_grammar(open(glob.glob(f"{where}/*.grs")[0], encoding="utf8").read())
+    lexicon = language.read_lexicon(open(glob.glob(f"{where}/*.tsv")[0], encoding="utf8").read())
+    assert len(grammar.rules) == 12
+    for k, r in enumerate(grammar.rules):  # rewrite rules match alike in both
+        lex = {r.lexicon[0]: lexicon} if r.lexicon else {}
+        found_ = {x["n"]: x["matches"] for x in match.match(trees, [language.Rule(k, "a", "x", r.pattern.names[0], None, r.pattern, r.without)], lexicons=lex).select("n", "matches").collect()}
+        for n, b in enumerate(some):
+            assert [m["bound"] for m in found_[n]] == sorted([int(m[x]) for x in r.pattern.names] for m in rewrite.find(rewrite.parse_graph(b), r.pattern, r.without, lex)), (r.name, n)
     for path in glob.glob(f"{where}/**/*.query", recursive=True):  # every shipped rule against the search in plain Python
         rnd, shipped = random.Random(3), language.parse_rules(open(path, encoding="utf8").read())
         some = [random_block(rnd, k) for k in range(12)] + blocks[:8]
