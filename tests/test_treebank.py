@@ -1,4 +1,5 @@
 import random
+import re
 import sys
 
 import pytest
@@ -152,6 +153,25 @@ pattern { N -[case]-> P }
 """
 
 
+def test_texts_do_not_go_through_the_joins_of_tokens(spark):
+    """They are put beside the tokens at the end, also where an id has two texts or none is there."""
+    rows = [("a", 1, "one two"), ("a", 2, "one two"), ("b", 1, "x"), ("b", 2, "y"), (None, 1, "z"), ("c", 1, None)]
+    tok = spark.createDataFrame(rows, "item_id string, w_nr int, utterance string").selectExpr("item_id", "w_nr", "w_nr conll_id", "utterance", "concat('<', utterance, '>') utt_clean", "concat_ws('_', item_id, w_nr) utt_id", "1 utt_nr", "'w' word", *[f"'' {c}" for c in table.PLAIN[3:8]], "0 age_days", "'' time_code")
+    tag = spark.createDataFrame([(i, w, "V", "l") for i, w, _ in rows if i], "item_id string, w_nr int, pos string, lemma string")
+    links = spark.createDataFrame([("a", "h/1.html", "1.html")], "item_id string, local string, file string")
+    out = table.finalise(tok, None, tag, links=links)
+    got = sorted(tuple(r) for r in out.select(F.coalesce("item_id", F.lit("-")), "w_nr", "utterance", "utt_clean", "pos", F.col("URLloc") != "").collect())
+    assert got == sorted((i or "-", w, u or "", f"<{u}>" if u else "", "V" if i else "_", i == "a") for i, w, u in rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(item_id#\d+, w_nr#", plan)
+    assert dealt and not any("utterance" in x for x in dealt)
+
+
+
 def test_first_rule_and_metadata(graph):
     rules = language.parse_rules(RULES)
     one = coding.code(graph, rules).collect()[0]["meta"]["coding"]

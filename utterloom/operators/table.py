@@ -31,6 +31,12 @@ def finalise(
     by_number joins the parse on w_nr, as the printed numbers have it; else on the token's number without empty ones.
     """
     out = tokens
+    #: Texts of an utterance would go through each join once per token; they are put beside the tokens behind the others.
+    apart = any(x is not None for x in (conllu, tagged, tagged_text, links))
+    if apart:
+        texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("utterance", "utt_clean")]
+        said = tokens.select(F.col("item_id").alias("__item"), *texts).distinct().withColumn("__text", F.xxhash64("utterance", "utt_clean"))
+        out = tokens.withColumn("__said", F.xxhash64(*texts)).drop("utterance", "utt_clean")
     if conllu is not None:
         own = conllu.withColumnRenamed("conll_id", "__k")
         out = out.join(own, (out["item_id"] == own["item_id"]) & (out["w_nr" if by_number else "conll_id"] == own["__k"]), "left").drop(own["item_id"]).drop("__k")
@@ -42,14 +48,18 @@ def finalise(
     else:
         blank = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("_"))
         out = out.withColumn("pos", blank(F.col("conll_4"))).withColumn("lemma", blank(F.col("conll_3")))
-    out = out.join(tagged_text, "item_id", "left") if tagged_text is not None else out.withColumn("utt_tagged", F.lit(""))
+    if tagged_text is not None:
+        own = tagged_text.withColumnRenamed("item_id", "__k")
+        said = said.join(own, said["__item"] == own["__k"], "left").drop("__k")
     if links is not None:
-        out = out.join(links.select("item_id", F.col("local").alias("__local"), F.col("file").alias("__file")), "item_id", "left")
-        at = F.concat(F.lit("#"), "item_id")
-        out = out.withColumn("URLloc", F.coalesce(text.hyperlink(F.concat(F.lit("http://localhost/"), "__local", at), "LOC"), F.lit("")))
-        out = out.withColumn("URLwww", F.coalesce(text.hyperlink(F.concat(F.lit(server_url.rstrip("/") + "/"), "__file", at), "WWW"), F.lit("")) if server_url else F.lit(""))
-    else:
-        out = out.withColumn("URLloc", F.lit("")).withColumn("URLwww", F.lit(""))
+        own = links.select(F.col("item_id").alias("__k"), F.col("local").alias("__local"), F.col("file").alias("__file"))
+        said = said.join(own, said["__item"] == own["__k"], "left")
+        at = F.concat(F.lit("#"), "__item")
+        said = said.withColumn("URLloc", F.coalesce(text.hyperlink(F.concat(F.lit("http://localhost/"), "__local", at), "LOC"), F.lit("")))
+        said = said.withColumn("URLwww", F.coalesce(text.hyperlink(F.concat(F.lit(server_url.rstrip("/") + "/"), "__file", at), "WWW"), F.lit("")) if server_url else F.lit("")).drop("__k", "__local", "__file")
+    if apart:
+        out = out.join(said, out["item_id"].eqNullSafe(said["__item"]) & (out["__said"] == said["__text"]), "left")
+    out = out.withColumns({c: F.lit("") for c, given in (("utt_tagged", tagged_text), ("URLloc", links), ("URLwww", links)) if given is None})
     for c in ("utterance", "utt_clean", "utt_tagged"):
         out = out.withColumn(c, text.blank_unless(F.coalesce(c, F.lit("")), F.col("pos"), pos_utterance))
     return out.select(*PARSED, *[c for c in ("item_id",) if c in out.columns])
