@@ -5,6 +5,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from utterloom.functions.plan import spread
 from utterloom.operators import annotate, coding, match, pages, rewrite, table
 from utterloom.plans import language
 from utterloom.sources import conllu, tables
@@ -257,6 +258,55 @@ def test_long_rewriting_has_no_fixed_limit(spark):
     assert "comes again" in out["rewrite_error"]
 
 
+def test_rewriting_does_not_search_anew_for_each_step(monkeypatch):
+    """The labels looked at grow with the steps, not with their square."""
+    calls = []
+    plain = rewrite._label
+    monkeypatch.setattr(rewrite, "_label", lambda *a: calls.append(a) or plain(*a))
+    rules = language.parse_grammar("rule r { pattern { V -[obj]-> N; e: V -[obj]-> N } commands { del_edge e; add_edge V -[iobj]-> N } }").rules_of("main")
+    g = rewrite.parse_graph(lines(*[("n", "NOUN", max(k // 2, 1), "obj" if k else "root") for k in range(300)]))
+    assert rewrite.normal_form(g, rules) == 299 and {x for _, x, _ in g.edges} == {"root", "iobj"}
+    assert len(calls) < 20 * 300
+
+
+def test_rewriting_equals_a_search_of_all_nodes():
+    """Matches in the order of a search through all nodes, step by step, also as the index follows the changes."""
+    rnd = random.Random(7)
+    rules = language.parse_grammar(
+        'rule a { pattern { e: V -[obj|case]-> N; N [upos=NOUN] } without { N -> Z; Z [m="1"] } commands { del_edge e; add_edge V -[mark]-> N; N.m = "1" } }'
+        ' rule b { pattern { A [upos=VERB, !m]; B << A } without { A -[mark]-> B } commands { A.m = A.m + "1"; add_edge B -[obj]-> A } }'
+    ).rules_of("main")
+    steps = 0
+    for _ in range(60):
+        n = rnd.randrange(1, 9)
+        text = lines(*[("w", rnd.choice(["NOUN", "VERB", "ADV"]), rnd.randrange(0, n + 1), rnd.choice(["obj", "case", "root", "mark"])) for _ in range(n)])
+        g, kept = rewrite.parse_graph(text), rewrite.parse_graph(text)
+        index = rewrite.Index(g)
+        for _ in range(12):
+            found = [list(rewrite.find(g, r.pattern, r.without, index=index)) for r in rules]
+            assert found == [list(rewrite.find(kept, r.pattern, r.without)) for r in rules]
+            first = next(((r, m) for r, ms in zip(rules, found, strict=True) for m in ms), None)
+            if first is None:
+                break
+            assert rewrite.apply(g, *first, index) == rewrite.apply(kept, *first)
+            assert index.state() == rewrite.Index(kept).state()
+            steps += 1
+    assert steps > 50
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """More splits than cores, but all rows in one of them."""
+    spark.range(4000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        df = spark.read.parquet(f"{tmp_path}/one")
+        assert df.rdd.getNumPartitions() >= 4 and df.select(F.spark_partition_id()).distinct().count() == 1
+        sizes = [r["count"] for r in spread(df).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(sizes) == 4000 and max(sizes) <= 4000 / 4 * 1.2
+
+
 def test_depths(spark):
     rnd = random.Random(4)
     heads = [[0], [0, 1, 2, 3, 4, 5, 6], [2, 3, 1], [3, 1, 0, 3, 9], *[[rnd.randrange(0, n + 1) for _ in range(n)] for n in (5, 8, 13, 40)]]

@@ -24,6 +24,8 @@ def let(c: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it has fewer partitions: for rows that are few but take long."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    """df evenly over all cores: for rows that are few but take long.
+
+    A file may have more splits than cores and all its rows in one of them (a Parquet file with one row group has).
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
