@@ -258,6 +258,26 @@ def test_long_rewriting_has_no_fixed_limit(spark):
     assert "comes again" in out["rewrite_error"]
 
 
+def test_rewriting_holds_few_sentences_at_a_time(spark, monkeypatch):
+    """A batch of Arrow is cut up; other columns, nulls and order stay."""
+    from pyspark.sql.types import StructType
+
+    g = language.parse_grammar("rule r { pattern { e: V -[obj]-> N } commands { del_edge e; add_edge V -[iobj]-> N } }")
+    block = lines(("v", "VERB", 0, "root"), ("n", "NOUN", 1, "obj"))
+    df = spark.range(1000).coalesce(1).selectExpr("map('k', id) m", "CASE WHEN id <> 300 THEN concat('# n = ', id, '\n') END AS h", "id").withColumn("block", F.concat("h", F.lit(block))).drop("h")
+    caught = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: caught.append((self, run, schema)) or self)
+    rewrite.rewrite(df, g)
+    monkeypatch.undo()
+    ((own, run, schema),) = caught
+    sizes = [b.num_rows for b in run(iter(own.toArrow().combine_chunks().to_batches()))]
+    assert sum(sizes) == 1000 and max(sizes) <= 200 and isinstance(schema, StructType)
+    out = rewrite.rewrite(df, g).collect()
+    assert [r["id"] for r in out] == [r["m"]["k"] for r in out] == list(range(1000))
+    assert all(r["rewrite_steps"] == 1 and f"# n = {r['id']}\n" in r["block"] and "\tiobj\t" in r["block"] for r in out if r["id"] != 300)
+    assert out[300]["block"] is None and out[300]["rewrite_error"] and out[300]["rewrite_steps"] == 0
+
+
 def test_rewriting_does_not_search_anew_for_each_step(monkeypatch):
     """The labels looked at grow with the steps, not with their square."""
     calls = []
