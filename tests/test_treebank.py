@@ -493,6 +493,29 @@ def test_tables_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in last.collect()) == [("a", 1, "r"), ("b", 2, "q")]
 
 
+@pytest.mark.parametrize(("gzip", "plain"), [(False, False), (True, False), (True, True)])
+def test_one_file_is_written_by_all_tasks(spark, tmp_path, gzip, plain):
+    """One file with one header, rows in their order; tasks without rows add nothing; appending adds a file."""
+    import gzip as gz
+
+    df = spark.range(0, 400, 1, 8).filter("id < 100 OR id >= 200").selectExpr("id", "concat('x', id) v", "spark_partition_id() p")
+    end = "\r\n" if plain else "\n"
+    tables.write_tsv(df.drop("p"), f"{tmp_path}/t", one=True, gzip=gzip, plain=plain)
+    tables.write_tsv(df, f"{tmp_path}/tasks", ["id", "p"], one=True, gzip=gzip, plain=plain)
+    (file,) = (tmp_path / "t").glob("part-*")
+    text = (gz.open(file) if gzip else open(file, "rb")).read().decode()
+    ids = [*range(100), *range(200, 400)]
+    assert text == end.join(["id\tv", *[f"{k}\tx{k}" for k in ids], ""]) and not list((tmp_path / "t").glob("_j*"))
+    back = spark.read.option("lineSep", end).text(f"{tmp_path}/t")
+    assert [r["value"] for r in back.collect()] == text.split(end)[:-1]
+    #: The task of each row, as it was when its line was made.
+    seen = spark.read.option("lineSep", end).text(f"{tmp_path}/tasks").filter("value <> 'id\tp'").selectExpr("split(value, '\t')[1] p").distinct().count()
+    tables.write_tsv(df.filter("id < 0"), f"{tmp_path}/empty", one=True, gzip=gzip)
+    assert seen == 6 and spark.read.text(f"{tmp_path}/empty").count() == 0
+    tables.write_tsv(df.drop("p"), f"{tmp_path}/t", mode="append", one=True, gzip=gzip, plain=plain)
+    assert len(list((tmp_path / "t").glob("part-*"))) == 2 and spark.read.option("lineSep", end).text(f"{tmp_path}/t").count() == 2 * 301
+
+
 def test_light_coded_by_name_and_place(spark, graph):
     g = coding.code(graph, language.parse_rules(RULES))
     tok = g.select("item_id", F.explode("nodes").alias("n")).select(F.concat("item_id", F.lit("_w"), "n.id").alias("utt_id"), F.lit(1).alias("utt_nr"), F.col("n.pos").alias("w_nr"), *[F.lit("s").alias(c) for c in ("speaker", "child_project", "language", "child_other", "age", "age_days", "time_code")], F.col("n.form").alias("word"), F.lit("u").alias("utterance"), F.lit("").alias("utt_clean"), "item_id", F.col("n.pos").alias("conll_id"))

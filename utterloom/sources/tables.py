@@ -29,14 +29,54 @@ def line(df: DataFrame, columns: list[str] | None = None, escape_plain: bool = F
 def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error", gzip: bool = False, plain: bool = False, one: bool = False) -> None:
     """No quoting. plain: the 13-column form with `\\r\\n` and backslashes.
 
-    A part file for each task, each with a header line; one: a single table file, written by one task in the order of the rows.
+    A part file for each task, each with a header line; one: a single table file in the order of the rows. Its parts
+    are written by all tasks and then joined as bytes (gzip files below each other are one), so no task reads the table.
     """
     names = columns or df.columns
     w = df.select(line(df, names, plain).alias("value"))
-    w = w.coalesce(1) if one else w
-    out = w.mapInArrow(_headed("\t".join(names)), "value string")
-    writer = out.write.mode(mode).option("lineSep", "\r\n" if plain else "\n")
-    (writer.option("compression", "gzip") if gzip else writer).text(path)
+    header, end = "\t".join(names), "\r\n" if plain else "\n"
+    before = set(_files(df.sparkSession, path)) if one else set()
+    out = w if one else w.mapInArrow(_headed(header), "value string")
+    writer = out.write.mode(mode).option("lineSep", end)
+    (writer.option("compression", "gzip") if gzip else writer.option("compression", "none") if one else writer).text(path)
+    if one:
+        _join(df.sparkSession, path, [f for f in _files(df.sparkSession, path) if f not in before], (header + end).encode(), gzip)
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The part files of a folder in the order of their tasks."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted((n for n in names if n.startswith("part-")), key=lambda n: (int(n.split("-")[1]), n))
+
+
+def _join(spark: SparkSession, path: str, parts: list[str], header: bytes, gzip: bool) -> None:
+    """Makes one file of a folder's parts, behind a header if there are rows."""
+    import gzip as gz
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(folder, name)
+    #: An empty gzip file has 20 bytes.
+    parts_with_rows = [n for n in parts if fs.getFileStatus(at(n)).getLen() > (20 if gzip else 0)]
+    if parts_with_rows:
+        out = fs.create(at("_joined"), True)
+        try:
+            out.write(gz.compress(header, mtime=0) if gzip else header)
+            for n in parts_with_rows:
+                source = fs.open(at(n))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+    for n in parts[0 if parts_with_rows else 1 :]:
+        fs.delete(at(n), False)
+    if parts_with_rows:
+        fs.rename(at("_joined"), at(parts[0]))
 
 
 def _headed(header: str):
