@@ -493,6 +493,28 @@ def test_tables_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in last.collect()) == [("a", 1, "r"), ("b", 2, "q")]
 
 
+def test_one_part_is_numbered_by_many_tasks(spark):
+    """Parts of many runs, of one, without a name; keys without a value come first, no task gets a large part whole."""
+    rows = [("big", k if k != 17 else None, k) for k in range(3000)] + [(p, k, k) for p in ("s", None) for k in range(7)] + [(f"p{k}", 0, k) for k in range(50)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "f string, o int, v int").repartition(4)
+    out = pages.numbered_pages(df, 20, ["o"], ["f"])
+    assert out.columns == ["f", "o", "v", "page", "pages"]
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    want = {}
+    for f in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == f), key=lambda r: -1 if r[1] is None else r[1])
+        want |= {(f, r[2]): (k // 20, -(-len(own) // 20)) for k, r in enumerate(own)}
+    assert len(got) == len(rows) and {(r["f"], r["v"]): (r["page"], r["pages"]) for r in got} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in pages.numbered_pages(df, 20, ["o"], ["f"]).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == len(rows) and max(sizes) < 0.6 * len(rows)
+    assert pages.numbered_pages(df.filter("v < 0"), 20, ["o"], ["f"]).count() == 0
+
+
 @pytest.mark.parametrize(("gzip", "plain"), [(False, False), (True, False), (True, True)])
 def test_one_file_is_written_by_all_tasks(spark, tmp_path, gzip, plain):
     """One file with one header, rows in their order; tasks without rows add nothing; appending adds a file."""

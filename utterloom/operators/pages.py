@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,11 +58,47 @@ def tree_lines(nodes: Column, html: bool = True) -> Column:
     return F.array_join(F.zip_with(nodes, depths(nodes), one), "\n")
 
 
+#: Runs of keys for each shuffle partition, and keys drawn for each run.
+RUNS, DRAWN = 32, 4
+
+
+def in_runs(g: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds __run: runs of about equal length that follow each other in the order of keys; rows with the same key share one.
+
+    The keys between runs are drawn once, so every use of the result sees the same runs.
+    """
+    spark = g.sparkSession
+    count = RUNS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    key = F.struct(*[F.col(k) for k in keys])
+    drawn = g.select(key.alias("k")).orderBy(F.rand(7)).limit(count * DRAWN).agg(F.array_sort(F.collect_list("k")).alias("__bounds"))
+    found = drawn.first()[0]
+    bounds = spark.createDataFrame([([found[k * len(found) // count] for k in range(1, count)] if found else [],)], drawn.schema)
+    #: Halving: how many bounds are at most the key.
+    at = F.aggregate(
+        F.sequence(F.lit(1), F.lit(count.bit_length())), F.struct(F.lit(0).alias("lo"), F.size("__bounds").alias("hi")),
+        lambda r, _: let(((r["lo"] + r["hi"]) / 2).cast("int"), lambda m: F.when(r["lo"] >= r["hi"], r).when(F.get(F.col("__bounds"), m) <= key, F.struct((m + 1).alias("lo"), r["hi"].alias("hi"))).otherwise(F.struct(r["lo"].alias("lo"), m.alias("hi")))),
+    )["lo"]
+    return g.crossJoin(F.broadcast(bounds)).withColumn("__run", at).drop("__bounds")
+
+
 def numbered_pages(g: DataFrame, size: int, order: list[str], part: list[str]) -> DataFrame:
-    """Adds page and pages: each file's (part's) sentences in runs of size."""
-    line = Window.partitionBy(*part).orderBy(*order)
-    n = F.row_number().over(line)
-    return g.withColumn("page", F.floor((n - 1) / size).cast("int")).withColumn("pages", F.ceil(F.count("*").over(Window.partitionBy(*part)) / size).cast("int"))
+    """Adds page and pages: each file's (part's) sentences in runs of size.
+
+    A part may be most of the table, so it is numbered in pieces; what lies before a piece is known from counts.
+    """
+    r = in_runs(g, [*part, *order])
+    each = r.groupBy(*part, "__run").agg(F.count("*").alias("__n"))
+    all_of = Window.partitionBy(*part)
+    before = F.sum("__n").over(all_of.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    #: Only parts of several runs, so at most two rows for each run.
+    several = each.withColumns({"__before": F.coalesce(before, F.lit(0)), "__all": F.sum("__n").over(all_of), "__runs": F.count("*").over(all_of)}).filter("__runs > 1")
+    several = several.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate([*part, "__run"])], "__before", "__all")
+    same = [r[c].eqNullSafe(several[f"__k{k}"]) for k, c in enumerate([*part, "__run"])]
+    j = r.join(F.broadcast(several), reduce(lambda a, b: a & b, same), "left")
+    line = Window.partitionBy(*part, "__run")
+    n = F.row_number().over(line.orderBy(*order)) + F.coalesce("__before", F.lit(0))
+    total = F.coalesce("__all", F.count("*").over(line))
+    return j.withColumn("page", F.floor((n - 1) / size).cast("int")).withColumn("pages", F.ceil(total / size).cast("int")).select(*g.columns, "page", "pages")
 
 
 def links(paged: DataFrame, directory: str, project: str = "project") -> DataFrame:
