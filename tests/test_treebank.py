@@ -576,6 +576,24 @@ def test_micro_batches_equal_batch(spark, tmp_path):
     assert len(parts) == 4 and sorted((i, c or "") for _, p in parts for i, c in p) == want
 
 
+def test_stream_files_are_split_among_tasks(spark, tmp_path):
+    """Also where some blank lines have spaces or stand in rows."""
+    rnd = random.Random(4)
+    (tmp_path / "in").mkdir()
+    text = "".join(random_block(rnd, k) + rnd.choice(["\n\n", "\n\n", "\n\n\n", "\n \n", "\n\n \t\n", "\n \n\n"]) for k in range(200))
+    (tmp_path / "in" / "f.conllu").write_text(text, encoding="utf8")
+    got, tasks = [], []
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        b = micro.stream_blocks(spark, f"{tmp_path}/in")
+        q = b.writeStream.foreachBatch(lambda d, n: (tasks.append(d.rdd.getNumPartitions()), got.extend(r["block"].strip() for r in d.collect()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == sorted(r["block"].strip() for r in conllu.read_blocks(spark, f"{tmp_path}/in").collect()) and len(got) == 200
+    assert max(tasks) > 2
+
+
 def test_numbers_go_on_between_batches(spark, tmp_path):
     """As in batch: a PID that changes starts anew, also when it comes back; a missing one goes on."""
     from utterloom.sources import chat

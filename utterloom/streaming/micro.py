@@ -16,14 +16,15 @@ from ..sources.conllu import SEPARATOR, graphs
 def stream_blocks(spark: SparkSession, path: str, files_per_batch: int = 8, large: bool = False) -> DataFrame:
     """A stream of sentences (block) from a folder that gets CoNLL-U files.
 
-    Blank lines part sentences, as in batch; files are read whole. large: sentences are parted by
-    exactly one empty line, and files may be larger than memory.
+    Blank lines (also with spaces) part sentences, as in batch. Files are split among tasks at empty lines, each piece
+    at its other blank lines; only a file without any empty line is read whole. large: sentences are parted by
+    exactly one empty line.
     """
-    source = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-    if large:
-        raw = source.option("lineSep", "\n\n").text(path)
-    else:
-        raw = source.text(path, wholetext=True).select(F.explode(F.split("value", SEPARATOR)).alias("value"))
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("lineSep", "\n\n").text(path)
+    if not large:
+        #: What is left of blank lines at the ends of a piece.
+        piece = F.regexp_replace("value", r"^\s+|(?:\n[ \t\r]*)+\z", "")
+        raw = raw.select(F.explode(F.split(piece, SEPARATOR)).alias("value"))
     return raw.filter(F.length(F.trim("value")) > 0).withColumnRenamed("value", "block")
 
 
