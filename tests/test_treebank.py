@@ -173,6 +173,17 @@ def test_texts_do_not_go_through_the_joins_of_tokens(spark):
 
 
 
+def test_first_rows_sort_few_rows(spark):
+    """Rows behind all first rows go before the sort; keys that start late, have no order or are missing keep theirs."""
+    rows = [(f"k{k}", n, f"{k}_{n}") for k in range(200) for n in range(1, 40)] + [("late", 70, "x"), ("late", 71, "y"), ("none", None, "z"), (None, 5, "n"), (None, 4, "m")]
+    df = spark.createDataFrame(rows, "item_id string, w_nr int, word string").repartition(4)
+    out = table.first_rows(df)
+    want = [(f"k{k}", 1, f"{k}_1") for k in range(200)] + [("late", 70, "x"), ("none", None, None), (None, 4, "m")]
+    assert out.columns == ["item_id", "w_nr", "word"] and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert re.search(r"SortAggregate.*min_by[\s\S]*BroadcastHashJoin .* LeftSemi", plan)
+
+
 def test_first_rule_and_metadata(graph):
     rules = language.parse_rules(RULES)
     one = coding.code(graph, rules).collect()[0]["meta"]["coding"]
