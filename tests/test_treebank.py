@@ -526,6 +526,21 @@ def test_one_part_is_numbered_by_many_tasks(spark):
     assert pages.numbered_pages(df.filter("v < 0"), 20, ["o"], ["f"]).count() == 0
 
 
+def test_coded_table_as_one_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """What is joined to the file of s16 are parts of several tasks."""
+    from utterloom import queries
+
+    parts = []
+    plain = tables._join
+    monkeypatch.setattr(tables, "_join", lambda s, path, names, *a: parts.extend(names) or plain(s, path, names, *a))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = queries.QUERIES["s16_coded_file"](spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert n > 0 and len(parts) > 1
+
+
 @pytest.mark.parametrize(("gzip", "plain"), [(False, False), (True, False), (True, True)])
 def test_one_file_is_written_by_all_tasks(spark, tmp_path, gzip, plain):
     """One file with one header, rows in their order; tasks without rows add nothing; appending adds a file."""
