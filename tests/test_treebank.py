@@ -541,6 +541,17 @@ def test_coded_table_as_one_file_is_written_by_many_tasks(spark, tmp_path, monke
     assert n > 0 and len(parts) > 1
 
 
+def test_rules_look_at_a_token_again_only_when_it_changed(monkeypatch):
+    """The features looked at grow with the tokens and steps, not with their product."""
+    calls = []
+    plain = rewrite._holds
+    monkeypatch.setattr(rewrite, "_holds", lambda *a: calls.append(a) or plain(*a))
+    rules = language.parse_grammar('rule r { pattern { V [upos=VERB, !seen] } commands { V.seen = "1" } }').rules_of("main")
+    g = rewrite.parse_graph(lines(*[("v", "VERB", max(k, 0), "x") for k in range(200)]))
+    assert rewrite.normal_form(g, rules) == 200 and all(g.misc[n] == {"seen": "1"} for n in g.order)
+    assert len(calls) < 10 * 200
+
+
 @pytest.mark.parametrize(("gzip", "plain"), [(False, False), (True, False), (True, True)])
 def test_one_file_is_written_by_all_tasks(spark, tmp_path, gzip, plain):
     """One file with one header, rows in their order; tasks without rows add nothing; appending adds a file."""
