@@ -568,6 +568,46 @@ def test_tokens_of_the_coded_file_are_not_dealt_by_key(spark, monkeypatch):
     assert places and all([n for n, _ in p] == list(range(1, len(p) + 1)) and p[-1][1] - p[0][1] == len(p) - 1 for p in places.values())
 
 
+def test_tokens_with_one_value_are_tested_once(monkeypatch):
+    """The features looked at grow with the values of a sentence, not with its tokens; the next sentence looks at none again."""
+    calls = []
+    plain = rewrite._holds
+    monkeypatch.setattr(rewrite, "_holds", lambda *a: calls.append(a) or plain(*a))
+    rules = language.parse_grammar('rule r { pattern { V [upos=VERB]; N [form=/^a|b$/i]; e: V -[obj]-> N } commands { del_edge e; add_edge V -[iobj]-> N } } rule s { pattern { X -[root]-> V; V [!seen] } commands { V.seen = "1" } }').rules_of("main")
+    prepared = rewrite.searches(rules)
+    for _ in range(2):
+        g = rewrite.parse_graph(lines(*[(f"A{k % 3}", "NOUN" if k else "VERB", min(k, 1), "obj" if k else "root") for k in range(300)]))
+        assert rewrite.normal_form(g, rules, prepared=prepared) == 300
+        assert [x for _, x, _ in g.edges] == ["root"] + ["iobj"] * 299 and [n for n in g.order if g.misc[n]] == ["1"]
+    assert len(calls) < 20
+
+
+def test_features_of_odd_values_and_nodes():
+    """Values that stand for none, features that are in both fields, a token with the number 0."""
+    block = "\n".join("\t".join(f) for f in [["0", "x", "_", "_", "_", "_", "_", "_", "_", "_"], ["1", "_", "_", "_", "_", "A=1", "0", "root", "_", "A=2"], ["2", "y", "y", "", "_", "_", "1", "obj", "_", "A=2"], ["3", "y", "_", "N", "_", "B=1", "1", "obj", "_", "_"]])
+    for given in (block, block.split("\n", 1)[1]):
+        for test in ("!A", "A=1", "A=2", "lemma=y", "!lemma", "!upos", 'upos=""', "word=_", "form=_", "!form"):
+            pattern, without = language.parse_pattern("pattern { N [" + test + "] }")
+            g = rewrite.parse_graph(given)
+            f = pattern.nodes[0][1][0][0]
+            want = [n for n in g.order if n != "0" and rewrite._holds(g.feature(n, f.name), f, {})]
+            assert [m["N"] for m in rewrite.find(g, pattern, without)] == want, test
+
+
+def test_blocks_of_plain_and_other_sentences(spark):
+    """Tokens in order are written as they stand; others, ranges and empty nodes in their places."""
+    row = lambda i: f"{i}\tw\tw\tN\t_\tA=1\t0\tx\t_\tB=|C=2"
+    given = [["1", "2", "3"], ["1-2", "1", "2", "2.1", "3"], ["3", "1", "2"], ["01", "2"], ["2", "10", "3"], []]
+    blocks = spark.createDataFrame([("\n".join(["# item_id = s"] + [row(i) for i in ids]),) for ids in given], "block string").coalesce(1)
+    sorted_ = [["1", "2", "3"], ["1-2", "1", "2", "2.1", "3"], ["1", "2", "3"], ["01", "2"], ["2", "3", "10"], []]
+    want = ["\n".join(["# item_id = s"] + [row(i) for i in ids]) for ids in sorted_]
+    g = conllu.graphs(blocks)
+    assert [r["block"] for r in conllu.to_blocks(g).collect()] == want
+    assert [r["block"] for r in conllu.to_blocks(g.drop("others")).collect()] == [w for w in ["\n".join(x for x in w.split("\n") if x.split("\t")[0].isdigit() or x[0] == "#") for w in want]]
+    backwards = g.withColumn("nodes", F.reverse("nodes"))
+    assert [r["block"] for r in conllu.to_blocks(backwards).collect()] == want
+
+
 @pytest.mark.parametrize(("gzip", "plain"), [(False, False), (True, False), (True, True)])
 def test_one_file_is_written_by_all_tasks(spark, tmp_path, gzip, plain):
     """One file with one header, rows in their order; tasks without rows add nothing; appending adds a file."""

@@ -30,8 +30,10 @@ def pairs(c: Column) -> Column:
     """`A=B|C` as a map; `_` and empty give an empty map; a key without a value has an empty one; of repeated keys the last counts."""
     parts = F.filter(F.split(c, r"\|"), lambda x: x != "")
     value = lambda x: F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise(F.lit(""))
-    keyed = F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), value(x).alias("v")))
-    return F.when((c == "_") | (c == ""), F.map_from_entries(F.array().cast(ENTRIES))).otherwise(let(keyed, last_entries))
+    key = lambda x: F.substring_index(x, "=", 1)
+    keyed = F.transform(parts, lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))
+    none = F.map_from_entries(F.array().cast(ENTRIES))
+    return F.when((c == "_") | (c == ""), none).when(F.instr(c, "|") == 0, F.create_map(key(c), value(c))).otherwise(let(keyed, last_entries))
 
 
 def last_entries(kv: Column) -> Column:
@@ -44,7 +46,7 @@ def last_entries(kv: Column) -> Column:
 def parsed(block: Column) -> tuple[Column, Column]:
     """(meta, nodes) of a sentence block. Positions number the tokens with whole ids; other lines have position 0 and no head."""
     lines = F.filter(F.split(block, "\r?\n"), lambda x: F.trim(x) != "")
-    heads = F.filter(lines, lambda x: x.rlike(r"^#[^=]*="))
+    heads = F.filter(lines, lambda x: x.startswith("#") & x.rlike(r"^#[^=]*="))
     kv = F.transform(heads, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^#\s*([^=]*)=", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^#[^=]*=(.*)$", 1)).alias("v")))
     meta = let(kv, last_entries)
     rows = F.filter(F.transform(F.filter(lines, lambda x: ~x.startswith("#")), lambda x: F.split(x, "\t")), lambda f: F.size(f) == 10)
@@ -101,6 +103,9 @@ def to_blocks(g: DataFrame) -> DataFrame:
     key = lambda n: F.struct(F.regexp_extract(n["id"], r"^\d+", 0).cast("int").alias("a"), F.when(F.instr(n["id"], ".") > 0, 1).otherwise(0).alias("b"), F.when(F.instr(n["id"], "-") > 0, 0).otherwise(1).alias("c"), F.coalesce(F.nullif(F.regexp_extract(n["id"], r"\.(\d+)", 1), F.lit("")).cast("int"), F.lit(0)).alias("d"))
     rest = F.col("others") if "others" in g.columns else F.array().cast(g.schema["nodes"].dataType)
     every = F.transform(F.array_sort(F.transform(F.concat("nodes", rest), lambda n: F.struct(key(n).alias("k"), n["id"].alias("i"), line_of(n).alias("l")))), lambda x: x["l"])
+    #: Most sentences have the tokens 1, 2, 3 and so on, and nothing else: their places need not be sorted out.
+    plain = F.forall(F.transform("nodes", lambda n, k: n["id"] == (k + 1).cast("string")), lambda x: x)
+    every = F.when(plain & (F.size(rest) == 0) if "others" in g.columns else plain, F.transform("nodes", line_of)).otherwise(every)
     head = F.transform(F.map_entries("meta"), lambda e: F.concat(F.lit("# "), e["key"], F.lit(" = "), e["value"]))
     return g.withColumn("block", F.array_join(F.concat(head, every), "\n"))
 
