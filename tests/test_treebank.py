@@ -325,6 +325,14 @@ def test_rewriting_equals_a_search_of_all_nodes():
     assert steps > 50
 
 
+def test_rows_are_spread_in_whole_rounds(spark):
+    """No task is left over for a round of its own."""
+    cores = spark.sparkContext.defaultParallelism
+    for n, tasks in ((1, cores), (cores, cores), (cores + 1, 2 * cores), (3 * cores - 1, 3 * cores)):
+        rows = spread(spark.range(0, 1000 * n, 1, n)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(rows) == tasks and sum(r["count"] for r in rows) == 1000 * n
+
+
 def test_rows_of_one_row_group_are_spread(spark, tmp_path):
     """More splits than cores, but all rows in one of them."""
     spark.range(4000).coalesce(1).write.parquet(f"{tmp_path}/one")

@@ -28,4 +28,6 @@ def spread(df: DataFrame) -> DataFrame:
 
     A file may have more splits than cores and all its rows in one of them (a Parquet file with one row group has).
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    #: Whole rounds: one task more than cores would take as long as twice the cores.
+    return df.repartition(cores * max(1, -(-df.rdd.getNumPartitions() // cores)))
